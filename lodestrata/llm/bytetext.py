@@ -194,22 +194,19 @@ def ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return np.cumsum(out)
 
 
-def minimizers(h: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """For every window of ``width`` consecutive hashes of one document: (window start, index of its smallest hash, leftmost).
+def minimizers(h: np.ndarray, width: int) -> np.ndarray:
+    """For every window of ``width`` consecutive hashes the index of its smallest one (leftmost).
 
     Windows with equal content choose the same place, so a repeated window always has a repeated minimizer.
     """
-    if len(h) < width:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    # Sliding argmin by doubling: best[i] is the place of the least hash in h[i:i+size].
-    best = np.arange(len(h))
-    size = 1
-    while size < width:
-        step = min(size, width - size)
-        left, right = best[: len(best) - step], best[step:]
-        best = np.where(h[right] < h[left], right, left)
-        size += step
-    first = np.arange(len(best))
-    ends = np.repeat(at[1:], np.diff(at))[: len(first)]
-    ok = first + width <= ends
-    return first[ok], best[ok]
+    n = len(h)
+    if n < width:
+        return np.zeros(0, np.int64)
+    # The place fills the low bits, so one sliding minimum (prefix and suffix minima of blocks) gives hash and place.
+    low = _U((1 << max(1, int(n).bit_length())) - 1)
+    packed = np.full(-(-n // width) * width, ~_U(0), _U)
+    packed[:n] = (h & ~low) | np.arange(n, dtype=_U)
+    blocks = packed.reshape(-1, width)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return (np.minimum(behind[: n - width + 1], ahead[width - 1 : n]) & low).astype(np.int64)

@@ -35,10 +35,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def documents(df: DataFrame, *more: str) -> DataFrame:
-    """doc_id, text (null: empty), and a key that tells apart rows which share a doc_id but not a text."""
+def documents(df: DataFrame, results: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id (long), text (null: empty), row_key (tells apart rows which share a doc_id but not a text), and all other
+    columns as one struct ``rest``, out of the way; those named as in ``results`` are left out."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return df.select("doc_id", text.alias("text"), *more, F.crc32(text.cast("binary")).alias("row_key"))
+    others = [F.col(f"`{c}`") for c in df.columns if c not in ("doc_id", "text", *results)]
+    rest = F.struct(*others) if others else F.struct(F.lit(0).alias("__none"))
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), (F.crc32(text.cast("binary")) - 2**31).cast("int").alias("row_key"), rest.alias("rest"))
+
+
+def restored(df: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of ``rest`` back in their own names and in the order of ``like``; new ones after them."""
+    kept = [c for c in df.schema["rest"].dataType.names if c != "__none"]
+    own = [c for c in like.columns if c in kept or c in df.columns]
+    return df.select(*[F.col("rest")[c].alias(c) if c in kept else F.col(f"`{c}`") for c in own], *[c for c in df.columns if c not in (*own, "rest", "row_key")])
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:

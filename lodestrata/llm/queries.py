@@ -39,10 +39,19 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", crc.alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", rendezvous(F.col("doc_id"), 9, seed).alias("grown_shard"))
 
 
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import remove_repeats
+
+    rows = remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"), width=20)
+    words = F.regexp_replace(F.regexp_replace("text", "[\\x20\\x09-\\x0D]+", " "), "^ | $", "")
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2(words.cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op4_token_files": op4_token_files,
     "op8_sharding": op8_sharding,
+    "op10_substrings": op10_substrings,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -55,7 +55,7 @@ def shard(docs: DataFrame, shards: int = 8, seed: int = 17, bucket_bytes: int =
         return table.append_column("place", pa.array(np.arange(table.num_rows)))
 
     keyed = rows.withColumn("key", F.xxhash64(text))
-    kinds = {f.name: f.dataType.simpleString() for f in schema}
+    kinds = {f.name: f.dataType.simpleString() for f in schema}  # of doc_id
     shuffled = keyed.groupBy("shard", "bucket").applyInArrow(run, f"doc_id {kinds['doc_id']}, text string, size long, shard int, bucket int, place long")
     out = folder or new_folder(spark, "shards")
     shuffled.write.option("compression", "zstd").partitionBy("shard").parquet(out)

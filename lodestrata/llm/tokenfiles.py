@@ -20,7 +20,6 @@ import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .bytetext import slices
 from .common import documents, new_folder
@@ -70,7 +69,7 @@ def write_token_files(docs: DataFrame, vocab: str, folder: str | None = None, en
         if n_docs:
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "docs": [n_docs], "tokens": [n_tokens], "wide": [wide]})
 
-    rows = documents(docs.withColumn("doc_id", F.col("doc_id").cast("long")))
+    rows = documents(docs).drop("rest")
     ordered = rows.repartitionByRange("doc_id", "row_key").sortWithinPartitions("doc_id", "row_key")
     parts, base = [], 0
     for r in sorted(ordered.mapInArrow(run, PARTS).collect()):
