@@ -30,6 +30,13 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, *write_token_files(_read(spark, sf_dir, "documents"), _vocab("word_bpe_49k.json"), end_id=1))
 
 
+def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixes import remove_repeats
+
+    rows = remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"), width=400)
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import rendezvous, shard
 
@@ -50,6 +57,7 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op4_token_files": op4_token_files,
+    "op5_suffixes": op5_suffixes,
     "op8_sharding": op8_sharding,
     "op10_substrings": op10_substrings,
 }

@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import pytest
+from lodestrata.llm import suffixes
 from lodestrata.llm.substrings import longest_repeats, remove_repeats
 
 SPACE = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -72,6 +74,44 @@ def test_doubling_goes_on_until_none_survive(spark):
     assert got == {1: 80, 2: 80, 3: 40, 4: 40}
 
 
+def bytes_kept(docs, width):
+    """docs: (doc_id, text); every byte of a string that starts anywhere else too goes."""
+    raw = [(t or "").encode() for _, t in docs]
+    times = Counter(b[p : p + width] for b in raw for p in range(len(b) - width + 1))
+    out = []
+    for (d, _), b in zip(docs, raw, strict=True):
+        gone = bytearray(len(b))
+        for p in range(len(b) - width + 1):
+            if times[b[p : p + width]] > 1:
+                gone[p : p + width] = b"\1" * width
+        kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+        out.append((d, len(b), sum(gone), len(re.findall(rb"\x01+", gone)), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize(("width", "most"), [(400, 1024), (100, 1024), (100, 3)])
+def test_suffixes_match_brute_force(spark, width, most):
+    docs = list(enumerate(texts())) + [(None, texts()[5]), (9, texts()[9]), (9, texts()[9]), (3, texts()[30])]
+    df = spark.createDataFrame([(d, t, 1, "x") for d, t in docs], "doc_id long, text string, n_removed int, `a.b` string").repartition(4)
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in suffixes.remove_repeats(df, width, most).collect()]
+    assert sorted(got, key=key) == sorted(bytes_kept(docs, width), key=key)
+
+
+def test_suffix_query_matches_brute_force(spark, sf_dir):
+    from lodestrata.llm.queries import op5_suffixes
+
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    assert sorted(tuple(r) for r in op5_suffixes(spark, sf_dir).collect()) == sorted(bytes_kept(docs, 400))
+
+
+@pytest.mark.parametrize("shallow", [0, 8, 64])
+def test_deep_shallow_order(shallow):
+    rnd = random.Random(1)
+    for _ in range(60):
+        s = [bytes(rnd.choice(b"ab\0") for _ in range(rnd.randrange(50))) * rnd.choice([1, 1, 3]) for _ in range(rnd.randrange(1, 40))]
+        assert [s[i] for i in suffixes.deep_shallow_order(s, shallow)] == sorted(s)
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
-    assert remove_repeats(none).count() == 0 and longest_repeats(none).count() == 0
+    assert suffixes.remove_repeats(none).count() == 0 and remove_repeats(none).count() == 0 and longest_repeats(none).count() == 0
