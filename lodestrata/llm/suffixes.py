@@ -26,6 +26,7 @@ from pyspark.sql.types import StructType
 from .anchors import classes, coverage, instances, list_column, runs, spans_by_document, windows_of, with_spans
 from .bytetext import Slice, byte_table, prefix_hash, slices
 from .common import documents, materialise, restored
+from .lists import whole_groups
 
 #: Bytes of an anchor; bytes to which multikey quicksort goes before blind tries take over.
 GRAM, SHALLOW = 64, 64
@@ -159,27 +160,6 @@ def _byte_prefix(s: Slice, seed: int) -> np.ndarray:
     return prefix_hash(byte_table(seed, False)[s.data])
 
 
-def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
-    """Record batches of sorted rows, cut so that no key's rows are parted; keys are not parted between tasks."""
-    held: list[pa.RecordBatch] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        k = b.column(key).to_numpy()
-        start = int(np.flatnonzero(k != k[-1])[-1]) + 1 if k[0] != k[-1] else 0
-        if held and (start or held[-1].column(key)[0].as_py() != k[0]):
-            cut = int(np.flatnonzero(k == held[-1].column(key)[0].as_py())[-1]) + 1 if held[-1].column(key)[0].as_py() == k[0] else 0
-            yield pa.Table.from_batches([*held, b.slice(0, cut)]).combine_chunks().to_batches()[0]
-            held = []
-            if cut < start:
-                yield b.slice(cut, start - cut)
-        elif start:
-            yield b.slice(0, start)
-        held.append(b.slice(start))
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
 FOUND = "doc_id long, row_key int, lo long, n int"
 
 
@@ -200,7 +180,7 @@ def repeated_spans(rows: DataFrame, width: int, most: int = 1024) -> DataFrame:
     members = materialise(members, "members")
 
     def sort_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _groups(batches, "a"):
+        for b in whole_groups(batches, "a"):
             a = b.column("a").to_numpy()
             cut = np.r_[0, np.flatnonzero(a[1:] != a[:-1]) + 1, len(a)]
             ctx, off, n, lo = (b.column(c).to_pylist() for c in ("context", "off", "n", "lo"))
