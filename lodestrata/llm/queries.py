@@ -24,6 +24,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"), _vocab("byte_bpe_50k.json"), width=1024)
 
 
+def op2_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vectors import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokenfiles import read_token_files, write_token_files
 
@@ -62,6 +68,7 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_pivots": op2_pivots,
     "op4_token_files": op4_token_files,
     "op5_suffixes": op5_suffixes,
     "op6_minhash": op6_minhash,
