@@ -154,27 +154,29 @@ def grams(h: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray
     return span_hash(p, first, first + n), first
 
 
-def shingles(h: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-word shingles of each document as (hash, document), sorted by document and hash.
+def raw_shingles(h: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-word shingles of each document as (hash, document), in no order and with repeats.
 
     A document of fewer than n words (but at least one) has its whole sequence as its one shingle;
     one without words has none.
     """
     g, first = grams(h, at, n)
-    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    d = doc[first]
+    d = np.repeat(np.arange(len(at) - 1), np.diff(at))[first]
     count = np.diff(at)
     short = np.flatnonzero((count > 0) & (count < n))
     if len(short):
-        p = prefix_hash(h)
-        g = np.concatenate([g, span_hash(p, at[short], at[short + 1])])
+        g = np.concatenate([g, span_hash(prefix_hash(h), at[short], at[short + 1])])
         d = np.concatenate([d, short])
+    return g, d
+
+
+def shingles(h: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ones of raw_shingles, sorted by document and hash."""
+    g, d = raw_shingles(h, at, n)
     order = np.lexsort((g, d))
     g, d = g[order], d[order]
     if len(g):
-        keep = np.empty(len(g), bool)
-        keep[0] = True
-        keep[1:] = (g[1:] != g[:-1]) | (d[1:] != d[:-1])
+        keep = np.r_[True, (g[1:] != g[:-1]) | (d[1:] != d[:-1])]
         g, d = g[keep], d[keep]
     return g, d
 

@@ -49,6 +49,15 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), words=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score, train
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    model = train(docs, _read(spark, sf_dir, "labels").where(remainder != 1))
+    return score(docs, model).select("doc_id", F.coalesce(remainder == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import rendezvous, shard
 
@@ -58,6 +67,13 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", crc.alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", rendezvous(F.col("doc_id"), 9, seed).alias("grown_shard"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import contained
+
+    found = contained(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), words=5, percent=80)
+    return found.select("doc_id", "item_id", "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"))
+
+
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substrings import remove_repeats
 
@@ -72,7 +88,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_files": op4_token_files,
     "op5_suffixes": op5_suffixes,
     "op6_minhash": op6_minhash,
+    "op7_quality": op7_quality,
     "op8_sharding": op8_sharding,
+    "op9_decontamination": op9_decontamination,
     "op10_substrings": op10_substrings,
 }
 
