@@ -30,6 +30,13 @@ def op2_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import score
+
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return score(_read(spark, sf_dir, "documents"), held_out)
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokenfiles import read_token_files, write_token_files
 
@@ -85,6 +92,7 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_pivots": op2_pivots,
+    "op3_lm": op3_lm,
     "op4_token_files": op4_token_files,
     "op5_suffixes": op5_suffixes,
     "op6_minhash": op6_minhash,
