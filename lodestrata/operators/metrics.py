@@ -14,7 +14,8 @@ def run_day() -> Window:
 
 
 def returns(snaps: DataFrame) -> DataFrame:
-    return snaps.withColumn("r", F.col("equity") / F.lag("equity").over(run_day()) - 1)
+    """With r, the day's return; null on the first day and after an equity of 0."""
+    return snaps.withColumn("r", F.try_divide("equity", F.lag("equity").over(run_day())) - 1)
 
 
 def drawdowns(snaps: DataFrame) -> DataFrame:
@@ -53,7 +54,7 @@ def period_returns(snaps: DataFrame, unit: str = "month") -> DataFrame:
     """(run_id, period, ret): last equity of each period over the last of the one before (first: the curve's start)."""
     last = snaps.groupBy("run_id", F.trunc("ts", unit).alias("period")).agg(F.max_by("equity", "ts").alias("last"), F.min_by("equity", "ts").alias("first"))
     w = Window.partitionBy("run_id").orderBy("period")
-    return last.select("run_id", "period", (F.col("last") / F.coalesce(F.lag("last").over(w), F.col("first")) - 1).alias("ret"))
+    return last.select("run_id", "period", (F.try_divide("last", F.coalesce(F.lag("last").over(w), F.col("first"))) - 1).alias("ret"))
 
 
 def active(snaps: DataFrame) -> DataFrame:
@@ -142,7 +143,7 @@ def trade_ledger(simulated: DataFrame, bars: DataFrame, labels: DataFrame) -> Da
     rows = rows.withColumn("side0", F.when(follows, F.lag("side").over(w)).otherwise(F.lit(0))).withColumn("w0", F.when(follows, F.lag("position").over(w))).withColumn("p00", F.lag("p0").over(w))
     rows = rows.withColumn("side0", F.coalesce("side0", F.lit(0))).withColumn("opens", ((F.col("side") != 0) & (F.col("side") != F.col("side0"))).cast("int")).withColumn("trade", F.sum("opens").over(w))
     flip = (F.col("opens") == 1) & (F.col("side0") != 0)
-    held = F.abs(F.col("w0") * (F.col("p0") / F.col("p00")) / (F.col("eq0") / F.col("eq00")))
+    held = F.abs(F.try_divide(F.col("w0") * F.try_divide("p0", "p00"), F.try_divide("eq0", "eq00")))
     rows = rows.withColumn("old_share", F.when(flip, held / (held + F.abs("position"))).otherwise(F.lit(0.0)))
     own = rows.select("run_id", "instrument_id", "trade", "ts", "prev_ts", "p0", "p1", "position", "side", "last_ts", (F.col("money") * (1 - F.col("old_share"))).alias("costs"), F.when(F.col("side") != 0, F.col("eq0") * F.col("position") * (F.col("p1") / F.col("p0") - 1)).otherwise(F.lit(0.0)).alias("gross"))
     old = rows.where("old_share > 0").select("run_id", "instrument_id", (F.col("trade") - 1).alias("trade"), F.lit(None).cast("date").alias("ts"), F.lit(None).cast("date").alias("prev_ts"), *[F.lit(None).cast("double").alias(c) for c in ("p0", "p1", "position")], F.lit(0).alias("side"), "last_ts", (F.col("money") * F.col("old_share")).alias("costs"), F.lit(0.0).alias("gross"))

@@ -13,10 +13,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def line_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eight instruments (suppliers modulo 8) by ship date; the close is the day's volume-weighted price."""
-    price = F.round(F.col("l_extendedprice") / F.col("l_quantity"), 4)
-    line = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), (F.col("l_suppkey") % 8).cast("string")).alias("instrument_id"), F.to_date("l_shipdate").alias("ts"), price.alias("px"), F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("k"), "l_extendedprice", "l_quantity")
-    return line.groupBy("instrument_id", "ts").agg(F.min_by("px", "k").alias("open"), F.max("px").alias("high"), F.min("px").alias("low"), F.round(F.sum("l_extendedprice") / F.sum("l_quantity"), 4).alias("close"), F.sum("l_quantity").alias("volume"))
+    """Eight instruments (suppliers modulo 8) by ship date; the close is the day's volume-weighted price.
+
+    Prices are 1000 plus a hundredth of the unit price, so that days differ by a few percent; sums are of whole cents, hence exact.
+    """
+    price = lambda cents, n: 1000 + cents / (n * 10000)
+    line = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), (F.col("l_suppkey") % 8).cast("string")).alias("instrument_id"), F.to_date("l_shipdate").alias("ts"), F.round(F.col("l_extendedprice") * 100).alias("c"), F.col("l_quantity").alias("n"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity").alias("k"))
+    line = line.withColumn("px", price(F.col("c"), F.col("n")))
+    return line.groupBy("instrument_id", "ts").agg(F.min_by("px", "k").alias("open"), F.max("px").alias("high"), F.min("px").alias("low"), price(F.sum("c"), F.sum("n")).alias("close"), F.sum("n").alias("volume"))
 
 
 def event_bars(spark: SparkSession, sf_dir: str) -> DataFrame:

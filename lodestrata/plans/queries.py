@@ -28,8 +28,13 @@ def query(f: Query) -> Query:
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles to ``digits`` places, so that the order of a sum doesn't show; no negative zero."""
-    return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    """Doubles to ``digits`` places and nine figures, so that the order of a sum doesn't show; no negative zero.
+
+    A factor just over 1 before each rounding keeps decimal ties from falling either way.
+    """
+    off = F.lit(1 + 3e-12)
+    nine = lambda c: F.when(F.col(c).isNotNull(), F.format_string("%.8e", F.round(F.col(c) * off, digits) * off + F.lit(0.0)).cast("double"))
+    return df.select(*[nine(c).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def _run(spark: SparkSession, sf_dir: str, grid: dict[str, int] | None = None):
@@ -215,7 +220,7 @@ def missing_sessions(spark, sf_dir):
 
 @query
 def stale_closes(spark, sf_dir):
-    return prep.stale_closes(line_bars(spark, sf_dir).withColumn("close", F.floor(F.col("close") / 1000).cast("double")), 3)
+    return prep.stale_closes(line_bars(spark, sf_dir).withColumn("close", F.floor(F.col("close") / 10).cast("double")), 3)
 
 
 @query
