@@ -60,7 +60,8 @@ def instances(rows: DataFrame, of_slice: Callable[[Slice], tuple[np.ndarray, ...
 
 def classes(inst: DataFrame, name: str) -> DataFrame:
     """Instances whose anchor occurs twice, with: copies (of the class), first (doc_id, lo, row_key), kinds (classes of the anchor)."""
-    twice = inst.groupBy("a").agg(F.count("*").alias("times")).where("times > 1").select("a")
+    # Written, so that the join reads both sides by plain exchanges and Spark can split a very common anchor's rows.
+    twice = materialise(inst.groupBy("a").agg(F.count("*").alias("times")).where("times > 1").select("a"), f"{name}-twice")
     met = materialise(inst.join(twice, "a", "left_semi"), name)
     by_class = met.groupBy("a", "c").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "lo", "row_key")).alias("first"))
     by_class = materialise(by_class, f"{name}-classes")
