@@ -56,8 +56,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternates large-star and small-star steps: every node hands its larger, then its smaller, neighbours
     to the smallest one, which converges in few rounds whatever the shape. Edges pass through written
-    tables, never through the driver. A node's neighbours are handled by joins and aggregates with
-    partial sums, so a hub with very many neighbours needs no task of its own.
+    tables, never through the driver. Neighbours are counted with partial
+    sums, but the join back reads all links of a node (two longs each) in one task.
     """
     norm = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = materialise(norm, "edges")
