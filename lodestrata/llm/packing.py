@@ -18,7 +18,9 @@ The number of sources is assumed to fit the driver (their totals are collected,
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +32,8 @@ from .bytetext import ranges, slices
 from .common import materialise
 from .subwords import encoder
 
-#: Quanta are whole multiples of 2**-SHIFT tokens.
-SHIFT = 16
+#: Quanta are whole multiples of 2**-SHIFT tokens; the weights in a tree of small queues, of a TREE-th of a window.
+SHIFT, TREE = 16, 1 << 30
 
 ENCODED = "part int, queue string, local_start long, doc_id long, n long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string"
@@ -62,31 +64,68 @@ def encode_queues(docs: DataFrame, vocab: str, end_id: int = 0) -> DataFrame:
 
 
 def _served(weight: dict[str, float], width: int) -> dict[str, tuple[tuple, tuple, tuple]]:
-    """For each queue served: quanta (in 2**-SHIFT tokens) whose whole tokens after i rounds are added, are taken off,
-    and come before it in a window.
+    """For each queue served: terms whose whole tokens after i rounds are added, are taken off, and come before it in a window.
 
-    Queues of at least a token a round share the window by cumulative quanta, smaller ones earn theirs alone, and
-    the largest takes what is left, so the windows are always full. If the small ones outnumber its tokens, the smallest wait.
+    Queues of at least a token a round share the window by cumulative quanta (in 2**-SHIFT tokens). What these leave goes to all
+    smaller ones and the largest by a binary tree over their weights: of a node's n tokens the left half of the weight has
+    the whole part of its share and the right half the rest. So the windows are always full, whatever the number of queues, and
+    each queue stays within a few tokens of its due.
     """
     total, full = sum(weight.values()), width << SHIFT
     names = sorted(weight, key=lambda q: (weight[q], q))
     last = names.pop()
-    quantum = {q: max(1, int(full * weight[q] / total)) for q in names}
-    small = [q for q in names if quantum[q] < 1 << SHIFT][::-1]
-    small = tuple(small[: max(0, (full - sum(quantum.values()) >> SHIFT) - 2)])
-    alone = tuple(quantum[q] for q in small)
-    out = {q: ((alone[k],), (), alone[:k]) for k, q in enumerate(small)}
-    cum = 0
+    quantum = {q: int(full * weight[q] / total) for q in names}
+    out, cum = {}, 0
     for q in names:
         if quantum[q] >= 1 << SHIFT:
-            out[q] = ((cum + quantum[q],), (cum,), (*alone, cum))
+            out[q] = ((cum + quantum[q],), (cum,), (cum,))
             cum += quantum[q]
-    return out | {last: ((full,), (*alone, cum), (*alone, cum))}
+    leaves = [q for q in names if quantum[q] < 1 << SHIFT]
+    if not leaves:
+        return out | {last: ((full,), (cum,), (cum,))}
+    share = [max(1, round(weight[q] / total * TREE)) for q in leaves]
+    leaves.append(last)
+    at = [0, *accumulate([*share, max(1, round((full - cum) / full * TREE) - sum(share))])]
+    todo = [(0, len(leaves), ())]
+    while todo:
+        i, j, path = todo.pop()
+        if j - i == 1:
+            out[leaves[i]] = (((False, full, cum, path),), (), (cum, (True, full, cum, path)))
+        else:
+            k = min(max(bisect_left(at, (at[i] + at[j]) // 2, i, j), i + 1), j - 1)
+            left, both = at[k] - at[i], at[j] - at[i]
+            todo += [(k, j, (*path, (left, both, True))), (i, k, (*path, (left, both, False)))]
+    return out
+
+
+def _term(i, q):
+    """The whole tokens of one term after i rounds: of a quantum, or of a leaf of the tree (or of what is left of it there)."""
+    if not isinstance(q, tuple):
+        return i * q >> SHIFT
+    ahead_of, full, cum, path = q
+    n, ahead = (i * full >> SHIFT) - (i * cum >> SHIFT), 0 * i
+    for a, d, right in path:
+        # n * a // d without overflow.
+        part = n // d * a + n % d * a // d
+        n, ahead = (n - part, ahead + part) if right else (part, ahead)
+    return ahead if ahead_of else n
 
 
 def _whole(i, quanta: tuple):
-    """The whole tokens that quanta come to after i rounds, each rounded down by itself."""
-    return sum((i * q >> SHIFT for q in quanta), 0 * i)
+    """The whole tokens that the terms come to after i rounds, each rounded down by itself."""
+    return sum((_term(i, q) for q in quanta), 0 * i)
+
+
+def _rate(plus: tuple, minus: tuple) -> tuple[float, float]:
+    """(tokens a round on average, how far the whole tokens can be from them)."""
+    if not isinstance(plus[0], tuple):
+        return (sum(plus) - sum(minus)) / (1 << SHIFT), 1.0 + len(minus)
+    _, full, cum, path = plus[0]
+    rate, off = (full - cum) / (1 << SHIFT), 1.0
+    for a, d, right in path:
+        p = (d - a if right else a) / d
+        rate, off = rate * p, off * p + 1
+    return rate, off
 
 
 def plan_windows(totals: dict[str, int], width: int, targets: dict[str, float] | None = None) -> dict[str, list[tuple]]:
@@ -103,23 +142,31 @@ def plan_windows(totals: dict[str, int], width: int, targets: dict[str, float] |
         # Queues without a share wait until all others are dry.
         weight = {q: w for q, w in weight.items() if w > 0} or dict.fromkeys(left, 1.0)
         served = _served(weight, width)
-        can = {q: max(0, (left[q] - 2 - len(minus) << SHIFT) // (sum(plus) - sum(minus))) for q, (plus, minus, _) in served.items()}
-        rounds = min(can.values())
-        if rounds:
-            for q, (plus, minus, before) in served.items():
+        # A queue lasts for at least `least` rounds; where it matters, the exact number is searched.
+        rates = {q: _rate(plus, minus) for q, (plus, minus, _) in served.items()}
+        least = {q: max(0, int((left[q] - off) / rate) - 1) for q, (rate, off) in rates.items()}
+        rounds = None
+        for q in sorted(served, key=least.__getitem__):
+            if rounds is not None and least[q] > rounds:
+                break
+            plus, minus, _ = served[q]
+            lo, hi = least[q], int((left[q] + rates[q][1]) / rates[q][0]) + 2
+            while hi - lo > 1:
+                mid = (lo + hi) // 2
+                lo, hi = (mid, hi) if _whole(mid, plus) - _whole(mid, minus) <= left[q] else (lo, mid)
+            rounds = lo if rounds is None else min(rounds, lo)
+        due = {}
+        for q, (plus, minus, before) in served.items():
+            n = _whole(rounds, plus) - _whole(rounds, minus)
+            due[q] = _whole(rounds + 1, plus) - _whole(rounds + 1, minus) - n
+            if n:
                 phases[q].append((window, rounds, done[q], plus, minus, before))
-                n = _whole(rounds, plus) - _whole(rounds, minus)
                 done[q] += n
                 left[q] -= n
-            window += rounds
+        window += rounds
         # One round in which a queue runs dry: it gives its rest, and its unused credit goes round the others.
-        take, room = {}, width
-        for dry in (True, False):
-            for q, (plus, minus, _) in served.items():
-                if (can[q] == rounds) is dry:
-                    due = left[q] if dry else _whole(rounds + 1, plus) - _whole(rounds + 1, minus) - _whole(rounds, plus) + _whole(rounds, minus)
-                    take[q] = min(left[q], due, room)
-                    room -= take[q]
+        take, room = {q: min(left[q], n) for q, n in due.items()}, width
+        room -= sum(take.values())
         for q in [*served, *left]:
             more = min(room, left[q] - take.get(q, 0))
             take[q] = take.get(q, 0) + more
@@ -139,24 +186,34 @@ def plan_windows(totals: dict[str, int], width: int, targets: dict[str, float] |
 def _pieces(x0: np.ndarray, x1: np.ndarray, phases: list[tuple]) -> Iterator[tuple[np.ndarray, ...]]:
     """(document, first token, end token, window, place in it) of the parts of [x0, x1) of one queue."""
     for first, rounds, begin, plus, minus, before in phases:
-        quantum = sum(plus) - sum(minus)
+        rate, off = _rate(plus, minus)
 
         def at(i, begin=begin, plus=plus, minus=minus):
             return begin + _whole(i, plus) - _whole(i, minus)
 
-        def find(x, begin=begin, rounds=rounds, quantum=quantum, at=at):
-            i = np.clip(((x - begin) * float(1 << SHIFT) / quantum).astype(np.int64), 0, rounds - 1)
-            while len(bad := np.flatnonzero((at(i) > x) & (i > 0))):
-                i[bad] -= 1
-            while len(bad := np.flatnonzero((at(i + 1) <= x) & (i < rounds - 1))):
-                i[bad] += 1
-            return i
+        def find(x, begin=begin, rounds=rounds, rate=rate, off=off, at=at):
+            """The last round that begins at x or before it."""
+            lo = np.clip(((x - begin - off) / rate).astype(np.int64) - 1, 0, rounds - 1)
+            hi = np.clip(((x - begin + off) / rate).astype(np.int64) + 2, 1, rounds)
+            while len(open_ := np.flatnonzero(hi - lo > 1)):
+                mid = (lo[open_] + hi[open_]) // 2
+                low = at(mid) <= x[open_]
+                lo[open_[low]], hi[open_[~low]] = mid[low], mid[~low]
+            return lo
 
         end = int(at(rounds))
         d = np.flatnonzero((x0 < end) & (x1 > begin))
         if len(d):
-            a, b = find(np.maximum(x0[d], begin)), find(np.minimum(x1[d], end) - 1) + 1
-            w, doc = ranges(a, b), np.repeat(d, b - a)
+            lo, hi = np.maximum(x0[d], begin), np.minimum(x1[d], end)
+            if rate < 1:
+                # Most windows hold nothing of this queue: its tokens are gone through, not the windows.
+                doc = np.repeat(d, hi - lo)
+                w = find(ranges(lo, hi))
+                new = np.r_[True, (w[1:] != w[:-1]) | (doc[1:] != doc[:-1])]
+                w, doc = w[new], doc[new]
+            else:
+                a, b = find(lo), find(hi - 1) + 1
+                w, doc = ranges(a, b), np.repeat(d, b - a)
             s, e = np.maximum(at(w), x0[doc]), np.minimum(at(w + 1), x1[doc])
             ok = s < e
             w, doc, s, e = w[ok], doc[ok], s[ok], e[ok]

@@ -6,7 +6,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
-from lodestrata.llm.packing import _whole, pack, plan_windows, sequences
+from lodestrata.llm.packing import _pieces, _whole, pack, plan_windows, sequences
 from lodestrata.llm.sharding import fisher_yates, rendezvous, shard
 from lodestrata.llm.subwords import Encoder
 from lodestrata.llm.tokenfiles import read_token_files, write_token_files
@@ -135,3 +135,30 @@ def test_empty_tables(spark):
     assert pack(none, public_tokenizers.path("byte_bpe_50k.json")).count() == 0
     assert read_token_files(spark, *write_token_files(none, public_tokenizers.path("word_bpe_49k.json"))).count() == 0
     assert shard(none).count() == 0
+
+
+@pytest.mark.parametrize("totals", [dict.fromkeys(map(str, range(3000)), 200), {"hot": 300_000} | dict.fromkeys(map(str, range(2000)), 300), {str(i): 1 + i % 500 for i in range(3000)}])
+def test_any_number_of_sources_shares_the_windows(totals):
+    phases, total = plan_windows(totals, 1024), sum(totals.values())
+    n_windows = -(-total // 1024)
+    served = np.zeros((len(totals), n_windows), np.int64)
+    for k, q in enumerate(totals):
+        x = np.arange(totals[q])
+        got = [np.stack(p, 1) for p in _pieces(x, x + 1, phases[q])]
+        got = np.concatenate(got)
+        assert sorted(got[:, 1].tolist()) == x.tolist() and (got[:, 2] - got[:, 1] == 1).all()
+        np.add.at(served[k], got[:, 3], 1)
+    assert (served.sum(0)[:-1] == 1024).all()
+    share = np.array(list(totals.values())) / total
+    off = np.cumsum(served, 1) - share[:, None] * 1024 * np.arange(1, n_windows + 1)
+    assert np.abs(off[:, : n_windows - 12]).max() < 5
+
+
+def test_places_in_windows_of_many_sources_are_gapless():
+    totals = {"hot": 9_000} | {f"s{i}": 5 + i % 7 for i in range(1500)}
+    phases, at = plan_windows(totals, 1024), defaultdict(list)
+    for q, n in totals.items():
+        for p in _pieces(np.array([0]), np.array([n]), phases[q]):
+            for _, s, e, w, place in zip(*map(np.ndarray.tolist, p), strict=True):
+                at[w] += range(place, place + e - s)
+    assert all(sorted(v) == list(range(1024 if w < max(at) else len(v))) for w, v in at.items())
