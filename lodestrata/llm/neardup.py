@@ -155,19 +155,24 @@ def verified_edges(rows: DataFrame, sets: DataFrame, groups: DataFrame, words: i
     return blocked(texts, "component", "set_id", "size", SET_BLOCK).select("group", "side", "set_id", "text").mapInArrow(run, "a long, b long")
 
 
+def _groups(rows: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(the sketches of all rows, and for each set_id with words: component, a set_id as well, and one, the first of its rows; null ids last)."""
+    sets = materialise(sketches(rows, words), "sketches")
+    classes = sets.where("n > 0").groupBy("set_id", "n").agg(F.first("sketch").alias("sketch"))
+    likely = connected_components(candidate_edges(classes, percent / 100))
+    linked = connected_components(verified_edges(rows, sets, likely, words, percent))
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")).alias("one")
+    named = sets.where("n > 0").groupBy("set_id").agg(one)
+    return sets, named.join(linked, named["set_id"] == linked["node"], "left").select("set_id", F.coalesce("component", "set_id").alias("component"), "one")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with n_shingles, component_id (the smallest doc_id that links reach) and kept (it is this row's).
 
     Of rows that share the smallest doc_id all are kept.
     """
-    rows = documents(docs, RESULTS)
-    sets = materialise(sketches(rows, words), "sketches")
-    classes = sets.where("n > 0").groupBy("set_id", "n").agg(F.first("sketch").alias("sketch"))
-    likely = connected_components(candidate_edges(classes, percent / 100))
-    linked = connected_components(verified_edges(rows, sets, likely, words, percent))
-    named = sets.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"))
-    named = named.join(linked, named["set_id"] == linked["node"], "left").select("set_id", F.coalesce("component", "set_id").alias("component"), "least")
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    sets, named = _groups(documents(docs, RESULTS), words, percent)
+    least = named.groupBy("component").agg(F.min("one")["doc_id"].alias("component_id"))
     names = named.join(least, "component").select("set_id", "component_id")
     found = sets.where("n > 0").select("doc_id", "row_key", "set_id", "n").join(names, "set_id").select("doc_id", "row_key", F.col("n").alias("n_shingles"), "component_id")
     found = found.union(sets.where("n = 0").select("doc_id", "row_key", F.lit(0).cast("long"), F.col("doc_id")))
@@ -175,8 +180,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the near duplicates of a smaller doc_id; all columns pass through."""
+    """``docs`` with one row of each group of near duplicates, that of the smallest doc_id; all columns pass through.
+
+    Among rows that share it, and in groups without ids, row_key chooses; of rows with one doc_id and text, a hash of their other columns.
+    """
     rows = documents(docs)
-    gone = near_duplicates(docs, words, percent).where("not kept").select(F.col("doc_id").alias("__d"), F.col("row_key").alias("__k")).distinct()
-    left = rows.join(gone, rows["doc_id"].eqNullSafe(gone["__d"]) & (rows["row_key"] == gone["__k"]), "left_anti")
-    return restored(left, docs)
+    sets, named = _groups(rows, words, percent)
+    chosen = named.groupBy("component").agg(F.min("one").alias("chosen"))
+    keys = sets.where("n > 0").groupBy("set_id", "doc_id", "row_key").agg(F.count("*").alias("copies"))
+    keys = keys.join(named.join(chosen, "component").select("set_id", "chosen"), "set_id")
+    first = F.col("doc_id").eqNullSafe(F.col("chosen")["doc_id"]) & (F.col("row_key") == F.col("chosen")["row_key"])
+    # Rows that go, and those (``again``) of which one comes back.
+    out = materialise(keys.select(F.col("doc_id").alias("__d"), F.col("row_key").alias("__k"), first.alias("again"), "copies").where("not again or copies > 1"), "gone")
+    same = rows["doc_id"].eqNullSafe(out["__d"]) & (rows["row_key"] == out["__k"])
+    left = rows.join(out, same, "left_anti")
+    repeated = rows.join(out.where("again"), same, "left_semi").groupBy("doc_id", "row_key").agg(F.min_by(F.struct("text", "rest"), F.xxhash64(F.to_json("rest"))).alias("row"))
+    return restored(left.unionByName(repeated.select("doc_id", "row_key", "row.text", "row.rest")), docs)

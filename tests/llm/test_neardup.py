@@ -89,3 +89,18 @@ def test_components_of_paths_stars_and_cycles(spark):
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert near_duplicates(none).count() == 0 and keep_one(none).count() == 0
+
+
+def test_keep_one_leaves_one_row_of_each_group(spark):
+    rnd = random.Random(11)
+    text = [" ".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") + str(rnd.randrange(500)) for _ in range(60)) for _ in range(5)]
+    near_ = [x + " tail" for x in text]
+    rows = [(1, text[0], "x"), (1, text[0], "x"), (1, text[0], "y"), (1, near_[0], "x"), (2, text[0], "x"), (1, text[1], "x"), (7, text[1], "x")]
+    rows += [(None, text[2], "x"), (None, text[2], "x"), (None, near_[2], "z"), (None, text[3], "x"), (9, text[3], "x"), (4, text[4], "x"), (5, "", "x"), (None, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = keep_one(df, 5, 80)
+    assert got.columns == df.columns
+    got = got.collect()
+    groups = sorted(next((i for i in range(5) if r.text.startswith(text[i])), -1) for r in got)
+    assert groups == [-1, -1, 0, 1, 2, 3, 4]
+    assert {r.doc_id for r in got if r.text} == {1, None, 9, 4} and sum(r.doc_id is None for r in got if r.text) == 1
