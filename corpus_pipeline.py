@@ -36,10 +36,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Windows of 1024 tokens in which every source has its share."""
+    """Windows of 1024 tokens in which every source has its share: their pieces with the token ids (``packing.sequences`` joins them)."""
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), width=1024)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), width=1024, with_ids=True)
 
 
 STAGES = [("quality", quality_filter), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("decontamination", decontaminate), ("packing", pack)]

@@ -1,9 +1,13 @@
 """The stages in turn, each against the brute force of its operator on what the one before kept."""
 
 import hashlib
+import zlib
 
 import corpus_pipeline
+import numpy as np
+import public_tokenizers
 from lodestrata.llm.common import materialise
+from tokenizers import Tokenizer
 
 from .test_decontamination import brute as leaks
 from .test_neardup import brute as near
@@ -45,3 +49,14 @@ def test_stages(spark, sf_dir):
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == set(ids(out))
     whole = corpus_pipeline.run(spark, sf_dir)
     assert sorted(map(tuple, whole.collect()), key=str) == sorted(map(tuple, pieces.collect()), key=str)
+
+
+def test_packing_gives_the_tokens(spark):
+    rows = [(1, "a b c", "x"), (2, "some words " * 900, "y"), (3, None, None)]
+    out = corpus_pipeline.pack(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), "")
+    got = {}
+    for r in sorted(out.collect(), key=lambda r: (r.doc_id, r.start)):
+        assert len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32
+        got[r.doc_id] = got.get(r.doc_id, b"") + r.ids
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert {d: np.frombuffer(x, "<u4").tolist() for d, x in got.items()} == {d: [*tok.encode(t or "", add_special_tokens=False).ids, 0] for d, t, _ in rows}
