@@ -8,7 +8,8 @@ weights are averaged by the tokens seen (partial sums in Spark). Scoring normali
 tokens, batched matrix products give the log normaliser of every pair of classes once, on the driver, and texts look theirs up. A word outside
 the classes gets its class's probability times its add-one share of that class's counts (unseen words are one event).
 
-The learned part is kept only as far as it raises the exact likelihood of training text (a factor of 0, 0.5 or 1, chosen on a bounded sample).
+The learned part is kept only as far as it raises the exact likelihood of one in HELD training documents, which train no weights
+(a factor of 0, 0.5 or 1). All positions of the other training documents train the weights.
 
 Words among the HEAD most frequent are scored in place by a broadcast table of at most HEAD entries; all rarer ones are summed per document
 and word and joined with the counts, so nothing that grows with the vocabulary is broadcast.
@@ -32,8 +33,8 @@ from .common import documents, materialise
 
 CLASSES, HEAD = 1024, 200_000
 DIM, NOISE, BATCH = 32, 96, 4096
-#: Of the training positions every STRIDE-th trains the weights (counts take all of them).
-STRIDE = 4
+#: One in HELD training documents, by hash, trains no weights (counts take it): the factor of the learned part is chosen on it.
+HELD, FACTORS = 16, (0.0, 0.5, 1.0)
 #: Word hashes are 64 bits; the end has one of its own.
 END = np.uint64(0x0E0D0E0D0E0D0E0D)
 
@@ -176,7 +177,7 @@ def train(rows: DataFrame, table: Table, freq: np.ndarray) -> tuple[np.ndarray,
         rnd, seen = np.random.default_rng(TaskContext.get().partitionId()), 0
         for b in batches:
             for one, two, cls in triples(b):
-                pick = rnd.permutation(np.arange(rnd.integers(STRIDE), len(cls), STRIDE))
+                pick = rnd.permutation(len(cls))
                 nce_epoch(m, hist, one[pick], two[pick], cls[pick], p, rnd)
                 seen += len(pick)
         if seen:
@@ -184,28 +185,26 @@ def train(rows: DataFrame, table: Table, freq: np.ndarray) -> tuple[np.ndarray,
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(moved) + 1)), pa.array(np.r_[moved, seen])], names=["i", "x"])
 
     start_weights = initial(freq)
+    held = F.pmod(F.xxhash64("doc_id", "row_key"), F.lit(HELD)) == 0
     sums = np.zeros(len(_flat(start_weights)) + 1)
-    for r in rows.select("text").mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).toLocalIterator():
+    for r in rows.where(~held).select("text").mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).toLocalIterator():
         sums[r["i"]] = r["x"]
     if not sums[-1]:
         return normalisers(start_weights, 0.0)
     m = _shaped(_flat(start_weights) + sums[:-1] / sums[-1], start_weights)
 
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    choices = [normalisers(m, factor) for factor in FACTORS]
+    tables = spark.sparkContext.broadcast(choices)
+
+    def likelihoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gain = np.zeros(len(FACTORS))
         for b in batches:
-            for one, two, cls in triples(b):
-                k = np.random.default_rng(7).permutation(len(cls))[:2000]
-                yield pa.RecordBatch.from_arrays([pa.array(x[k].astype(np.int64)) for x in (one, two, cls)], names=["one", "two", "cls"])
-
-    held = rows.where(F.pmod(F.xxhash64("doc_id", "row_key"), F.lit(16)) == 0).select("text").mapInArrow(sample, "one long, two long, cls long").limit(100_000).toPandas().to_numpy()
-    best = None
-    for factor in (0.0, 0.5, 1.0):
-        one, two, z = normalisers(m, factor)
-        a, b, w = held.T if len(held) else np.zeros((3, 0), np.int64)
-        gain = float((one[a, w] + two[b, w] - z[a, b]).sum())
-        if best is None or gain > best[0]:
-            best = (gain, (one, two, z))
-    return best[1]
+            for a, c, w in triples(b):
+                gain += [float((one[a, w].astype(float) + two[c, w] - z[a, c]).sum()) for one, two, z in tables.value]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(FACTORS))), pa.array(gain)], names=["k", "gain"])
+
+    gains = {r["k"]: r["gain"] for r in rows.where(held).select("text").mapInArrow(likelihoods, "k long, gain double").groupBy("k").agg(F.sum("gain").alias("gain")).collect()}
+    return choices[max(range(len(FACTORS)), key=lambda k: (gains.get(k, 0.0), -k))]
 
 
 def score(docs: DataFrame, held_out: Column, classes: int = CLASSES) -> DataFrame:

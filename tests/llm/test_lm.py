@@ -66,3 +66,17 @@ def test_noise_contrast_learns_a_bigram():
     one, two, z = normalisers(m, 1.0)
     logp = one[seq[1:-1], seq[2:]] + two[seq[:-2], seq[2:]] - z[seq[1:-1], seq[:-2]]
     assert logp.mean() > -0.2
+
+
+def test_every_position_trains_but_those_held_back(spark, monkeypatch):
+    df = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(9))) for i in range(60)], "doc_id long, text string").repartition(2)
+    rows = lm.documents(df)
+    counts = [(r.h, r.c) for r in lm.count_tokens(rows).orderBy(F.desc("c"), "h").collect()]
+    table, freq, seen = lm.Table(counts, len(counts)), np.r_[[float(c) for _, c in counts], 0.0], []
+    plain = normalisers
+    monkeypatch.setattr(lm, "normalisers", lambda m, factor: seen.append(m) or plain(m, factor))
+    lm.train(rows, table, freq)
+    moved = (seen[0]["r"] != initial(freq)["r"]).any(1)
+    trained = [r.text for r in rows.where(F.pmod(F.xxhash64("doc_id", "row_key"), F.lit(16)) != 0).collect()]
+    # A word's row moves only where a position that has it as context trains: each word is followed by one or two.
+    assert 0 < len(trained) < 60 and moved[:-1].sum() == 9 * len(trained)
