@@ -432,24 +432,24 @@ def overfitting_probability(spark, sf_dir):
 
 @query
 def purged_paths(spark, sf_dir):
-    return validation.path_sharpes(validation.purged_selection(_aligned(spark, sf_dir), 6, 2, 1, 0.01), PPY)
+    return validation.path_sharpes(validation.purged_selection(_aligned(spark, sf_dir), 10, 2, 1, 0.01), PPY)
 
 
 @query
 def paths_gate(spark, sf_dir):
-    return validation.paths_gate(validation.path_sharpes(validation.purged_selection(_aligned(spark, sf_dir), 6, 2, 1, 0.01), PPY))
+    return validation.paths_gate(validation.path_sharpes(validation.purged_selection(_aligned(spark, sf_dir), 10, 2, 1, 0.01), PPY))
 
 
 @query
 def permutation_test(spark, sf_dir):
     bars, calendar, targets = _run(spark, sf_dir)
-    return validation.p_value(validation.permutation_draws(targets, bt.market(bars, calendar), PPY, draws=500))
+    return validation.p_value(validation.permutation_draws(targets, bt.market(bars, calendar), PPY, draws=10_000))
 
 
 @query
 def random_portfolios(spark, sf_dir):
     bars, calendar, targets = _run(spark, sf_dir)
-    return validation.p_value(validation.random_portfolio_draws(targets, bt.market(bars, calendar), PPY, draws=200))
+    return validation.p_value(validation.random_portfolio_draws(targets, bt.market(bars, calendar), PPY, draws=10_000))
 
 
 @query

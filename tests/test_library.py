@@ -90,3 +90,8 @@ def test_upsert_keeps_the_newer(spark, tmp_path):
     files.upsert_bars(spark.createDataFrame([bar(2, 3.0), bar(3, 4.0)], files.BARS), path)
     assert [(r.ts.day, r.close) for r in files.read_bars(spark, path, "x", date(2020, 1, 2)).collect()] == [(2, 3.0), (3, 4.0)]
     assert files.read_bars(spark, path + "-none").count() == 0
+
+
+def test_draws_and_paths_are_the_references(spark, sf_dir):
+    assert 9_900 < QUERIES["permutation_test"](spark, sf_dir).first().n <= 10_000
+    assert QUERIES["purged_paths"](spark, sf_dir).count() == 9
