@@ -20,52 +20,78 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import Slice, minimizers, mix, ranges, slices, span_hash
-from .common import materialise
+from .common import materialise, per_node
 
-INSTANCE = "a long, c long, doc_id long, row_key int, lo long, n int, off int"
+def extended(p: np.ndarray, w: np.ndarray, place: np.ndarray, short: int, long: int, width: int) -> np.ndarray:
+    """For every window ``w`` the place of the ``long`` units in it that hold the ``short`` ones at ``place`` and have the smallest hash (leftmost)."""
+    best, out = np.full(len(w), ~np.uint64(0)), place.copy()
+    fit = np.zeros(len(w), bool)
+    units = len(p) - 1
+    for back in range(long - short, -1, -1):
+        at = place - back
+        ok = (at >= w) & (at + long <= w + width)
+        s = np.clip(at, 0, max(0, units - long))
+        h = span_hash(p, s, s + long)
+        better = ok & (~fit | (h < best))
+        best, out, fit = np.where(better, h, best), np.where(better, at, out), fit | ok
+    return out
 
 
-def runs(p: np.ndarray, at: np.ndarray, gram: int, width: int) -> tuple[np.ndarray, ...]:
-    """(anchor hash, content hash, first window, windows, place of the anchor in the first window, document) of each instance.
+def runs(p: np.ndarray, at: np.ndarray, grams: tuple[int, ...], width: int) -> tuple[np.ndarray, ...]:
+    """(hashes of the anchor at each length of ``grams``, content hash, first window, windows, place of the longest anchor in the first window,
+    document) of each instance.
 
     ``p``: prefix hash over all units of a slice; ``at``: the documents' bounds in units. Windows are numbered in their documents.
+    An anchor of the next length holds the one before.
     """
     units = len(p) - 1
-    first = np.arange(max(0, units - gram + 1))
-    g = span_hash(p, first, first + gram)
-    b = minimizers(g, width - gram + 1)
+    first = np.arange(max(0, units - grams[0] + 1))
+    b = minimizers(span_hash(p, first, first + grams[0]), width - grams[0] + 1)
     w = np.flatnonzero(np.arange(len(b)) + width <= np.repeat(at[1:], np.diff(at))[: len(b)])
-    b = b[w]
-    cut = np.flatnonzero(np.r_[np.ones(min(1, len(w)), bool), (b[1:] != b[:-1]) | (w[1:] != w[:-1] + 1)])
-    lo, place = w[cut], b[cut]
+    places = [b[w]]
+    for short, long in zip(grams, grams[1:], strict=False):
+        places.append(extended(p, w, places[-1], short, long, width))
+    moved = w[1:] != w[:-1] + 1
+    for b in places:
+        moved |= b[1:] != b[:-1]
+    cut = np.flatnonzero(np.r_[np.ones(min(1, len(w)), bool), moved])
+    lo, place = w[cut], places[-1][cut]
     last = w[np.r_[cut[1:], len(w)] - 1] if len(w) else lo
     c = span_hash(p, lo, last + width) ^ mix((place - lo).astype(np.uint64) + np.uint64(1))
     doc = np.searchsorted(at, lo, side="right") - 1
-    return g[place], c, lo - at[doc], last - lo + 1, place - lo, doc
+    return [span_hash(p, b[cut], b[cut] + n) for b, n in zip(places, grams, strict=True)], c, lo - at[doc], last - lo + 1, place - lo, doc
 
 
-def instances(rows: DataFrame, of_slice: Callable[[Slice], tuple[np.ndarray, ...]]) -> DataFrame:
-    """INSTANCE rows of ``rows`` (doc_id, text, row_key). of_slice: as runs."""
+def instances(rows: DataFrame, of_slice: Callable[[Slice], tuple[np.ndarray, ...]], levels: int = 1) -> DataFrame:
+    """(a, the anchor at the longest length, c, doc_id, row_key, lo, n, off, and the anchors of the ``levels - 1`` shorter lengths: a0, a1, ...) of
+    ``rows`` (doc_id, text, row_key). of_slice: as runs."""
+    names = ["a", "c", "doc_id", "row_key", "lo", "n", "off", *(f"a{i}" for i in range(levels - 1))]
+    schema = "a long, c long, doc_id long, row_key int, lo long, n int, off int" + "".join(f", a{i} long" for i in range(levels - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in slices(b.column("text")):
-                a, c, lo, n, off, doc = of_slice(s)
-                if len(a):
+                anchors, c, lo, n, off, doc = of_slice(s)
+                if len(c):
                     row = pa.array(s.first + doc)
-                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), b.column("doc_id").take(row), b.column("row_key").take(row), pa.array(lo), pa.array(n.astype(np.int32)), pa.array(off.astype(np.int32))], names=["a", "c", "doc_id", "row_key", "lo", "n", "off"])
+                    h = [pa.array(a.view(np.int64)) for a in anchors]
+                    yield pa.RecordBatch.from_arrays([h[-1], pa.array(c.view(np.int64)), b.column("doc_id").take(row), b.column("row_key").take(row), pa.array(lo), pa.array(n.astype(np.int32)), pa.array(off.astype(np.int32)), *h[:-1]], names=names)
 
-    return rows.select("doc_id", "text", "row_key").mapInArrow(run, INSTANCE)
+    return rows.select("doc_id", "text", "row_key").mapInArrow(run, schema)
 
 
-def classes(inst: DataFrame, name: str) -> DataFrame:
-    """Instances whose anchor occurs twice, with: copies (of the class), first (doc_id, lo, row_key), kinds (classes of the anchor)."""
+def repeated(inst: DataFrame, anchor: str, name: str) -> DataFrame:
+    """The instances whose ``anchor`` occurs twice."""
     # Written, so that the join reads both sides by plain exchanges and Spark can split a very common anchor's rows.
-    twice = materialise(inst.groupBy("a").agg(F.count("*").alias("times")).where("times > 1").select("a"), f"{name}-twice")
-    met = materialise(inst.join(twice, "a", "left_semi"), name)
+    twice = materialise(inst.groupBy(anchor).agg(F.count("*").alias("times")).where("times > 1").select(anchor), f"{name}-twice")
+    return materialise(inst.join(twice, anchor, "left_semi"), name)
+
+
+def classes(met: DataFrame, name: str) -> DataFrame:
+    """``met``, instances whose anchor occurs twice, with: copies (of the class), first (doc_id, lo, row_key), kinds (classes of the anchor)."""
     by_class = met.groupBy("a", "c").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "lo", "row_key")).alias("first"))
     by_class = materialise(by_class, f"{name}-classes")
-    kinds = by_class.groupBy("a").agg(F.count("*").alias("kinds"))
+    kinds = per_node(by_class, "a", F.count("*").alias("kinds"))
     return met.join(by_class.join(kinds, "a"), ["a", "c"])
 
 

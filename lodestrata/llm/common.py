@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,9 +11,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, one of our own in local mode, else an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -51,33 +54,36 @@ def restored(df: DataFrame, like: DataFrame) -> DataFrame:
     return df.select(*[F.col("rest")[c].alias(c) if c in kept else F.col(f"`{c}`") for c in own], *[c for c in df.columns if c not in (*own, "rest", "row_key")])
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def per_node(df: DataFrame, key: str, *aggs) -> DataFrame:
+    """``aggs`` by ``key``, grouped by a struct of it: a join by the key then deals both sides out anew, so that Spark can
+    split the rows of a very common key over tasks."""
+    return df.groupBy(F.struct(key).alias("__k")).agg(*aggs).withColumn(key, F.col("__k")[key]).drop("__k")
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b): the smallest node that can be reached.
 
-    Alternates large-star and small-star steps: every node hands its larger, then its smaller, neighbours
+    Alternates large-star and small-star steps until nothing changes: every node hands its larger, then its smaller, neighbours
     to the smallest one, which converges in few rounds whatever the shape. Edges pass through written
-    tables, never through the driver. Neighbours are counted with partial
-    sums, but the join back reads all links of a node (two longs each) in one task.
+    tables, never through the driver. Neighbours are counted with partial sums, and a hub's links can be split over tasks in the join back.
     """
     norm = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = materialise(norm, "edges")
-    stamp = None
-    for _ in range(rounds):
+    before = None
+    while True:
         # Large star: of a node's neighbours the larger ones point to the smallest of all (itself included).
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = per_node(both, "a", F.least(F.min("b"), F.min("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # Small star: the smaller ones, and the node itself, point to the smallest.
         large = large.where("a != b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = per_node(large, "a", F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
         now = materialise(small.where("a != b").distinct(), "edges")
         left = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if (left["n"], left["h"]) == stamp:
+        if (left["n"], left["h"]) == before:
             break
-        stamp = (left["n"], left["h"])
-    else:
-        raise RuntimeError("components did not settle")
+        before = (left["n"], left["h"])
     member = now.groupBy("a").agg(F.min("b").alias("component"))
     root = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return member.select(F.col("a").alias("node"), "component").union(root)

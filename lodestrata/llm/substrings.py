@@ -1,8 +1,10 @@
 """Substring dedup by level-wise doubling over words.
 
-Level 1 takes windows of half the length: of each full window the half-length window with the smallest hash. Only those that
-occur twice survive; they are extended to the full length (all full windows that chose them), and of these the ones
-that start earlier too are removed. ``longest_repeats`` goes on doubling, always from survivors alone, until none are left.
+The first level takes windows of a quarter of the length: of each full window the short window with the smallest hash. Only those that
+occur twice survive and are extended to twice that length inside the full window (again the one with the smallest hash that holds
+the survivor), and so on from level to level until no candidates survive or the full length is reached; of the full windows that are left those
+that start earlier too are removed. Longer windows would add no word to those that these cover; ``longest_repeats`` goes on doubling, always from
+survivors alone, until none are left.
 
 A window is ``width`` consecutive words (maximal runs outside 0x20 and 0x09-0x0D) of one document. Every word covered by a window whose
 words also start earlier goes (smaller doc_id, or the same document further left); windows are judged on the input.
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .anchors import classes, coverage, instances, list_column, runs, spans_by_document, windows_of, with_spans
+from .anchors import classes, coverage, instances, list_column, repeated, runs, spans_by_document, windows_of, with_spans
 from .bytetext import Slice, prefix_hash, slices
 from .common import documents, materialise, restored
 
@@ -39,16 +41,27 @@ def _later(first: str) -> F.Column:
     return F.struct("doc_id", "lo") > F.struct(F.col(first)["doc_id"].alias("doc_id"), F.col(first)["lo"].alias("lo"))
 
 
+def levels(width: int) -> tuple[int, ...]:
+    """The lengths below ``width``, each at least half of the next."""
+    half = (width + 1) // 2
+    return tuple(sorted({(half + 1) // 2, half}))
+
+
 def repeated_spans(rows: DataFrame, width: int) -> DataFrame:
     """(doc_id, row_key, spans) of the words that go, for ``rows`` as made by common.documents."""
-    half = max(1, width // 2)
+    lengths = levels(width)
 
     def of_slice(s: Slice):
         h, _, _, _, at = s.word_hashes(False, 1)
-        return runs(prefix_hash(h), at, half, width)
+        return runs(prefix_hash(h), at, lengths, width)
 
-    met = materialise(classes(instances(rows, of_slice), "halves").withColumn("gone", _later("first")).where("gone or kinds > 1").select("doc_id", "row_key", "lo", "n", "gone"), "candidates")
-    # Second level: the full windows of the first member of each class, where an anchor has several classes.
+    alive = instances(rows, of_slice, len(lengths))
+    for k, length in enumerate(lengths):
+        alive = repeated(alive, f"a{k}" if k < len(lengths) - 1 else "a", f"level-{length}")
+        if alive.isEmpty():
+            break
+    met = materialise(classes(alive, "full").withColumn("gone", _later("first")).where("gone or kinds > 1").select("doc_id", "row_key", "lo", "n", "gone"), "candidates")
+    # Last level: the full windows of the first member of each class, where an anchor has several classes.
     open_spans = spans_by_document(met.where("not gone"), width)
     full = windows_of(with_spans(rows, open_spans).where("spans is not null"), _prefixes, width)
     full = materialise(full, "windows")

@@ -5,8 +5,10 @@ start at the anchors of one group, and likewise the reversed prefixes that end t
 (ternary partitions by eight-byte characters) down to a shallow depth, then a blind trie orders each group that is still tied.
 Neighbours' longest common prefixes to the right and to the left give, for any two members, the match around the anchor; a match of
 at least ``width`` bytes repeats. Members with the same whole content are first collapsed to one with a count of two
-or more, which settles all their windows, so a group holds one member per distinct content. Groups beyond ``most`` members
-(a passage in very many different contexts) compare 128-bit hashes of their windows by an aggregate instead.
+or more, which settles all their windows, so a group holds one member per distinct content. A task sorts groups of at most ``most`` members.
+Larger ones (a passage in very many different contexts) are first parted by prefix: windows that start within the same ``step`` bytes
+before the anchor share all but ``step`` - 1 of their bytes, so members meet by a 128-bit hash of those, and each block is sorted by itself;
+blocks that are still too large are parted again with smaller steps. At a step of one nothing is left to order: a block is one string.
 
 Matches never cross documents; strings are judged on the input; every byte covered by a string that also starts anywhere else goes, all
 copies alike. Null text is empty; a document shorter than ``width`` keeps everything; repeated rows repeat each other;
@@ -23,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .anchors import classes, coverage, instances, list_column, runs, spans_by_document, windows_of, with_spans
-from .bytetext import Slice, byte_table, prefix_hash, slices
+from .anchors import classes, coverage, instances, list_column, repeated, runs, spans_by_document, with_spans
+from .bytetext import Slice, byte_table, mix, prefix_hash, ranges, slices, span_hash
 from .common import documents, materialise, restored
 from .lists import whole_groups
 
@@ -161,6 +163,7 @@ def _byte_prefix(s: Slice, seed: int) -> np.ndarray:
 
 
 FOUND = "doc_id long, row_key int, lo long, n int"
+MEMBER = "a long, b long, doc_id long, row_key int, lo long, n int, off int, context binary"
 
 
 def repeated_spans(rows: DataFrame, width: int, most: int = 1024) -> DataFrame:
@@ -168,40 +171,70 @@ def repeated_spans(rows: DataFrame, width: int, most: int = 1024) -> DataFrame:
     gram = min(GRAM, max(1, width // 4))
 
     def of_slice(s: Slice):
-        return runs(_byte_prefix(s, 7), s.off, gram, width)
+        return runs(_byte_prefix(s, 7), s.off, (gram,), width)
 
-    met = classes(instances(rows, of_slice), "anchors").where("copies > 1 or kinds > 1")
+    met = classes(repeated(instances(rows, of_slice), "a", "anchors"), "anchors").where("copies > 1 or kinds > 1")
     # One member of each class stands for it where its anchor has other classes.
     stands = F.struct("doc_id", "lo", "row_key") == F.col("first")
     met = materialise(met.select("a", "doc_id", "row_key", "lo", "n", "off", "kinds", (F.col("copies") > 1).alias("gone"), (stands & (F.col("kinds") > 1)).alias("open")).where("gone or open"), "met")
-    gone = met.where("gone").select("doc_id", "row_key", "lo", "n")
+    found = met.where("gone").select("doc_id", "row_key", "lo", "n")
     contexts = with_spans(rows, _members(met.where("open"))).where("spans is not null").select("doc_id", "row_key", "text", "spans")
-    members = contexts.mapInArrow(lambda batches: _contexts(batches, width), "a long, doc_id long, row_key int, lo long, n int, off int, kinds long, context binary")
-    members = materialise(members, "members")
+    members = materialise(contexts.mapInArrow(lambda batches: _contexts(batches, width), MEMBER + ", kinds long"), "members")
 
     def sort_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in whole_groups(batches, "a"):
-            a = b.column("a").to_numpy()
-            cut = np.r_[0, np.flatnonzero(a[1:] != a[:-1]) + 1, len(a)]
-            ctx, off, n, lo = (b.column(c).to_pylist() for c in ("context", "off", "n", "lo"))
+        for batch in whole_groups(batches, "a"):
+            a, b = (batch.column(c).to_numpy() for c in ("a", "b"))
+            cut = np.r_[0, np.flatnonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1, len(a)]
+            ctx, off, n, lo = (batch.column(c).to_pylist() for c in ("context", "off", "n", "lo"))
             row, first, size = [], [], []
             for i, j in zip(cut.tolist(), cut[1:].tolist(), strict=False):
-                for k, found in enumerate(repeated_in_group(ctx[i:j], off[i:j], n[i:j], width), i):
-                    for w, m in found:
+                for k, hits in enumerate(repeated_in_group(ctx[i:j], off[i:j], n[i:j], width), i):
+                    for w, m in hits:
                         row.append(k)
                         first.append(lo[k] + w)
                         size.append(m)
             if row:
                 r = pa.array(row)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(r), b.column("row_key").take(r), pa.array(first, pa.int64()), pa.array(size, pa.int32())], names=["doc_id", "row_key", "lo", "n"])
-
-    few = members.where(F.col("kinds") <= most).repartition("a").sortWithinPartitions("a").drop("kinds").mapInArrow(sort_groups, FOUND)
-    # Larger groups: their windows' hashes, counted with partial sums.
-    many = spans_by_document(members.where(F.col("kinds") > most), width)
-    windows = materialise(windows_of(with_spans(rows, many).where("spans is not null"), lambda s: (_byte_prefix(s, 7), _byte_prefix(s, 8), s.off), width).distinct(), "windows")
-    twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("times")).where("times > 1").drop("times")
-    again = windows.join(twice, ["h1", "h2"], "left_semi").select("doc_id", "row_key", "lo", "n")
-    return spans_by_document(gone.union(few).union(again), width)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(r), batch.column("row_key").take(r), pa.array(first, pa.int64()), pa.array(size, pa.int32())], names=["doc_id", "row_key", "lo", "n"])
+
+    step = width
+    while True:
+        few = members.where(F.col("kinds").between(2, most)).drop("kinds")
+        found = found.union(few.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(sort_groups, FOUND))
+        many = members.where(F.col("kinds") > most)
+        if many.isEmpty():
+            return spans_by_document(found, width)
+        if step == 1:
+            return spans_by_document(found.union(many.select("doc_id", "row_key", "lo", "n")), width)
+        step = max(1, step // 8)
+        # Written, so that the join reads both sides by plain exchanges and Spark can split a very large block's rows.
+        parts = materialise(many.mapInArrow(lambda batches, step=step: _parted(batches, width, step), MEMBER), "parts")
+        kinds = materialise(parts.groupBy("a", "b").agg(F.count("*").alias("kinds")).where("kinds > 1"), "kinds")
+        members = materialise(parts.join(kinds, ["a", "b"]), "members")
+
+
+def _parted(batches: Iterator[pa.RecordBatch], width: int, step: int) -> Iterator[pa.RecordBatch]:
+    """Members cut into those of their windows that start in the same ``step`` bytes before the anchor; (a, b): what all of these share."""
+    core = width - step + 1
+    for batch in batches:
+        off, n, lo = (batch.column(c).to_numpy().astype(np.int64) for c in ("off", "n", "lo"))
+        text = batch.column("context").cast(pa.large_binary())
+        at = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+        data = np.frombuffer(text.buffers()[2], np.uint8)
+        low = np.maximum(off - n + 1, 0)
+        block = ranges(low // step, off // step + 1)
+        m = np.repeat(np.arange(len(off)), off // step - low // step + 1)
+        far, near = np.minimum(block * step + step - 1, off[m]), np.maximum(block * step, low[m])
+        for i in range(0, len(m), 4096):
+            k, hi, o0 = m[i : i + 4096], far[i : i + 4096], block[i : i + 4096] * step
+            base = at[k[0]]
+            piece = data[base : at[k[-1] + 1]]
+            begin = at[k] - base + off[k] - o0
+            key = [span_hash(prefix_hash(byte_table(seed, False)[piece]), begin, begin + core) ^ mix(o0.astype(np.uint64) + np.uint64(1)) for seed in (7, 8)]
+            start, size = at[k] + off[k] - hi, hi - near[i : i + 4096] + 1
+            raw = [data[x:y].tobytes() for x, y in zip(start.tolist(), (start + size - 1 + width).tolist(), strict=True)]
+            row = pa.array(k)
+            yield pa.RecordBatch.from_arrays([*[pa.array(x.view(np.int64)) for x in key], batch.column("doc_id").take(row), batch.column("row_key").take(row), pa.array(lo[k] + off[k] - hi), pa.array(size.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(raw, pa.binary())], names=["a", "b", "doc_id", "row_key", "lo", "n", "off", "context"])
 
 
 def _members(met: DataFrame) -> DataFrame:
@@ -219,7 +252,7 @@ def _contexts(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
             ctx = [raw[x:y] for x, y in zip(start.tolist(), (start + n[i:j] - 1 + width).tolist(), strict=True)]
             for c in range(0, len(ctx), 4096):
                 d = slice(i + c, min(j, i + c + 4096))
-                yield pa.RecordBatch.from_arrays([pa.array(a[d]), b.column("doc_id").take(row[c : c + 4096]), b.column("row_key").take(row[c : c + 4096]), pa.array(lo[d]), pa.array(n[d]), pa.array(off[d]), pa.array(kinds[d]), pa.array(ctx[c : c + 4096], pa.binary())], names=["a", "doc_id", "row_key", "lo", "n", "off", "kinds", "context"])
+                yield pa.RecordBatch.from_arrays([pa.array(a[d]), pa.array(np.zeros(len(row[c : c + 4096]), np.int64)), b.column("doc_id").take(row[c : c + 4096]), b.column("row_key").take(row[c : c + 4096]), pa.array(lo[d]), pa.array(n[d]), pa.array(off[d]), pa.array(ctx[c : c + 4096], pa.binary()), pa.array(kinds[d])], names=["a", "b", "doc_id", "row_key", "lo", "n", "off", "context", "kinds"])
 
 
 def remove_repeats(docs: DataFrame, width: int = 400, most: int = 1024) -> DataFrame:

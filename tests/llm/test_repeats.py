@@ -89,7 +89,7 @@ def bytes_kept(docs, width):
     return out
 
 
-@pytest.mark.parametrize(("width", "most"), [(400, 1024), (100, 1024), (100, 3)])
+@pytest.mark.parametrize(("width", "most"), [(400, 1024), (100, 1024), (100, 3), (400, 2), (100, 1)])
 def test_suffixes_match_brute_force(spark, width, most):
     docs = list(enumerate(texts())) + [(None, texts()[5]), (9, texts()[9]), (9, texts()[9]), (3, texts()[30])]
     df = spark.createDataFrame([(d, t, 1, "x") for d, t in docs], "doc_id long, text string, n_removed int, `a.b` string").repartition(4)
