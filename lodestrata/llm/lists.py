@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def blocked(rows: DataFrame, key: str, member: str, size: str, block: int) -> DataFrame:
-    """``rows`` with ``group`` and ``side``, in partitions sorted by group.
+def blocked(rows: DataFrame, key: str, member: str, size: str, block: int, dealt: bool = True) -> DataFrame:
+    """``rows`` with ``group`` and ``side``, in partitions sorted by group (``dealt``; else as they come).
 
     A list (all rows of one ``key``; ``size`` of them) of at most ``block`` rows is one group. A longer one is dealt by a hash of ``member`` into blocks;
     each two blocks are a group (sides 0 and 1), and each block by itself one, so every two members meet exactly once
@@ -23,7 +23,21 @@ def blocked(rows: DataFrame, key: str, member: str, size: str, block: int) -> Da
     out = out.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
     x, y = F.least("__own", "__other"), F.greatest("__own", "__other")
     out = out.withColumn("group", F.xxhash64(key, x, y)).withColumn("side", F.when(x == y, F.lit(-1)).otherwise((F.col("__own") == y).cast("int")).cast("int"))
-    return out.drop("__blocks", "__own", "__other").repartition("group").sortWithinPartitions("group")
+    out = out.drop("__blocks", "__own", "__other")
+    return out.repartition("group").sortWithinPartitions("group") if dealt else out
+
+
+def grid(left: DataFrame, right: DataFrame, key: str, member: str, n_left: str, n_right: str, block: int) -> DataFrame:
+    """The rows of both with ``group`` and ``side`` (0 and 1): each block of a key's left rows meets each block of its right ones.
+
+    A left row is copied once for every ``block`` right rows of its key, and the other way round.
+    """
+    blocks = lambda n: F.ceil(F.col(n) / F.lit(block)).cast("int")
+    own = lambda n: F.pmod(F.xxhash64(member, F.lit(5)), blocks(n)).cast("int")
+    all_ = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    a = left.withColumn("__x", own(n_left)).withColumn("__y", all_(n_right)).withColumn("side", F.lit(0))
+    b = right.withColumn("__y", own(n_right)).withColumn("__x", all_(n_left)).withColumn("side", F.lit(1))
+    return a.unionByName(b).withColumn("group", F.xxhash64(F.lit("grid"), key, "__x", "__y")).drop("__x", "__y")
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str = "group") -> Iterator[pa.RecordBatch]:

@@ -1,13 +1,16 @@
 """Near duplicates by bottom-k sketches from one hash function.
 
 A document's set holds its distinct ``words``-word shingles as 64-bit hashes (with fewer words the whole sequence is its one
-shingle). Equal sets are one class. A class's sketch is its KEPT smallest hashes; the INDEXED smallest of them go into inverted lists.
-In the lists two classes meet if their sizes allow the similarity; the sketch of their union (the smallest KEPT of both sketches) estimates
-it, and estimates far below the threshold (five standard deviations) are dropped. What is left splits the classes into groups, and
-within a group every two are verified on full sets. Lists and groups of any length are cut into blocks whose pairs meet
-in separate tasks; what leaves a task are the edges of a spanning forest, never all pairs.
+shingle). Equal sets are one class. A class's sketch is its KEPT smallest hashes, of which the INDEXED rarest go into inverted lists.
+Classes with equal sketches stand together in the lists, where two meet if their sizes allow the similarity; the sketch of their union (the
+smallest KEPT of both) estimates it, and estimates far below the threshold (five standard deviations) are dropped. In a list two that links of the
+same task connect already aren't compared again. Lists of any length are cut into blocks whose pairs meet in separate tasks; what leaves a
+task are the edges of a spanning forest, never all pairs.
 
-Two sets of similarity 0.8 share none of their 16 smallest hashes with probability 0.2**16 (7e-12); smaller sets are indexed whole.
+These edges are verified on full sets first. Where they don't connect a group by themselves, the parts that they leave are compared, members of
+the largest part with all others and those among each other, in blocks, but never two of one part.
+
+The estimate asks for at least 9 of 24 hashes in common (at 0.8), so of a sketch's 24 any 16 hold a common one.
 
 Letters A-Z count as a-z. Documents without words link with nothing; a null doc_id never gives its name to a component (components without
 any other have null); rows that share a doc_id count as separate documents; an empty table gives no rows. Columns
@@ -20,12 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytetext import Slice, mix, shingles, slices
 from .common import connected_components, documents, materialise, restored
-from .lists import blocked, forest, pairs, whole_groups
+from .lists import blocked, forest, grid, pairs, whole_groups
 
 KEPT, INDEXED = 24, 16
 #: Rows of a block of an inverted list, and of a group whose full sets are compared.
@@ -61,8 +64,8 @@ def sketches(rows: DataFrame, words: int) -> DataFrame:
     return rows.select("doc_id", "row_key", "text").mapInArrow(run, "doc_id long, row_key int, set_id long, n long, sketch array<long>")
 
 
-def _likely(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """(whether the union sketch estimates at least ``least``, smallest common hash) of padded sketches, row by row."""
+def _likely(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Whether the union sketch estimates at least ``least``, of padded sketches, row by row."""
     same = a[:, :, None] == b[:, None, :]
     common = same.any(2) & (a != _NONE)
     smaller = (b[:, None, :] < a[:, :, None]).sum(2)
@@ -71,38 +74,38 @@ def _likely(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.
     union = (a != _NONE).sum(1) + (b != _NONE).sum(1) - common.sum(1)
     k = np.minimum(union, a.shape[1])
     hits = (common & (place < k[:, None])).sum(1)
-    return hits >= least * k, np.where(common, a, _NONE).min(1)
+    return hits >= least * k
 
 
 def candidate_edges(classes: DataFrame, threshold: float) -> DataFrame:
     """Edges (a, b) of set_ids that connect all classes whose sketches look alike."""
     least = max(0.0, threshold - 5 * float(np.sqrt(threshold * (1 - threshold) / KEPT)))
-    indexed = classes.select("set_id", F.explode(F.slice("sketch", 1, INDEXED)).alias("v"))
-    size = indexed.groupBy("v").agg(F.count("*").alias("size")).where("size > 1")
-    lists = indexed.join(size, "v").join(classes, "set_id")
+    alike = materialise(classes.groupBy("sketch").agg(F.min("set_id").alias("set_id"), F.min("n").alias("low"), F.max("n").alias("high")), "alike")
+    same = classes.select("sketch", F.col("set_id").alias("a")).join(alike.select("sketch", F.col("set_id").alias("b")), "sketch").where("a != b").select("a", "b")
+    values = alike.select("set_id", F.explode("sketch").alias("v"))
+    size = materialise(values.groupBy("v").agg(F.count("*").alias("size")), "lists")
+    rarest = Window.partitionBy("set_id").orderBy("size", "v")
+    indexed = values.join(size, "v").withColumn("__rank", F.row_number().over(rarest)).where((F.col("__rank") <= INDEXED) & (F.col("size") > 1)).drop("__rank")
+    lists = indexed.join(alike, "set_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in whole_groups(batches):
-            ids, n, v = (b.column(c).to_numpy() for c in ("set_id", "n", "v"))
+            ids, low, high = (b.column(c).to_numpy() for c in ("set_id", "low", "high"))
             at = np.r_[0, np.cumsum(b.column("sketch").value_lengths().to_numpy())]
             table = np.full((len(ids), KEPT), _NONE)
             table[np.repeat(np.arange(len(ids)), np.diff(at)), np.arange(at[-1]) - np.repeat(at[:-1], np.diff(at))] = b.column("sketch").flatten().to_numpy()
-            left, right = [], []
-            for i, j in pairs(b.column("group").to_numpy(), b.column("side").to_numpy()):
-                fits = np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9
-                i, j = i[fits], j[fits]
-                ok, first = _likely(table[i], table[j], least)
-                # Each pair counts once, in the list of the smallest hash that both have indexed.
-                ok &= first == v[i]
-                left.append(i[ok])
-                right.append(j[ok])
-            if left:
-                root = forest(len(ids), np.concatenate(left), np.concatenate(right))
-                k = np.flatnonzero(root != np.arange(len(ids)))
-                if len(k):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[k]), pa.array(ids[root[k]])], names=["a", "b"])
-
-    return blocked(lists, "v", "set_id", "size", LIST_BLOCK).select("group", "side", "v", "set_id", "n", "sketch").mapInArrow(run, "a long, b long")
+            root = np.arange(len(ids))
+            for i, j in pairs(b.column("group").to_numpy(), b.column("side").to_numpy(), 20_000):
+                open_ = (root[i] != root[j]) & (high[i] >= threshold * low[j] - 1e-9) & (high[j] >= threshold * low[i] - 1e-9)
+                i, j = i[open_], j[open_]
+                ok = _likely(table[i], table[j], least)
+                root = forest(len(ids), root[i[ok]], root[j[ok]])[root]
+            k = np.flatnonzero(root != np.arange(len(ids)))
+            if len(k):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[k]), pa.array(ids[root[k]])], names=["a", "b"])
+
+    met = blocked(lists, "v", "set_id", "size", LIST_BLOCK).select("group", "side", "set_id", "low", "high", "sketch").mapInArrow(run, "a long, b long")
+    return met.union(same)
 
 
 def _common(sets: list[np.ndarray]) -> np.ndarray:
@@ -122,29 +125,50 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def verified_edges(rows: DataFrame, sets: DataFrame, groups: DataFrame, words: int, percent: int) -> DataFrame:
-    """Edges (a, b) that connect exactly the set_ids joined by similarities of ``percent`` or more. groups: (node, component)."""
+def full_sets(rows: DataFrame, sets: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(set_id, hashes) of the set_ids in ``wanted`` (node), from one row of each."""
     chosen = sets.groupBy("set_id").agg(F.min(F.struct("doc_id", "row_key")).alias("one"))
-    size = groups.groupBy("component").agg(F.count("*").alias("size"))
-    members = groups.join(size, "component").join(chosen, groups["node"] == chosen["set_id"]).select("set_id", "component", "size", F.col("one")["doc_id"].alias("__d"), F.col("one")["row_key"].alias("__k"))
-    texts = members.join(rows.select("doc_id", "row_key", "text"), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("row_key") == F.col("__k"))).select("set_id", "component", "size", "text")
+    one = wanted.join(chosen, wanted["node"] == chosen["set_id"]).select("set_id", F.col("one")["doc_id"].alias("__d"), F.col("one")["row_key"].alias("__k"))
+    texts = one.join(rows.select("doc_id", "row_key", "text"), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("row_key") == F.col("__k"))).select("set_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in whole_groups(batches):
-            ids, group, side = (b.column(c).to_numpy() for c in ("set_id", "group", "side"))
-            sets_ = []
+        for b in batches:
             for s in slices(b.column("text")):
                 v, at = _sets(s, words)
-                sets_ += np.split(v, at[1:-1])
+                yield pa.RecordBatch.from_arrays([b.column("set_id").slice(s.first, s.n), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(v))], names=["set_id", "hashes"])
+
+    # Rows that share a doc_id and a text give the same set.
+    return texts.mapInArrow(run, "set_id long, hashes array<long>").dropDuplicates(["set_id"])
+
+
+def _linked(x: str, y: str, percent: int) -> F.Column:
+    both = F.size(F.array_intersect(x, y))
+    return 100 * both >= percent * (F.size(x) + F.size(y) - both)
+
+
+def part_edges(sets: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) between members of different parts of a group. parts: (set_id, component, part) of groups with several parts."""
+    part = parts.groupBy("component", "part").agg(F.count("*").alias("n"))
+    counted = part.groupBy("component").agg(F.max(F.struct("n", "part")).alias("main"), F.sum("n").alias("all"))
+    counted = counted.select("component", F.col("main")["part"].alias("main"), F.col("main")["n"].alias("n_main"), (F.col("all") - F.col("main")["n"]).alias("n_rest"))
+    members = parts.join(counted, "component").join(sets, "set_id")
+    main, rest = members.where("part = main"), members.where("part != main")
+    met = grid(main, rest, "component", "set_id", "n_main", "n_rest", SET_BLOCK).unionByName(blocked(rest, "component", "set_id", "n_rest", SET_BLOCK, dealt=False))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in whole_groups(batches):
+            ids, group, side, part = (b.column(c).to_numpy() for c in ("set_id", "group", "side", "part"))
+            at = np.r_[0, np.cumsum(b.column("hashes").value_lengths().to_numpy())]
+            flat = b.column("hashes").flatten().to_numpy()
             a, c = [], []
             cut = np.r_[0, np.flatnonzero(group[1:] != group[:-1]) + 1, len(group)]
             for i, j in zip(cut.tolist(), cut[1:].tolist(), strict=False):
                 if j - i > 1:
-                    inter = _common(sets_[i:j])
+                    inter = _common([flat[at[k] : at[k + 1]] for k in range(i, j)])
                     n = np.diag(inter)
                     linked = 100 * inter >= percent * (n[:, None] + n[None, :] - inter)
                     x, y = np.nonzero(np.triu(linked, 1))
-                    ok = (side[i] < 0) | (side[i + x] != side[i + y])
+                    ok = ((side[i] < 0) | (side[i + x] != side[i + y])) & (part[i + x] != part[i + y])
                     root = forest(j - i, x[ok], y[ok])
                     k = np.flatnonzero(root != np.arange(j - i))
                     a.append(ids[i + k])
@@ -152,15 +176,33 @@ def verified_edges(rows: DataFrame, sets: DataFrame, groups: DataFrame, words: i
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(c))], names=["a", "b"])
 
-    return blocked(texts, "component", "set_id", "size", SET_BLOCK).select("group", "side", "set_id", "text").mapInArrow(run, "a long, b long")
+    dealt = met.select("group", "side", "set_id", "part", "hashes").repartition("group").sortWithinPartitions("group")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def verified(rows: DataFrame, sets: DataFrame, candidates: DataFrame, words: int, percent: int) -> DataFrame:
+    """(node, component) of exactly the set_ids joined by similarities of ``percent`` or more, for edges (a, b) that connect all likely ones."""
+    groups = materialise(connected_components(candidates), "groups")
+    hashes = materialise(full_sets(rows, sets, groups, words), "hashes")
+    x, y = hashes.select(F.col("set_id").alias("a"), F.col("hashes").alias("x")), hashes.select(F.col("set_id").alias("b"), F.col("hashes").alias("y"))
+    sure = materialise(candidates.join(x, "a").join(y, "b").where(_linked("x", "y", percent)).select("a", "b"), "sure")
+    # Parts that the candidates' own links leave: a group of several is looked at again.
+    found = connected_components(sure)
+    parts = groups.join(found.withColumnRenamed("component", "part"), "node", "left").select(F.col("node").alias("set_id"), "component", F.coalesce("part", "node").alias("part"))
+    several = parts.groupBy("component").agg((F.min("part") != F.max("part")).alias("open")).where("open").select("component")
+    open_parts = materialise(parts.join(several, "component", "left_semi"), "parts")
+    if open_parts.isEmpty():
+        return found
+    more = part_edges(hashes, open_parts, percent)
+    return connected_components(sure.union(more))
 
 
 def _groups(rows: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(the sketches of all rows, and for each set_id with words: component, a set_id as well, and one, the first of its rows; null ids last)."""
     sets = materialise(sketches(rows, words), "sketches")
     classes = sets.where("n > 0").groupBy("set_id", "n").agg(F.first("sketch").alias("sketch"))
-    likely = connected_components(candidate_edges(classes, percent / 100))
-    linked = connected_components(verified_edges(rows, sets, likely, words, percent))
+    candidates = candidate_edges(materialise(classes, "classes"), percent / 100)
+    linked = verified(rows, sets, materialise(candidates.distinct(), "candidates"), words, percent)
     one = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")).alias("one")
     named = sets.where("n > 0").groupBy("set_id").agg(one)
     return sets, named.join(linked, named["set_id"] == linked["node"], "left").select("set_id", F.coalesce("component", "set_id").alias("component"), "one")

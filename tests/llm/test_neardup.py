@@ -68,7 +68,8 @@ def test_matches_brute_force(spark, monkeypatch, words, percent, block):
     want = [(d, n, c, k) for d, n, c, k in brute(docs, words, percent)]
     assert sorted(got, key=key) == sorted(want, key=key)
     kept = keep_one(df, words, percent)
-    assert kept.columns == df.columns and kept.count() == sum(k for *_, k in want)
+    # One row of each group, however often it is repeated; rows without words stay. (Null ids: their groups are told apart by what is in them.)
+    assert kept.columns == df.columns and kept.count() == len({c for _, n, c, _ in want if n and c is not None}) + sum(n > 0 and c is None for _, n, c, _ in want) + sum(not n for _, n, *_ in want)
 
 
 def test_query_matches_brute_force(spark, sf_dir):
