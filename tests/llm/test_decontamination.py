@@ -3,7 +3,6 @@
 import random
 
 import pytest
-from lodestrata.llm import decontamination
 from lodestrata.llm.decontamination import clean, contained
 
 from .test_neardup import key, shingle_set
@@ -20,9 +19,8 @@ def brute(docs, items, words=5, percent=80):
     return sorted(out, key=key)
 
 
-@pytest.mark.parametrize("block", [400_000, 50])
-def test_matches_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(decontamination, "BLOCK", block)
+@pytest.mark.parametrize("broadcast", [400_000, 50])
+def test_matches_brute_force(spark, broadcast):
     rnd = random.Random(4)
     word = lambda n: [rnd.choice("abcdefgh") + str(rnd.randrange(30)) for _ in range(n)]
     items = [(i, " ".join(word(n))) for i, n in enumerate([1, 3, 5, 6, 9, 15, 20, 40, 60, 60])] + [(90, None), (91, ""), (None, "x y z"), (9, "x y z")]
@@ -36,8 +34,8 @@ def test_matches_brute_force(spark, monkeypatch, block):
     df = spark.createDataFrame([(d, t, 1) for d, t in docs], "doc_id long, text string, item_id int").repartition(3)
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = brute(docs, items)
-    assert sorted(((r.doc_id, r.item_id, r.n_item, r.n_shared) for r in contained(df, bench).collect()), key=key) == want
-    left = clean(df, bench)
+    assert sorted(((r.doc_id, r.item_id, r.n_item, r.n_shared) for r in contained(df, bench, broadcast=broadcast).collect()), key=key) == want
+    left = clean(df, bench, broadcast=broadcast)
     assert left.columns == df.columns and left.count() == sum(not brute([d], items) for d in docs)
     assert contained(df, bench.limit(0)).count() == 0 and contained(df.limit(0), bench).count() == 0
 
