@@ -1,6 +1,6 @@
 """Substring dedup by level-wise doubling over words.
 
-The first level takes windows of a quarter of the length: of each full window the short window with the smallest hash. Only those that
+The first level takes short windows (the length halved until LEAST words): of each full window the short window with the smallest hash. Only those that
 occur twice survive and are extended to twice that length inside the full window (again the one with the smallest hash that holds
 the survivor), and so on from level to level until no candidates survive or the full length is reached; of the full windows that are left those
 that start earlier too are removed. Longer windows would add no word to those that these cover; ``longest_repeats`` goes on doubling, always from
@@ -29,6 +29,8 @@ from .bytetext import Slice, prefix_hash, slices
 from .common import documents, materialise, restored
 
 RESULTS = ("n_words", "n_removed")
+#: Words of the first level, at least: of 5-word windows over nine in ten repeat somewhere, so they part nothing.
+LEAST = 8
 
 
 def _prefixes(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -41,10 +43,12 @@ def _later(first: str) -> F.Column:
     return F.struct("doc_id", "lo") > F.struct(F.col(first)["doc_id"].alias("doc_id"), F.col(first)["lo"].alias("lo"))
 
 
-def levels(width: int) -> tuple[int, ...]:
-    """The lengths below ``width``, each at least half of the next."""
-    half = (width + 1) // 2
-    return tuple(sorted({(half + 1) // 2, half}))
+def levels(width: int, least: int = LEAST) -> tuple[int, ...]:
+    """The lengths below ``width``, each half of the next (rounded up), down to ``least``; one at any rate."""
+    out = [(width + 1) // 2]
+    while (out[0] + 1) // 2 >= least:
+        out.insert(0, (out[0] + 1) // 2)
+    return tuple(out)
 
 
 def repeated_spans(rows: DataFrame, width: int) -> DataFrame:

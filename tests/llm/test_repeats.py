@@ -49,7 +49,7 @@ def key(r):
     return (r[0] is not None, r[0] or 0, *r[1:])
 
 
-@pytest.mark.parametrize("width", [20, 7])
+@pytest.mark.parametrize("width", [20, 7, 64])
 def test_substrings_match_brute_force(spark, width):
     docs = list(enumerate(texts())) + [(None, texts()[5]), (9, texts()[9]), (9, texts()[9]), (3, texts()[30])]
     df = spark.createDataFrame([(d, t, 1, "x") for d, t in docs], "doc_id long, text string, n_removed int, `a.b` string").repartition(4)
