@@ -113,7 +113,9 @@ def stress(held: DataFrame, shocks: DataFrame) -> DataFrame:
     names = shocks.select("scenario").distinct()
     m = held.where("position != 0").crossJoin(names).join(shocks, ["scenario", "instrument_id"], "left")
     s = F.when(F.col("shock").isNull(), F.raise_error(F.lit("no shock for a held instrument")).cast("double")).otherwise(F.col("shock"))
-    return m.groupBy("run_id", "scenario", "ts").agg(F.sum(F.col("position") * s).alias("impact"))
+    # Summed in the order of instruments, so that an impact of 0 stays 0 however rows are dealt.
+    parts = F.sort_array(F.collect_list(F.struct("instrument_id", (F.col("position") * s).alias("x"))))
+    return m.groupBy("run_id", "scenario", "ts").agg(F.aggregate(parts, F.lit(0.0), lambda total, p: total + p["x"]).alias("impact"))
 
 
 def stress_summary(impacts: DataFrame) -> DataFrame:
@@ -204,6 +206,6 @@ def sparkline(snaps: DataFrame, points: int = 120) -> DataFrame:
 def aligned(snaps: DataFrame) -> DataFrame:
     """(run_id, ts, r) on days when every run of the table is active."""
     a = active(snaps).select("run_id", "ts", "r")
-    n = a.select("run_id").distinct().count()
-    full = a.groupBy("ts").agg(F.count("*").alias("n")).where(F.col("n") == n).select("ts")
+    runs = a.agg(F.count_distinct("run_id").alias("runs"))
+    full = a.groupBy("ts").agg(F.count("*").alias("n")).crossJoin(F.broadcast(runs)).where("n = runs").select("ts")
     return a.join(full, "ts", "left_semi")

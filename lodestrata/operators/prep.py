@@ -20,6 +20,14 @@ def next_session(days: DataFrame, calendar: DataFrame) -> DataFrame:
     return days.join(after, "day").withColumn("session", F.coalesce("session", "day"))
 
 
+def forward_filled(bars: DataFrame, calendar: DataFrame) -> DataFrame:
+    """(instrument_id, ts, close) on every session from an instrument's first bar on; without a bar the last close stays."""
+    first = bars.groupBy("instrument_id").agg(F.min("ts").alias("first"))
+    grid = first.join(F.broadcast(calendar.select("ts")), F.col("ts") >= F.col("first")).select("instrument_id", "ts")
+    known = grid.join(bars.select("instrument_id", "ts", "close"), ["instrument_id", "ts"], "left")
+    return known.select("instrument_id", "ts", F.last("close", ignorenulls=True).over(by_day()).alias("close"))
+
+
 def action_factors(bars: DataFrame, actions: DataFrame) -> DataFrame:
     """(instrument_id, ex_date, first_after, price_factor, volume_factor) of the actions that adjust something.
 

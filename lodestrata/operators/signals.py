@@ -78,32 +78,33 @@ def monthly_to_daily(monthly: DataFrame, bars: DataFrame) -> DataFrame:
     return days.join(monthly, ["instrument_id", "month"]).select("instrument_id", "ts", "direction", F.col("momentum").alias("strength"), F.lit(None).cast("double").alias("weight"))
 
 
-def spread_path(bars: DataFrame, y: str, x: str, window: int) -> DataFrame:
-    """(ts, beta, z): rolling regression of log y on log x over ``window`` common days; z is the last residual over their deviation."""
-    pair = bars.where(F.col("instrument_id") == y).select("ts", F.ln("close").alias("y")).join(bars.where(F.col("instrument_id") == x).select("ts", F.ln("close").alias("x")), "ts")
-    # A pair is one series, so its window is one ordered partition of a few thousand days.
-    w = Window.partitionBy(F.lit(0)).orderBy("ts").rowsBetween(-(window - 1), 0)
-    fit = pair.select("ts", "y", "x", F.count("*").over(w).alias("n"), F.regr_slope("y", "x").over(w).alias("beta"), F.regr_intercept("y", "x").over(w).alias("alpha"), F.regr_syy("y", "x").over(w).alias("syy"), F.regr_sxy("y", "x").over(w).alias("sxy"))
+def paired(bars: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(pair, ts, y, x): log prices of stated pairs (pair, y, x: instruments) on their common days."""
+    own = lambda side: bars.select(F.col("instrument_id").alias(f"__{side}"), "ts", F.ln("close").alias(side))
+    named = pairs.select("pair", F.col("y").alias("__y"), F.col("x").alias("__x"))
+    return own("y").join(F.broadcast(named), "__y").join(own("x"), ["__x", "ts"]).select("pair", "ts", "y", "x")
+
+
+def spread_path(bars: DataFrame, pairs: DataFrame, window: int) -> DataFrame:
+    """(pair, ts, beta, z): rolling regression of log y on log x over ``window`` common days; z is the last residual over their deviation."""
+    w = Window.partitionBy("pair").orderBy("ts").rowsBetween(-(window - 1), 0)
+    fit = paired(bars, pairs).select("pair", "ts", "y", "x", F.count("*").over(w).alias("n"), F.regr_slope("y", "x").over(w).alias("beta"), F.regr_intercept("y", "x").over(w).alias("alpha"), F.regr_syy("y", "x").over(w).alias("syy"), F.regr_sxy("y", "x").over(w).alias("sxy"))
     fit = fit.where(F.col("n") == window)
     sd = F.sqrt(F.greatest((F.col("syy") - F.col("beta") * F.col("sxy")) / (window - 1), F.lit(0.0)))
-    return fit.select("ts", "beta", F.try_divide(F.col("y") - F.col("alpha") - F.col("beta") * F.col("x"), sd).alias("z"))
+    return fit.select("pair", "ts", "beta", F.try_divide(F.col("y") - F.col("alpha") - F.col("beta") * F.col("x"), sd).alias("z"))
 
 
 def pair_states(path: DataFrame, entry: float, exit_: float) -> DataFrame:
-    """(ts, z, state): +1 long the spread, -1 short, 0 flat; enters beyond ``entry``, leaves at ``exit_``; an exit may turn on its day.
+    """(pair, ts, beta, z, state): +1 long the spread, -1 short, 0 flat; enters beyond ``entry``, leaves at ``exit_``; an exit may turn on its day.
 
-    The state depends on its past, so the days are folded in order as one array of (ts, z).
+    A state is that of the last day beyond ``entry`` unless its exit came after that day, so two running looks back give it.
     """
-    days = F.array_sort(F.collect_list(F.struct("ts", "beta", "z")))
-    start = F.struct(F.lit(0).alias("state"), F.array().cast("array<struct<ts:date,beta:double,z:double,state:int>>").alias("out"))
-
-    def step(acc, d):
-        z, s = d["z"], acc["state"]
-        left = F.when((s == -1) & (z <= exit_), 0).when((s == 1) & (z >= -exit_), 0).otherwise(s)
-        now = F.when(z.isNull(), s).when((left == 0) & (z > entry), -1).when((left == 0) & (z < -entry), 1).otherwise(left)
-        return F.struct(now.cast("int").alias("state"), F.concat(acc["out"], F.array(F.struct(d["ts"].alias("ts"), d["beta"].alias("beta"), z.alias("z"), now.cast("int").alias("state")))).alias("out"))
-
-    return path.groupBy().agg(days.alias("days")).select(F.inline(F.aggregate("days", start, step, lambda a: a["out"])))
+    w = Window.partitionBy("pair").orderBy("ts")
+    signal = F.when(F.col("z") > entry, -1).when(F.col("z") < -entry, 1)
+    last = lambda c: F.last(c, ignorenulls=True).over(w)
+    seen = path.withColumn("__sign", last(signal)).withColumn("__entry", last(F.when(signal.isNotNull(), F.col("ts")))).withColumn("__out", F.when(F.col("__sign") == -1, last(F.when(F.col("z") <= exit_, F.col("ts")))).otherwise(last(F.when(F.col("z") >= -exit_, F.col("ts")))))
+    gone = F.col("__sign").isNull() | F.coalesce(F.col("__out") > F.col("__entry"), F.lit(False))
+    return seen.select("pair", "ts", "beta", "z", F.when(gone, 0).otherwise(F.col("__sign")).cast("int").alias("state"))
 
 
 def engle_granger(y: np.ndarray, x: np.ndarray) -> dict[str, float | None]:

@@ -5,12 +5,13 @@ Returns come as (run_id, ts, r). Where a test compares configurations, all have
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import normal_cdf
@@ -82,40 +83,46 @@ def overfitting_probability(splits: DataFrame) -> DataFrame:
     return splits.agg(F.avg((F.col("logit") <= 0).cast("double")).alias("pbo"), F.count("*").alias("n_splits"), F.percentile("logit", F.lit(0.5)).alias("logit_median"))
 
 
-def purged_splits(spark: SparkSession, n: int, groups: int, test_groups: int, purge: int, embargo: int) -> DataFrame:
-    """(split, lo, hi, role): for each choice of test groups the [lo, hi) day ranges that test, and those that may not train."""
-    if groups > n:
-        raise ValueError("more groups than days")
-    size, longer = divmod(n, groups)
-    starts = np.cumsum([0] + [size + (g < longer) for g in range(groups)]).tolist()
-    rows = []
-    for k, chosen in enumerate(combinations(range(groups), test_groups)):
-        for g in chosen:
-            a, b = starts[g], starts[g + 1]
-            rows.append((k, g, a, b, "test"))
-            rows += [(k, g, max(0, a - purge), a, "out")] * (purge > 0) + [(k, g, b, min(n, b + embargo), "out")] * (embargo > 0)
-    return spark.createDataFrame(rows, "split int, grp int, lo long, hi long, role string")
+def purged_splits(days: DataFrame, groups: int, test_groups: int, purge: int, embargo_share: float) -> DataFrame:
+    """(split, grp, path, lo, hi, out_lo, out_hi): for each choice of test groups the [lo, hi) days that they test and those that may not train.
+
+    days: one row with n, their number. Groups are as equal as can be, the first ones longer; path j takes, for each group, the j-th split that tests it.
+    """
+    chosen = [(k, g) for k, c in enumerate(combinations(range(groups), test_groups)) for g in c]
+    splits = days.sparkSession.createDataFrame(chosen, "split int, grp int").withColumn("path", F.row_number().over(Window.partitionBy("grp").orderBy("split")) - 1)
+    size, longer = F.floor(F.col("n") / groups), F.col("n") % groups
+    start = lambda g: g * size + F.least(g, longer)
+    lo, hi = start(F.col("grp")), start(F.col("grp") + 1)
+    enough = F.when(F.col("n") < groups, F.raise_error(F.lit("more groups than days")).cast("long")).otherwise(F.col("n"))
+    s = F.broadcast(splits).crossJoin(days.select(enough.alias("n")))
+    embargo = F.ceil(F.lit(embargo_share) * F.col("n"))
+    return s.select("split", "grp", "path", lo.alias("lo"), hi.alias("hi"), F.greatest(lo - purge, F.lit(0)).alias("out_lo"), F.least(hi + embargo, F.col("n")).alias("out_hi"))
 
 
 def purged_selection(r: DataFrame, groups: int = 10, test_groups: int = 2, purge: int = 1, embargo_share: float = 0.01) -> DataFrame:
     """(split, grp, path, choice, t, r): the run with the best Sharpe on each split's training days, and its returns on the test days.
 
-    Path j takes, for each group, the j-th split that tests it.
+    Days are summed once, as running sums of each run; a split's training sums are the totals less those of its excluded ranges, two look-ups each.
     """
-    spark = r.sparkSession
-    days = r.withColumn("t", F.row_number().over(Window.partitionBy("run_id").orderBy("ts")) - 1)
-    n = days.agg(F.max("t")).first()[0] + 1
-    ranges = F.broadcast(purged_splits(spark, n, groups, test_groups, purge, int(np.ceil(embargo_share * n))))
-    splits = ranges.select("split").distinct()
-    no_train = days.select("t").distinct().join(ranges, (F.col("t") >= F.col("lo")) & (F.col("t") < F.col("hi"))).select("split", "t").distinct()
-    train = days.crossJoin(F.broadcast(splits)).join(no_train, ["split", "t"], "left_anti")
-    sd = F.stddev_samp("r")
-    best = train.groupBy("split", "run_id").agg(F.when((F.count("*") >= 2) & (sd > 1e-15), F.avg("r") / F.nullif(sd, F.lit(0.0))).alias("sharpe")).where("sharpe is not null")
+    run = Window.partitionBy("run_id").orderBy("ts")
+    sums = lambda w: [F.count("*").over(w).alias("c"), F.sum("r").over(w).alias("s"), F.sum(F.col("r") * F.col("r")).over(w).alias("q")]
+    days = r.select("run_id", "ts", "r", F.row_number().over(run).alias("upto"), *sums(run.rowsBetween(Window.unboundedPreceding, 0)))
+    n = days.agg(F.max("upto").alias("n")).where("n is not null")
+    splits = purged_splits(n, groups, test_groups, purge, embargo_share)
+    # Excluded ranges of a split that touch count once.
+    by_split = Window.partitionBy("split").orderBy("out_lo", "out_hi")
+    seen = F.max("out_hi").over(by_split.rowsBetween(Window.unboundedPreceding, -1))
+    merged = splits.withColumn("new", F.coalesce((F.col("out_lo") > seen).cast("int"), F.lit(1))).withColumn("island", F.sum("new").over(by_split)).groupBy("split", "island").agg(F.min("out_lo").alias("a"), F.max("out_hi").alias("b"))
+    ends = merged.select("split", F.explode(F.array(F.struct(F.col("a").alias("upto"), F.lit(1).alias("sign")), F.struct(F.col("b").alias("upto"), F.lit(-1).alias("sign")))).alias("e")).select("split", "e.upto", "e.sign")
+    ends = ends.union(n.crossJoin(splits.select("split").distinct()).select("split", F.col("n").alias("upto"), F.lit(1).alias("sign")))
+    sums_of = ends.join(days.select("run_id", "upto", "c", "s", "q"), "upto").groupBy("split", "run_id").agg(*[F.sum(F.col("sign") * F.col(k)).alias(k) for k in ("c", "s", "q")])
+    var = (F.col("q") - F.col("s") * F.col("s") / F.col("c")) / (F.col("c") - 1)
+    best = sums_of.where("c >= 2").withColumn("var", var).where("var > 1e-30").select("split", "run_id", (F.col("s") / F.col("c") / F.sqrt("var")).alias("sharpe"))
     choice = best.groupBy("split").agg(F.min_by("run_id", F.struct(-F.col("sharpe"), "run_id")).alias("choice"))
-    tests = ranges.where("role = 'test'").withColumn("path", F.row_number().over(Window.partitionBy("grp").orderBy("split")) - 1).join(choice, "split", "left")
-    all_days = days.select("t").distinct().join(F.broadcast(tests), (F.col("t") >= F.col("lo")) & (F.col("t") < F.col("hi")))
-    own = days.select(F.col("run_id").alias("choice"), "t", "r")
-    return all_days.join(own, ["choice", "t"], "left").select("split", "grp", "path", "choice", "t", F.coalesce("r", F.lit(0.0)).alias("r"))
+    tests = splits.select("split", "grp", "path", "lo", "hi").join(choice, "split", "left")
+    all_days = tests.select("split", "grp", "path", "choice", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("t"))
+    own = days.select(F.col("run_id").alias("choice"), (F.col("upto") - 1).alias("t"), "r")
+    return all_days.join(own, ["choice", "t"], "left").select("split", "grp", "path", "choice", F.col("t").cast("int").alias("t"), F.coalesce("r", F.lit(0.0)).alias("r"))
 
 
 def path_sharpes(selection: DataFrame, ppy: int) -> DataFrame:
@@ -129,61 +136,112 @@ def paths_gate(paths: DataFrame) -> DataFrame:
     return g.withColumn("passed", F.when(F.col("defined") * 2 >= F.col("n_paths"), F.col("median_sharpe") > 0))
 
 
-DRAWS = "run_id string, draw int, sharpe double"
+DRAWS = "run_id string, draw int, total double, squares double"
 
 
-def _sharpes(x: np.ndarray, ppy: int) -> np.ndarray:
-    sd = x.std(1, ddof=1)
-    return np.where(sd > 0, x.mean(1) / np.where(sd > 0, sd, 1) * np.sqrt(ppy), np.nan)
+def _draws(name: str, total: np.ndarray, squares: np.ndarray) -> pd.DataFrame:
+    """Draw -1 (the run itself) comes first."""
+    return pd.DataFrame({"run_id": name, "draw": np.arange(-1, len(total) - 1), "total": total, "squares": squares})
 
 
-def permutation_draws(held: DataFrame, market_: DataFrame, ppy: int, draws: int = 10_000, seed: int = 0, chunk: int = 250) -> DataFrame:
-    """Gross Sharpes of each run with its weights fixed and the market's days shuffled, all instruments alike; draw -1 is the run itself.
+def draw_sharpes(sums: DataFrame, runs: DataFrame, ppy: int) -> DataFrame:
+    """(run_id, draw, sharpe) from partial sums of returns and of their squares; runs: (run_id, n), the number of returns. NaN without variance."""
+    g = sums.groupBy("run_id", "draw").agg(F.sum("total").alias("s"), F.sum("squares").alias("q")).join(runs, "run_id")
+    mean = F.col("s") / F.col("n")
+    var = F.greatest(F.col("q") - F.col("n") * mean * mean, F.lit(0.0)) / F.when(F.col("n") > 1, F.col("n") - 1)
+    return g.select("run_id", "draw", F.when(var > 0, mean / F.sqrt(F.when(var > 0, var)) * F.sqrt(F.lit(float(ppy)))).otherwise(F.lit(float("nan"))).alias("sharpe"))
 
-    held: (run_id, ts, instrument_id, weight); market_: (ts, instrument_id, r). Every task holds one run's days and makes ``chunk`` draws.
+
+def permutation_draws(held: DataFrame, market_: DataFrame, ppy: int, draws: int = 10_000, seed: int = 0, block: int = 512) -> DataFrame:
+    """(run_id, draw, sharpe): gross Sharpes of each run with its weights fixed and the market's days shuffled, all instruments alike; draw -1 is the run itself.
+
+    held: (run_id, ts, instrument_id, weight); market_: (ts, instrument_id, r). Days are dealt into blocks of ``block``; a task holds one block of weights and
+    one of returns, multiplies them, and adds up the cells that each draw's order picks there. A draw's order follows from seed and number alone.
     """
-    spark = held.sparkSession
+    day = market_.select("ts").distinct().withColumn("t", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("ts")) - 1)
+    n = day.agg(F.count("*").alias("n"))
+    days = F.broadcast(day.crossJoin(n))
+    blocks = F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / block)))
     runs = held.select("run_id").distinct()
-    grid = runs.crossJoin(market_.select("ts", "instrument_id", "r")).join(held.select("run_id", "ts", "instrument_id", "weight"), ["run_id", "ts", "instrument_id"], "left")
-    parts = spark.range(-(-draws // chunk)).select(F.col("id").cast("int").alias("part"))
+    w = held.where("weight != 0").join(days, "ts").select("run_id", "n", "t", "instrument_id", F.col("weight").alias("x"), F.lit(0).alias("side"), F.floor(F.col("t") / block).alias("i"), blocks.alias("j"))
+    r = market_.join(days, "ts").select("n", "t", "instrument_id", F.col("r").alias("x"), F.lit(1).alias("side"), blocks.alias("i"), F.floor(F.col("t") / block).alias("j"))
+    both = w.unionByName(F.broadcast(runs).crossJoin(r))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf.pivot_table(index="ts", columns="instrument_id", values="r", aggfunc="sum").fillna(0.0)
-        part, name = int(pdf["part"].iloc[0]), pdf["run_id"].iloc[0]
-        weights = pdf.assign(weight=pdf["weight"].fillna(0.0)).pivot_table(index="ts", columns="instrument_id", values="weight", aggfunc="sum").fillna(0.0).reindex(index=r.index, columns=r.columns).fillna(0.0).to_numpy()
-        rnd, r = np.random.default_rng([seed, part]), r.to_numpy()
-        k = min(chunk, draws - part * chunk)
-        got = _sharpes(np.stack([(weights * r[rnd.permutation(len(r))]).sum(1) for _ in range(k)]), ppy)
-        draw = part * chunk + np.arange(k)
-        if part == 0:
-            got, draw = np.r_[_sharpes((weights * r).sum(1)[None], ppy), got], np.r_[-1, draw]
-        return pd.DataFrame({"run_id": name, "draw": draw, "sharpe": got})
-
-    return grid.crossJoin(F.broadcast(parts)).groupBy("run_id", "part").applyInPandas(run, DRAWS)
-
-
-def random_portfolio_draws(held: DataFrame, market_: DataFrame, ppy: int, draws: int = 1000, seed: int = 0, chunk: int = 250) -> DataFrame:
-    """As permutation_draws, but on each day the weights go to random instruments of that day's cross-section."""
-    spark = held.sparkSession
-    runs = held.select("run_id").distinct()
-    grid = runs.crossJoin(market_.select("ts", "instrument_id", "r")).join(held.select("run_id", "ts", "instrument_id", "weight"), ["run_id", "ts", "instrument_id"], "left")
-    parts = spark.range(-(-draws // chunk)).select(F.col("id").cast("int").alias("part"))
+        n_, i, j = int(pdf["n"].iloc[0]), int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+        names = np.unique(pdf["instrument_id"].to_numpy(str))
+        rows, cols = range(i * block, min(n_, (i + 1) * block)), range(j * block, min(n_, (j + 1) * block))
+        dense = []
+        for side, at in ((0, rows), (1, cols)):
+            own = pdf[pdf["side"] == side]
+            m = np.zeros((len(at), len(names)))
+            np.add.at(m, (own["t"].to_numpy() - at.start, np.searchsorted(names, own["instrument_id"].to_numpy(str))), own["x"].to_numpy())
+            dense.append(m)
+        cells = dense[0] @ dense[1].T
+        total, squares = np.zeros(draws + 1), np.zeros(draws + 1)
+        for d in range(-1, draws):
+            order = np.arange(n_) if d < 0 else np.random.default_rng([seed, d]).permutation(n_)
+            own = order[rows.start : rows.stop] - cols.start
+            k = np.flatnonzero((own >= 0) & (own < len(cols)))
+            x = cells[k, own[k]]
+            total[d + 1], squares[d + 1] = x.sum(), x @ x
+        return _draws(pdf["run_id"].iloc[0], total, squares)
+
+    sums = both.groupBy("run_id", "i", "j").applyInPandas(run, DRAWS)
+    return draw_sharpes(sums, runs.crossJoin(n), ppy)
+
+
+def decisions(signals: DataFrame, market_: DataFrame, trades: DataFrame | None = None) -> DataFrame:
+    """(run_id, decision, instrument_id, weight): the cross-section of each decision to trade, weight 0 where none was chosen.
+
+    signals: (run_id, ts, instrument_id, weight), flat ones with a null or zero weight; those count that trade at both ends of the next period (market_).
+    trades: (run_id, ts) of the days that trade to new targets; none: every day.
+    """
+    s = signals.join(market_.select("ts", "instrument_id"), ["ts", "instrument_id"], "left_semi")
+    if trades is not None:
+        s = s.join(trades.select("run_id", "ts"), ["run_id", "ts"], "left_semi")
+    return s.select("run_id", F.col("ts").alias("decision"), "instrument_id", F.coalesce("weight", F.lit(0.0)).alias("weight"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "instrument_id"])
-        part, name = int(pdf["part"].iloc[0]), pdf["run_id"].iloc[0]
-        rnd, k = np.random.default_rng([seed, part]), min(chunk, draws - part * chunk)
-        own, drawn = [], []
-        for _, day in pdf.groupby("ts", sort=True):
-            w, r = day["weight"].fillna(0.0).to_numpy(), day["r"].to_numpy()
-            own.append(float(w @ r))
-            drawn.append(rnd.permuted(np.tile(w, (k, 1)), axis=1) @ r)
-        got, draw = _sharpes(np.stack(drawn, 1), ppy), part * chunk + np.arange(k)
-        if part == 0:
-            got, draw = np.r_[_sharpes(np.array(own)[None], ppy), got], np.r_[-1, draw]
-        return pd.DataFrame({"run_id": name, "draw": draw, "sharpe": got})
-
-    return grid.crossJoin(F.broadcast(parts)).groupBy("run_id", "part").applyInPandas(run, DRAWS)
+
+def growth_in_holding(decided: DataFrame, filled: DataFrame, calendar: DataFrame) -> DataFrame:
+    """(run_id, decision, ts, instrument_id, weight, growth): on each day of a holding, from the decision (exclusive) to the next one (inclusive), the price over
+    that at the decision. filled: (instrument_id, ts, close) without gaps; calendar: (ts, next_ts)."""
+    w = Window.partitionBy("run_id").orderBy("decision")
+    spans = decided.select("run_id", "decision").distinct().withColumn("until", F.lead("decision").over(w))
+    days = spans.join(F.broadcast(calendar), (F.col("ts") >= F.col("decision")) & (F.col("until").isNull() | (F.col("ts") < F.col("until")))).select("run_id", "decision", F.col("next_ts").alias("ts"))
+    start = filled.select("instrument_id", F.col("ts").alias("decision"), F.col("close").alias("p0"))
+    held = decided.join(start, ["instrument_id", "decision"]).join(days, ["run_id", "decision"])
+    return held.join(filled.select("instrument_id", "ts", "close"), ["instrument_id", "ts"]).select("run_id", "decision", "ts", "instrument_id", "weight", (F.col("close") / F.col("p0")).alias("growth"))
+
+
+def random_portfolio_draws(growth: DataFrame, runs: DataFrame, ppy: int, draws: int = 10_000, seed: int = 0, chunk: int = 1000) -> DataFrame:
+    """(run_id, draw, sharpe): each decision's weights on random instruments of its cross-section, held to the next decision; draw -1 is the run itself.
+
+    growth: as growth_in_holding gives it; runs: (run_id, n), the number of periods. A task holds one decision at a time and adds up what its draws return;
+    the draws of a decision follow from seed and day alone.
+    """
+    day = F.struct("ts", "instrument_id", "growth", "weight")
+    held = growth.groupBy("run_id", "decision").agg(F.sort_array(F.collect_list(day)).alias("cells"), F.max(F.abs("weight")).alias("most")).where("most > 0").select("run_id", F.unix_date("decision").alias("decision"), F.col("cells.growth").alias("growth"), F.col("cells.weight").alias("weight"), F.size(F.array_distinct("cells.ts")).alias("days"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[str, list[np.ndarray]] = {}
+        for b in batches:
+            for x in b.itertuples(index=False):
+                gain = np.asarray(x.growth).reshape(x.days, -1) - 1
+                w = np.asarray(x.weight)[: gain.shape[1]]
+                total, squares = sums.setdefault(x.run_id, [np.zeros(draws + 1), np.zeros(draws + 1)])
+                rnd = np.random.default_rng([seed, x.decision + 2**20])
+                for first in (-1, *range(0, draws, chunk)):
+                    count = 1 if first < 0 else min(chunk, draws - first)
+                    order = w[:, None] if first < 0 else rnd.permuted(np.tile(w, (count, 1)), axis=1).T
+                    value = 1 + gain @ order
+                    r = value / np.vstack([np.ones((1, count)), value[:-1]]) - 1
+                    total[first + 1 : first + 1 + count] += r.sum(0)
+                    squares[first + 1 : first + 1 + count] += (r * r).sum(0)
+        for name, (total, squares) in sums.items():
+            yield _draws(name, total, squares)
+
+    return draw_sharpes(held.mapInPandas(run, DRAWS), runs, ppy)
 
 
 def p_value(draws: DataFrame) -> DataFrame:

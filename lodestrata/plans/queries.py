@@ -13,6 +13,7 @@ from ..operators import metrics as mt
 from ..operators import portfolio as pf
 from ..operators import prep, signals, universe, validation
 from ..sources import html_tables
+from ..sources.files import stored
 from .bars import D, event_bars, line_bars, literal, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,8 +55,9 @@ def _simulated(spark: SparkSession, sf_dir: str, bps: float = 10.0, grid: dict[s
     return bt.simulate(targets, bars, calendar, bt.naive_cost(bars, bps), hold)
 
 
-def _snaps(spark: SparkSession, sf_dir: str, **k) -> DataFrame:
-    return bt.snapshots(_simulated(spark, sf_dir, **k))
+def _snaps(spark: SparkSession, sf_dir: str, bps: float = 10.0, grid: dict[str, int] | None = None, hold: bool = False) -> DataFrame:
+    bars, calendar, targets = _run(spark, sf_dir, grid)
+    return bt.run_equity(targets, bars, calendar, bt.naive_cost(bars, bps), hold)
 
 
 @query
@@ -115,21 +117,25 @@ def cross_section_daily(spark, sf_dir):
     return signals.monthly_to_daily(signals.cross_sectional_momentum(bars, 12, 1, 0.25, True, 100.0), bars).groupBy("ts", "direction").agg(F.count("*").alias("n"))
 
 
+def _path(spark, sf_dir):
+    return signals.spread_path(line_bars(spark, sf_dir), spark.createDataFrame([("s1/s2", "s1", "s2")], "pair string, y string, x string"), 60)
+
+
 @query
 def pairs_spread(spark, sf_dir):
-    return rounded(signals.spread_path(line_bars(spark, sf_dir), "s1", "s2", 60), 5)
+    return rounded(_path(spark, sf_dir).drop("pair"), 5)
 
 
 @query
 def pair_states(spark, sf_dir):
-    return rounded(signals.pair_states(signals.spread_path(line_bars(spark, sf_dir), "s1", "s2", 60), 1.5, 0.0), 5)
+    return rounded(signals.pair_states(_path(spark, sf_dir), 1.5, 0.0).drop("pair"), 5)
 
 
 @query
 def cointegration(spark, sf_dir):
-    b = line_bars(spark, sf_dir).select("instrument_id", "ts", F.ln("close").alias("v"))
-    x, y = b.select("ts", F.col("instrument_id").alias("i"), F.col("v").alias("x")), b.select("ts", F.col("instrument_id").alias("j"), F.col("v").alias("y"))
-    return signals.cointegration(x.join(y, "ts").where("i < j").select(F.concat_ws("/", "j", "i").alias("pair"), "ts", "y", "x"))
+    """The stated pairs: every two of the eight instruments."""
+    pairs = [(f"s{j}/s{i}", f"s{j}", f"s{i}") for i in range(8) for j in range(i + 1, 8)]
+    return signals.cointegration(signals.paired(line_bars(spark, sf_dir), spark.createDataFrame(pairs, "pair string, y string, x string")))
 
 
 @query
@@ -349,7 +355,7 @@ def worst_day(spark, sf_dir):
 def _trades(spark, sf_dir):
     bars = line_bars(spark, sf_dir)
     labels = prep.sessions(bars).join(mt.regime_labels(bars, "s0", 30, 365), "ts", "left").select("ts", F.coalesce("label", F.lit("undefined")).alias("label"))
-    return mt.trade_ledger(_simulated(spark, sf_dir), bars, labels)
+    return mt.trade_ledger(stored(_simulated(spark, sf_dir), "simulated"), bars, labels)
 
 
 @query
@@ -388,7 +394,7 @@ def capacity(spark, sf_dir):
 
 @query
 def return_correlation(spark, sf_dir):
-    return rounded(mt.return_correlation(_snaps(spark, sf_dir, grid=GRID)), 5)
+    return rounded(mt.return_correlation(_grid(spark, sf_dir)), 5)
 
 
 @query
@@ -396,8 +402,13 @@ def sparkline(spark, sf_dir):
     return rounded(mt.sparkline(_snaps(spark, sf_dir), 120), 5)
 
 
+def _grid(spark, sf_dir):
+    """The equity of the compared runs as a table: what follows reads it several times."""
+    return stored(_snaps(spark, sf_dir, grid=GRID), "runs")
+
+
 def _aligned(spark, sf_dir):
-    return mt.aligned(_snaps(spark, sf_dir, grid=GRID))
+    return stored(mt.aligned(_grid(spark, sf_dir)), "aligned")
 
 
 @query
@@ -446,19 +457,31 @@ def permutation_test(spark, sf_dir):
     return validation.p_value(validation.permutation_draws(targets, bt.market(bars, calendar), PPY, draws=10_000))
 
 
+def _holdings(spark, sf_dir):
+    """Growth within the holdings of the momentum run, whose decisions are daily."""
+    bars = line_bars(spark, sf_dir)
+    calendar = bt.periods(bars)
+    market = bt.market(bars, calendar)
+    signal = signals.momentum(bars, 60)
+    weights = bt.equal_weight(bt.tradable(signal, market)).select("instrument_id", "ts", "weight")
+    every = signal.select("instrument_id", "ts").join(weights, ["instrument_id", "ts"], "left").withColumn("run_id", F.lit("m060"))
+    return calendar, validation.growth_in_holding(validation.decisions(every, market), prep.forward_filled(bars, prep.sessions(bars)), calendar)
+
+
 @query
 def random_portfolios(spark, sf_dir):
-    bars, calendar, targets = _run(spark, sf_dir)
-    return validation.p_value(validation.random_portfolio_draws(targets, bt.market(bars, calendar), PPY, draws=10_000))
+    calendar, growth = _holdings(spark, sf_dir)
+    runs = calendar.agg(F.count("*").alias("n")).select(F.lit("m060").alias("run_id"), "n")
+    return validation.p_value(validation.random_portfolio_draws(growth, runs, PPY, draws=10_000))
 
 
 @query
 def chosen_by_year(spark, sf_dir):
-    return rounded(pf.choose_by_year(mt.returns(_snaps(spark, sf_dir, grid=GRID)).where("r is not null").select("run_id", "ts", "r"), 200, {k: i for i, k in enumerate(GRID)}), 5)
+    return rounded(pf.choose_by_year(mt.returns(_grid(spark, sf_dir)).where("r is not null").select("run_id", "ts", "r"), 200, {k: i for i, k in enumerate(GRID)}), 5)
 
 
 def _windows(spark, sf_dir):
-    return pf.sleeve_windows(mt.returns(_snaps(spark, sf_dir, grid=GRID)).where("r is not null").select("run_id", "ts", "r"), 90, 60)
+    return stored(pf.sleeve_windows(mt.returns(_grid(spark, sf_dir)).where("r is not null").select("run_id", "ts", "r"), 90, 60), "windows")
 
 
 @query
