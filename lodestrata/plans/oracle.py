@@ -171,7 +171,7 @@ STEPS["sleeves"] = """SELECT * FROM (SELECT month, run_id, ts, r, var_samp(r) OV
       SELECT m.month, g.*, row_number() OVER (PARTITION BY m.month, g.run_id ORDER BY g.ts DESC) AS back, min(CASE WHEN r <> 0 THEN g.ts END) OVER (PARTITION BY m.month, g.run_id) AS begun
       FROM grid_returns g JOIN (SELECT DISTINCT date_trunc('month', ts)::DATE AS month FROM grid_returns) m ON g.ts < m.month)) WHERE back <= 90 AND since >= 60) WHERE v > 0"""
 STEPS["inverse"] = "SELECT month, run_id, v / sum(v) OVER (PARTITION BY month) AS weight FROM (SELECT month, run_id, 1 / stddev_samp(r) AS v FROM sleeves GROUP BY 1, 2)"
-STEPS["block_sums"] = "SELECT run_id, floor(back / size)::INT AS block, sum(r) AS s, sum(r * r) AS q, count(*) AS c FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ts DESC) - 1 AS back, floor(count(*) OVER (PARTITION BY run_id) / 8) AS size FROM aligned_4) WHERE back < size * 8 GROUP BY 1, 2"
+STEPS["block_sums"] = "SELECT run_id, floor(back / size)::INT AS block, sum(r) AS s, sum(r * r) AS q, count(*) AS c FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ts DESC) - 1 AS back, floor(count(*) OVER (PARTITION BY run_id) / 16) AS size FROM aligned_4) WHERE back < size * 16 GROUP BY 1, 2"
 
 
 def _ratio(s: str, q: str, c: str) -> str:
@@ -180,7 +180,7 @@ def _ratio(s: str, q: str, c: str) -> str:
 
 
 STEPS["split_scores"] = f"""SELECT split, run_id, {_ratio('s1', 'q1', 'c1')} AS si, {_ratio('s0', 'q0', 'c0')} AS so FROM (SELECT split, run_id, {', '.join(f'sum(CASE WHEN (split >> block) & 1 = {b} THEN {c} ELSE 0 END) AS {c}{b}' for b in (0, 1) for c in 'sqc')}
-  FROM (SELECT range AS split FROM range(256) WHERE bit_count(range) = 4) CROSS JOIN block_sums GROUP BY 1, 2)"""
+  FROM (SELECT range AS split FROM range(65536) WHERE bit_count(range) = 8) CROSS JOIN block_sums GROUP BY 1, 2)"""
 STEPS["split_ranks"] = """SELECT split, max(run_id) FILTER (rank = 1) AS best, (count(*) FILTER (so < chosen) + (count(*) FILTER (so = chosen) + 1) / 2.0) / (count(*) + 1) AS omega FROM (
   SELECT *, max(CASE WHEN rank = 1 THEN so END) OVER (PARTITION BY split) AS chosen FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY si DESC, run_id) AS rank FROM split_scores)) GROUP BY split"""
 STEPS["factors"] = """SELECT instrument_id, first_after, product(CASE kind WHEN 'split' THEN 1 / ratio ELSE c0 / (c0 + amount) END) AS pf, product(CASE kind WHEN 'split' THEN ratio ELSE 1 END) AS vf FROM (

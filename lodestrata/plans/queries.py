@@ -433,12 +433,12 @@ def deflated_sharpe(spark, sf_dir):
 
 @query
 def overfitting_splits(spark, sf_dir):
-    return rounded(validation.overfitting_splits(_aligned(spark, sf_dir), 8))
+    return rounded(validation.overfitting_splits(_aligned(spark, sf_dir), 16))
 
 
 @query
 def overfitting_probability(spark, sf_dir):
-    return rounded(validation.overfitting_probability(validation.overfitting_splits(_aligned(spark, sf_dir), 8)))
+    return rounded(validation.overfitting_probability(validation.overfitting_splits(_aligned(spark, sf_dir), 16)))
 
 
 @query
