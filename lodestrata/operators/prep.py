@@ -62,17 +62,54 @@ def delisted(bars: DataFrame, delistings: DataFrame, missing_return: float | Non
 
     An unknown return takes ``missing_return``; without one, or with a date not after the last bar, the plan raises.
     """
-    last = bars.groupBy("instrument_id").agg(F.max("ts").alias("last_ts"), F.max_by("close", "ts").alias("last_close"))
+    raw = F.coalesce("unadjusted_close", "close") if "unadjusted_close" in bars.columns else F.col("close")
+    last = bars.groupBy("instrument_id").agg(F.max("ts").alias("last_ts"), F.max_by("close", "ts").alias("last_close"), F.max_by(raw, "ts").alias("last_raw"))
     rate = F.coalesce("delisting_return", F.lit(missing_return).cast("double"))
     d = delistings.join(last, "instrument_id")
     rate = F.when(rate.isNull(), F.raise_error(F.lit("a delisting without a return")).cast("double")).when(F.col("date") <= F.col("last_ts"), F.raise_error(F.lit("a delisting before the last bar")).cast("double")).otherwise(rate)
     price = F.col("last_close") * (1 + rate)
-    made = {"instrument_id": F.col("instrument_id"), "ts": F.col("date"), **{c: price for c in ("open", "high", "low", "close")}, "volume": F.lit(0.0), "delisting": F.lit(True)}
+    made = {"instrument_id": F.col("instrument_id"), "ts": F.col("date"), **{c: price for c in ("open", "high", "low", "close")}, "volume": F.lit(0.0), "unadjusted_close": F.col("last_raw") * (1 + rate), "delisting": F.lit(True)}
     end = d.select(*[made[c].alias(c) for c in made if c in bars.columns or c == "delisting"])
     with_flag = bars if "delisting" in bars.columns else bars.withColumn("delisting", F.lit(False))
     return with_flag.unionByName(end, allowMissingColumns=True)
 
 
+def with_events(bars: DataFrame, actions: DataFrame, delistings: DataFrame, missing_return: float | None = None) -> DataFrame:
+    """Bars adjusted for their actions, then ended by their delistings, each moved to the run's next session. assumed: whether the return was not given."""
+    calendar = sessions(bars)
+    moved = next_session(delistings.withColumnRenamed("date", "day"), calendar).withColumn("date", F.col("session")).drop("day", "session")
+    ended = delisted(adjust(bars, actions), moved, missing_return)
+    unknown = delistings.where("delisting_return is null").select("instrument_id", F.lit(True).alias("__assumed"))
+    return ended.join(F.broadcast(unknown), "instrument_id", "left").withColumn("assumed", F.col("delisting") & F.coalesce("__assumed", F.lit(False))).drop("__assumed")
+
+
+def with_assumed_return(market: DataFrame, rate: float) -> DataFrame:
+    """``with_events``' bars with another return for every delisting that had none: only those last bars change."""
+    w = Window.partitionBy("instrument_id").orderBy("ts")
+    raw = F.coalesce("unadjusted_close", "close")
+    price, before = F.lag("close").over(w) * (1 + rate), F.lag(raw).over(w) * (1 + rate)
+    new = {**{c: price for c in ("open", "high", "low", "close")}, "unadjusted_close": before}
+    return market.select(*[F.when(F.col("assumed"), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in market.columns])
+
+
+def known_through(bars: DataFrame, days: DataFrame) -> DataFrame:
+    """(instrument_id, ts, known): on each day (ts) how many of an instrument's bars are known; all of them up to it, none after."""
+    marks = bars.select("instrument_id").distinct().crossJoin(F.broadcast(days.select("ts"))).withColumn("bar", F.lit(0))
+    both = bars.select("instrument_id", "ts", F.lit(1).alias("bar")).unionByName(marks)
+    w = Window.partitionBy("instrument_id").orderBy("ts").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.withColumn("known", F.sum("bar").over(w)).where("bar = 0").select("instrument_id", "ts", "known")
+
+
+def calendar_days(bars: DataFrame) -> DataFrame:
+    """Every day from the first bar to the last one, for markets that never close."""
+    ends = bars.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).where("a is not null")
+    return ends.select(F.explode(F.sequence("a", "b")).alias("ts"))
+
+
+def reference_sessions(bars: DataFrame, every_day: bool) -> DataFrame:
+    return calendar_days(bars) if every_day else sessions(bars)
+
+
 def above_cash(bars: DataFrame, cash: DataFrame) -> DataFrame:
     """Prices in units of cash: scaled by the last cash close over the one of the bar's day or the last before it.
 

@@ -107,6 +107,16 @@ def pair_states(path: DataFrame, entry: float, exit_: float) -> DataFrame:
     return seen.select("pair", "ts", "beta", "z", F.when(gone, 0).otherwise(F.col("__sign")).cast("int").alias("state"))
 
 
+def pair_legs(states: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Signals of a pair's legs on days with a state: weights 1 / (1 + |beta|) and |beta| / (1 + |beta|), the second leg against the first for a positive beta."""
+    b = F.abs("beta")
+    on = states.where("state != 0 and beta != 0").join(F.broadcast(pairs.select("pair", F.col("y").alias("__y"), F.col("x").alias("__x"))), "pair")
+    way = lambda up: F.when(up, "long").otherwise("short")
+    leg = lambda name, up, w: F.struct(F.col(name).alias("instrument_id"), way(up).alias("direction"), w.alias("weight"))
+    legs = F.array(leg("__y", F.col("state") > 0, 1 / (1 + b)), leg("__x", F.col("state") * F.col("beta") <= 0, b / (1 + b)))
+    return on.withColumn("leg", F.explode(legs)).select("leg.instrument_id", "ts", "leg.direction", F.col("z").alias("strength"), "leg.weight")
+
+
 def engle_granger(y: np.ndarray, x: np.ndarray) -> dict[str, float | None]:
     """Residual test of cointegration: statistic (lag by AIC on a common sample), its 5 % critical value, beta and half-life."""
     n = len(y)

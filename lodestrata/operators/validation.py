@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import normal_cdf
+from ..functions.scalars import normal_cdf, normal_quantile
 
 #: Fixed value: the Euler-Mascheroni constant.
 EULER = 0.5772156649015329
@@ -43,6 +43,13 @@ def expected_max_sharpe(variance: float, trials: int) -> float:
     return variance**0.5 * ((1 - EULER) * inv(1 - 1 / trials) + EULER * inv(1 - 1 / (trials * np.e)))
 
 
+def expected_max_sharpe_of(variance: F.Column, trials: F.Column) -> F.Column:
+    """``expected_max_sharpe`` of columns."""
+    n = F.when(trials > 1, trials)
+    top = (1 - EULER) * normal_quantile(1 - 1 / n) + EULER * normal_quantile(1 - 1 / (n * float(np.e)))
+    return F.coalesce(F.sqrt(variance) * top, F.lit(0.0))
+
+
 def deflated_sharpe(stats: DataFrame, trials: int) -> DataFrame:
     """psr against the expected largest Sharpe of ``trials`` tries, whose variance without skill is 1 / (n - 1)."""
     factor = expected_max_sharpe(1.0, trials)

@@ -12,7 +12,6 @@ from ..operators import backtest as bt
 from ..operators import metrics as mt
 from ..operators import portfolio as pf
 from ..operators import prep, signals, universe, validation
-from ..sources import html_tables
 from ..sources.files import stored
 from .bars import D, event_bars, line_bars, literal, table
 
@@ -517,14 +516,12 @@ def normalised_tickers(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", scalars.normalise_ticker(F.concat_ws(" .", "c_mktsegment", "c_name")).alias("ticker"))
 
 
-@query
-def html_table_rows(spark, sf_dir):
-    return html_tables.table_rows(table(spark, sf_dir, "pages"))
-
-
 @query
 def trials_on_same_data(spark, sf_dir):
     return validation.trials_on_same_data(literal(spark, "trials"))
 
 
 from .oracle import ORACLE_SQL  # noqa: E402, F401
+from . import index_queries  # noqa: E402
+
+ORACLE_SQL.update(index_queries.SQL)

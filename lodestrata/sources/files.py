@@ -169,10 +169,23 @@ def write_tables(tables: dict[str, DataFrame], folder: str) -> None:
     swap(spark, staging, folder)
 
 
-def write_once(path: str, record: dict) -> None:
-    """A JSON record that is never overwritten."""
-    with open(path, "x", encoding="utf-8") as f:
-        json.dump(record, f, sort_keys=True, default=str)
+def write_registry(rows: DataFrame, path: str) -> None:
+    """The registry table, replaced as a whole once the new one is complete."""
+    staging = f"{path}.staging-{uuid.uuid4().hex}"
+    rows.write.parquet(staging)
+    swap(rows.sparkSession, staging, path)
+
+
+def write_once(path: str, record: dict, spark: SparkSession | None = None) -> None:
+    """A JSON record that is never overwritten, in any file system that Spark reaches."""
+    spark = spark or SparkSession.active()
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(p):
+        raise FileExistsError(path)
+    out = fs.create(p, False)
+    out.write(bytearray(json.dumps(record, sort_keys=True, default=str).encode()))
+    out.close()
 
 
 def finite(c: F.Column) -> F.Column:

@@ -9,20 +9,29 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
+#: Footnote marks and what is no text.
+SKIPPED = ("sup", "style", "script")
+
+
 class _Cells(HTMLParser):
     """Collects (table, row, [(text, rowspan, colspan, header)])."""
 
     def __init__(self) -> None:
         super().__init__()
         self.tables: list[list[list[tuple[str, int, int, bool]]]] = []
+        self.ids: list[str | None] = []
         self.open: list[int] = []
+        self.skipped = 0
         self.cell: list[str] | None = None
         self.spans = (1, 1, False)
 
     def handle_starttag(self, tag: str, attrs) -> None:
         a = dict(attrs)
-        if tag == "table":
+        if tag in SKIPPED:
+            self.skipped += 1
+        elif tag == "table":
             self.tables.append([])
+            self.ids.append(a.get("id"))
             self.open.append(len(self.tables) - 1)
         elif tag == "tr" and self.open:
             self._end()
@@ -30,16 +39,18 @@ class _Cells(HTMLParser):
         elif tag in ("td", "th") and self.open:
             self._end()
             number = lambda k: int(a[k]) if (a.get(k) or "").isdigit() and int(a[k]) > 0 else 1
-            self.spans, self.cell = (min(number("rowspan"), 1000), min(number("colspan"), 1000), tag == "th"), []
+            self.spans, self.cell = (number("rowspan"), number("colspan"), tag == "th"), []
 
     def handle_endtag(self, tag: str) -> None:
+        if tag in SKIPPED:
+            self.skipped = max(0, self.skipped - 1)
         if tag in ("td", "th", "tr", "table"):
             self._end()
         if tag == "table" and self.open:
             self.open.pop()
 
     def handle_data(self, data: str) -> None:
-        if self.cell is not None:
+        if self.cell is not None and not self.skipped:
             self.cell.append(data)
 
     def _end(self) -> None:
@@ -51,20 +62,24 @@ class _Cells(HTMLParser):
         self.cell = None
 
 
-def grids(html: str) -> list[list[list[str]]]:
-    """Each table's rows of texts; a spanning cell's text stands in every place it covers."""
+def parsed(html: str) -> _Cells:
     p = _Cells()
     p.feed(html or "")
     p._end()
+    return p
+
+
+def grids(html: str) -> list[list[list[str]]]:
+    """Each table's rows of texts; a spanning cell's text stands in every place it covers (of the table's own rows)."""
     out = []
-    for rows in p.tables:
+    for rows in parsed(html).tables:
         grid: dict[tuple[int, int], str] = {}
         for r, row in enumerate(rows):
             c = 0
             for text, down, across, _ in row:
                 while (r, c) in grid:
                     c += 1
-                for i in range(down):
+                for i in range(min(down, len(rows) - r)):
                     for j in range(across):
                         grid[r + i, c + j] = text
                 c += across
@@ -85,3 +100,26 @@ def table_rows(pages: DataFrame, key: str = "page_id", html: str = "html") -> Da
             yield pd.DataFrame(rows, columns=["key", "table_no", "row_no", "cells"])
 
     return pages.select(key, html).mapInPandas(run, ROWS)
+
+
+NAMED = "key long, table_id string, columns array<string>, row_no int, cells array<string>"
+
+
+def named_rows(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """(key, table_id, columns, row_no, cells) of the body rows of every table with an id; columns: the texts of a column's header cells, joined, in lower case.
+
+    The header is the rows at the top whose cells are all header cells.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for k, text in zip(b[key], b[html], strict=True):
+                page = parsed(text)
+                for name, rows, grid in zip(page.ids, page.tables, grids(text), strict=True):
+                    top = next((r for r, row in enumerate(rows) if not row or not all(c[3] for c in row)), len(rows))
+                    names = [" ".join(dict.fromkeys(x.lower() for x in col if x)) for col in zip(*grid[:top], strict=True)]
+                    out += [(k, name, names, r - top, grid[r]) for r in range(top, len(rows)) if name]
+            yield pd.DataFrame(out, columns=["key", "table_id", "columns", "row_no", "cells"])
+
+    return pages.select(key, html).mapInPandas(run, NAMED)
