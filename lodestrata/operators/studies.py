@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import stored, write_once
 from . import backtest as bt
 from . import metrics, portfolio, prep, signals, universe, validation
 
@@ -209,7 +210,7 @@ class Selected(Study):
         return metrics.returns(bt.run_equity(targets, bars, calendar, costs.rates(bars))).where("r is not null").select("run_id", "ts", "r")
 
     def targets(self, bars, market, admit, costs, calendar) -> DataFrame:
-        own = self.grid_targets(bars, market, admit, costs, calendar)
+        own = stored(self.grid_targets(bars, market, admit, costs, calendar), "grid-targets")
         choice = portfolio.choose_by_year(self.grid_returns(own, bars, costs, calendar), self.min_history_days, {n: i for i, n in enumerate(self.labels())})
         chosen = F.broadcast(choice.select(F.col("choice").alias("run_id"), F.col("year").alias("__year")))
         return own.withColumn("__year", F.year("ts")).join(chosen, ["run_id", "__year"]).select("ts", "instrument_id", "weight")
@@ -244,8 +245,8 @@ class Portfolio(Study):
         return metrics.returns(reduce(DataFrame.unionByName, runs)).where("r is not null").select("run_id", "ts", "r")
 
     def targets(self, bars, market, admit, costs, calendar) -> DataFrame:
-        own = self.sleeve_targets(bars, market, admit, costs, calendar)
-        windows = portfolio.sleeve_windows(self.sleeve_returns(own, bars, costs, calendar), self.window_days, self.min_window_days)
+        own = stored(self.sleeve_targets(bars, market, admit, costs, calendar), "sleeve-targets")
+        windows = portfolio.sleeve_windows(stored(self.sleeve_returns(own, bars, costs, calendar), "sleeve-returns"), self.window_days, self.min_window_days)
         return portfolio.netted(own, RULES[self.allocation](windows)).select("ts", "instrument_id", "weight")
 
     def size(self, tradable: DataFrame) -> DataFrame:
@@ -310,8 +311,6 @@ def run_study(d: Definition, bars: DataFrame, memberships: DataFrame | None, sta
 
 def open_holdout(d: Definition, bars: DataFrame, memberships: DataFrame | None, opened: list[str], path: str, ppy: int, draws: int = 10_000, every_day: bool = True) -> dict:
     """Runs ``d`` once on its holdout and writes the record to ``path``, which must not exist. Refuses bars with errors, and before its prerequisites are opened."""
-    from ..sources.files import stored, write_once
-
     checked(not (waiting := sorted(set(d.requires) - set(opened))), f"{d.hypothesis}: not opened yet: {waiting}")
     start, end = d.holdout
     findings = prep.quality_report(bars.where(F.col("ts") <= F.lit(end)), prep.reference_sessions(bars, every_day)).where("level = 'error'")

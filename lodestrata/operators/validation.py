@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import normal_cdf, normal_quantile
+from ..functions.scalars import normal_cdf, normal_quantile, once
 
 #: Fixed value: the Euler-Mascheroni constant.
 EULER = 0.5772156649015329
@@ -32,7 +32,7 @@ def probabilistic_sharpe(stats: DataFrame, benchmark: float | F.Column = 0.0) ->
     b = benchmark if not isinstance(benchmark, float) else F.lit(benchmark)
     var = 1 - F.col("skew") * F.col("sharpe") + (F.col("kurt") - 1) / 4 * F.col("sharpe") * F.col("sharpe")
     z = (F.col("sharpe") - b) * F.sqrt(F.col("n") - 1) / F.sqrt(F.when(var > 0, var))
-    return stats.withColumn("psr", normal_cdf(z))
+    return stats.withColumn("psr", once(z, normal_cdf))
 
 
 def expected_max_sharpe(variance: float, trials: int) -> float:
@@ -46,7 +46,7 @@ def expected_max_sharpe(variance: float, trials: int) -> float:
 def expected_max_sharpe_of(variance: F.Column, trials: F.Column) -> F.Column:
     """``expected_max_sharpe`` of columns."""
     n = F.when(trials > 1, trials)
-    top = (1 - EULER) * normal_quantile(1 - 1 / n) + EULER * normal_quantile(1 - 1 / (n * float(np.e)))
+    top = (1 - EULER) * once(1 - 1 / n, normal_quantile) + EULER * once(1 - 1 / (n * float(np.e)), normal_quantile)
     return F.coalesce(F.sqrt(variance) * top, F.lit(0.0))
 
 
