@@ -121,9 +121,9 @@ def windows_of(rows: DataFrame, of_slice: Callable[[Slice], np.ndarray], width:
 def spans_by_document(found: DataFrame, width: int) -> DataFrame:
     """(doc_id, row_key, spans): for every document the unit ranges that its repeated windows (lo, n) cover.
 
-    A document's spans are at most as many as its units, so a list of them is no larger than the document.
+    A document's distinct spans are at most as many as its units, so a set of them is no larger than the document; repeated rows give theirs once.
     """
-    return found.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("lo", (F.col("lo") + F.col("n") - 1 + width).alias("hi"))).alias("spans"))
+    return found.groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("lo", (F.col("lo") + F.col("n") - 1 + width).alias("hi"))).alias("spans"))
 
 
 def with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:

@@ -2,23 +2,12 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, one of our own in local mode, else an error."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+from ..sources.files import shared_dir
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -40,18 +29,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def documents(df: DataFrame, results: tuple[str, ...] = ()) -> DataFrame:
     """doc_id (long), text (null: empty), row_key (tells apart rows which share a doc_id but not a text), and all other
-    columns as one struct ``rest``, out of the way; those named as in ``results`` are left out."""
+    columns as one struct ``rest``, out of the way (with whether the text was null); those named as in ``results`` are left out."""
     text = F.coalesce(F.col("text"), F.lit(""))
     others = [F.col(f"`{c}`") for c in df.columns if c not in ("doc_id", "text", *results)]
-    rest = F.struct(*others) if others else F.struct(F.lit(0).alias("__none"))
+    rest = F.struct(F.col("text").isNull().alias("__null"), *others)
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), (F.crc32(text.cast("binary")) - 2**31).cast("int").alias("row_key"), rest.alias("rest"))
 
 
 def restored(df: DataFrame, like: DataFrame) -> DataFrame:
-    """The columns of ``rest`` back in their own names and in the order of ``like``; new ones after them."""
-    kept = [c for c in df.schema["rest"].dataType.names if c != "__none"]
+    """The columns of ``rest`` back in their own names and in the order of ``like``, null texts null again; new ones after them."""
+    kept = [c for c in df.schema["rest"].dataType.names if c != "__null"]
     own = [c for c in like.columns if c in kept or c in df.columns]
-    return df.select(*[F.col("rest")[c].alias(c) if c in kept else F.col(f"`{c}`") for c in own], *[c for c in df.columns if c not in (*own, "rest", "row_key")])
+    text = F.when(~F.col("rest")["__null"], F.col("text")).alias("text")
+    return df.select(*[F.col("rest")[c].alias(c) if c in kept else text if c == "text" else F.col(f"`{c}`") for c in own], *[c for c in df.columns if c not in (*own, "rest", "row_key")])
 
 
 def per_node(df: DataFrame, key: str, *aggs) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .bytetext import Slice, slices
 from .common import documents, materialise
 
-CLASSES, HEAD = 1024, 200_000
+CLASSES, HEAD = 2048, 200_000
 DIM, NOISE, BATCH = 32, 96, 4096
 #: One in HELD training documents, by hash, trains no weights (counts take it): the factor of the learned part is chosen on it.
 HELD, FACTORS = 16, (0.0, 0.5, 1.0)
@@ -187,8 +187,9 @@ def train(rows: DataFrame, table: Table, freq: np.ndarray) -> tuple[np.ndarray,
     start_weights = initial(freq)
     held = F.pmod(F.xxhash64("doc_id", "row_key"), F.lit(HELD)) == 0
     sums = np.zeros(len(_flat(start_weights)) + 1)
-    for r in rows.where(~held).select("text").mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).toLocalIterator():
-        sums[r["i"]] = r["x"]
+    # As many numbers as there are weights, whatever the corpus.
+    moved = rows.where(~held).select("text").mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
+    sums[moved.column("i").to_numpy()] = moved.column("x").to_numpy()
     if not sums[-1]:
         return normalisers(start_weights, 0.0)
     m = _shaped(_flat(start_weights) + sums[:-1] / sums[-1], start_weights)

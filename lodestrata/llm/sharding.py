@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import materialise, new_folder
 
+MOST_TASKS = 1 << 15
+
 
 def rendezvous(key, shards: int, seed: int):
     """The shard with the largest seeded hash of (key, shard)."""
@@ -56,7 +58,9 @@ def shard(docs: DataFrame, shards: int = 8, seed: int = 17, bucket_bytes: int =
 
     keyed = rows.withColumn("key", F.xxhash64(text))
     kinds = {f.name: f.dataType.simpleString() for f in schema}  # of doc_id
-    shuffled = keyed.groupBy("shard", "bucket").applyInArrow(run, f"doc_id {kinds['doc_id']}, text string, size long, shard int, bucket int, place long")
+    # As many tasks as buckets, so that one reads about one of them (several beyond MOST_TASKS).
+    dealt = keyed.repartition(min(shards * buckets, MOST_TASKS), "shard", "bucket")
+    shuffled = dealt.groupBy("shard", "bucket").applyInArrow(run, f"doc_id {kinds['doc_id']}, text string, size long, shard int, bucket int, place long")
     out = folder or new_folder(spark, "shards")
     shuffled.write.option("compression", "zstd").partitionBy("shard").parquet(out)
     stored = spark.read.schema(f"doc_id {kinds['doc_id']}, text string, size long, bucket int, place long, shard int").parquet(out)

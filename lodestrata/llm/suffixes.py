@@ -238,7 +238,7 @@ def _parted(batches: Iterator[pa.RecordBatch], width: int, step: int) -> Iterato
 
 
 def _members(met: DataFrame) -> DataFrame:
-    return met.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("a", "lo", "n", "off", "kinds")).alias("spans"))
+    return met.groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("a", "lo", "n", "off", "kinds")).alias("spans"))
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from lodestrata.llm import lm
+from lodestrata.llm.bytetext import slices
 from lodestrata.llm.lm import initial, nce_epoch, normalisers, score
 from pyspark.sql import functions as F
 
@@ -80,3 +82,47 @@ def test_every_position_trains_but_those_held_back(spark, monkeypatch):
     trained = [r.text for r in rows.where(F.pmod(F.xxhash64("doc_id", "row_key"), F.lit(16)) != 0).collect()]
     # A word's row moves only where a position that has it as context trains: each word is followed by one or two.
     assert 0 < len(trained) < 60 and moved[:-1].sum() == 9 * len(trained)
+
+
+def test_score_equals_a_second_computation(spark, sf_dir, monkeypatch):
+    """With given weights: every token's class by a softmax over all classes, and rarer words by their share of the last one, one at a time."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).collect()] + [(7000, None), (7001, "never seen before"), (7001, "a b")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    weights = {}
+
+    def train(rows, table, freq):
+        rnd = np.random.default_rng(9)
+        weights["m"], weights["freq"] = initial(freq), freq
+        for k in weights["m"]:
+            weights["m"][k] = (weights["m"][k] + rnd.normal(0, 0.3, weights["m"][k].shape)).astype(np.float32)
+        return normalisers(weights["m"], 1.0)
+
+    monkeypatch.setattr(lm, "train", train)
+    monkeypatch.setattr(lm, "HEAD", 150)
+    got = sorted((r.doc_id, r.n_tokens, r.score) for r in score(df, held_out(), classes=40).collect())
+    held = [zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in docs]
+    c = Counter(t for (_, x), h in zip(docs, held, strict=True) if not h for t in tokens(x))
+    def of(text):
+        (s,) = slices(pa.array([text or ""]))
+        return lm._tokens(s)[0].view(np.int64).tolist()
+
+    # Classes go by count, ties by hash.
+    name = {t: of(t)[0] if t is not None else of("")[0] for t in c}
+    hashes = sorted(((name[t], n) for t, n in c.items()), key=lambda x: (-x[1], x[0]))
+    place = {h: i for i, (h, _) in enumerate(hashes[:40])}
+
+    m, k = weights["m"], 40
+    rest = sum(n for _, n in hashes[40:])
+    kinds = len(hashes) - 40
+    count = dict(hashes)
+    want = []
+    for d, x in docs:
+        total, h = 0.0, of(x)
+        cls = [place.get(t, k) for t in h]
+        for i, t in enumerate(h):
+            one, two = (cls[i - 1] if i else k + 1), (cls[i - 2] if i > 1 else k + 1)
+            logits = (m["r"][one].astype(float) @ m["c"][0] + m["r"][two].astype(float) @ m["c"][1]) @ m["q"].T.astype(float) + m["b"]
+            p = math.log10(math.exp(logits[cls[i]] - logits.max()) / np.exp(logits - logits.max()).sum())
+            total += p + (math.log10((count.get(t, 0) + 1) / (rest + kinds + 1)) if cls[i] == k else 0)
+        want.append((d, len(h), total))
+    assert all(a[:2] == b[:2] and math.isclose(a[2], b[2], rel_tol=1e-4) for a, b in zip(got, sorted(want), strict=True))

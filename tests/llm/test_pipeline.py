@@ -7,6 +7,7 @@ import corpus_pipeline
 import numpy as np
 import public_tokenizers
 from lodestrata.llm.common import materialise
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .test_decontamination import brute as leaks
@@ -60,3 +61,24 @@ def test_packing_gives_the_tokens(spark):
         got[r.doc_id] = got.get(r.doc_id, b"") + r.ids
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     assert {d: np.frombuffer(x, "<u4").tolist() for d, x in got.items()} == {d: [*tok.encode(t or "", add_special_tokens=False).ids, 0] for d, t, _ in rows}
+
+
+def test_stages_take_nulls_clashing_names_long_texts_and_empty_tables(spark, sf_dir, tmp_path):
+    """Each case has a row after the filters that let it through, all columns pass, and no stage fails."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    long_text = " ".join(f"word{i % 977}x{i}" for i in range(260_000))
+    odd = [(None, None, None, None, None), (900_001, "", "en", "web", 0), (900_002, long_text, "en", None, len(long_text)), (None, "a few plain words", None, "web", 17), (900_003, "same row", "en", "web", 8), (900_003, "same row", "en", "web", 8)]
+    extra = docs.select("doc_id", "text", "lang", "source", "n_chars").limit(30).union(spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long"))
+    extra = extra.withColumn("n_removed", F.lit("mine")).withColumn("kept", F.lit(True)).withColumn("predicted", F.lit("x")).withColumn("item_id", F.lit(3)).repartition(3)
+    assert len(long_text) > 2 << 20
+    for name, stage in corpus_pipeline.STAGES:
+        out = materialise(stage(spark, extra, sf_dir), name)
+        if name != "packing":
+            assert out.columns == extra.columns and out.select("n_removed").distinct().collect() == [("mine",)]
+        if name in ("near_dedup", "substring_dedup", "decontamination"):
+            texts = [r.text for r in out.collect()]
+            assert None in texts and "" in texts and long_text in texts
+            assert texts.count("same row") == (1 if name == "near_dedup" else 2)
+    none = extra.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, sf_dir).count() == 0

@@ -1,11 +1,13 @@
 """Packing, token files and sharding against the tokenizers library and plain Python."""
 
+import struct
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from lodestrata.llm.packing import _pieces, _whole, pack, plan_windows, sequences
 from lodestrata.llm.sharding import fisher_yates, rendezvous, shard
 from lodestrata.llm.subwords import Encoder
@@ -162,3 +164,33 @@ def test_places_in_windows_of_many_sources_are_gapless():
             for _, s, e, w, place in zip(*map(np.ndarray.tolist, p), strict=True):
                 at[w] += range(place, place + e - s)
     assert all(sorted(v) == list(range(1024 if w < max(at) else len(v))) for w, v in at.items())
+
+
+def test_shards_and_slots_by_hand(spark):
+    """Every record's shard, bucket and slot again, by the hashes' definition (XXH64, columns chained by seeds) and plain shuffles."""
+    def chained(*values):
+        h = 42
+        for v in values:
+            raw = v.encode() if isinstance(v, str) else struct.pack("<q" if v > 2**31 or isinstance(v, Long) else "<i", v)
+            h = xxhash.xxh64_intdigest(raw, h)
+        return h - 2**64 if h >= 2**63 else h
+
+    class Long(int):
+        pass
+
+    docs = [(Long(i * 7919), f"text {i % 90} " * (i % 40)) for i in range(700)]
+    df = spark.createDataFrame([(int(d), t) for d, t in docs], "doc_id long, text string").repartition(6)
+    got = {(r.doc_id, r.text): (r.shard, r.bucket, r.slot) for r in shard(df, shards=8, seed=17, bucket_bytes=3000).collect()}
+    total = sum(len(t.encode()) + 1 for _, t in docs)
+    buckets = max(1, -(-total // (3000 * 8)))
+    groups = defaultdict(list)
+    for d, t in docs:
+        own = max((chained(d, s, 17), s) for s in range(8))[1]
+        groups[own, chained(d, t, 18) % (1 << 30) % buckets].append((d, t))
+    base, want = defaultdict(int), {}
+    for (own, bucket), rows in sorted(groups.items()):
+        rows.sort(key=lambda r: (r[0], chained(r[1])))
+        for place, i in enumerate(fisher_yates(len(rows), 17 * 1_000_003 + own * buckets + bucket).tolist()):
+            want[int(rows[i][0]), rows[i][1]] = (own, bucket, base[own] + place)
+        base[own] += len(rows)
+    assert buckets > 2 and got == want
