@@ -13,10 +13,20 @@ from lodestrata.llm import decontamination, neardup, packing, quality, substring
 from lodestrata.llm.common import materialise
 
 
+def carried(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, __row): all other columns in one struct, so that none can clash with an operator's results."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+
+
+def returned(out: DataFrame, docs: DataFrame, **new) -> DataFrame:
+    """The columns of ``docs`` from ``carried`` rows, but ``new`` ones where given."""
+    return out.select(*[new[c].alias(c) if c in new else F.col("__row")[c].alias(c) for c in docs.columns])
+
+
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the line chain, trained on labelled rows, takes for bad."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model).where("predicted = 1").select(*docs.columns)
+    return returned(quality.score(carried(docs), model).where("predicted = 1"), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +36,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out words covered by 20-word windows that start earlier too; documents left without a word go. n_chars follows the text."""
-    out = substrings.remove_repeats(docs, width=20).where("n_removed = 0 or n_removed < n_words")
-    return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    out = substrings.remove_repeats(carried(docs), width=20).where("n_removed = 0 or n_removed < n_words")
+    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("__row")["n_chars"])
+    return returned(out, docs, text=F.col("text"), n_chars=n_chars)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
