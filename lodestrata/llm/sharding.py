@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, new_folder
+from .lists import whole_groups
 
 MOST_TASKS = 1 << 15
 
@@ -47,23 +48,28 @@ def shard(docs: DataFrame, shards: int = 8, seed: int = 17, bucket_bytes: int =
     total = rows.agg(F.sum("size")).first()[0] or 0
     buckets = max(1, -(-total // (bucket_bytes * shards)))
     rows = rows.withColumn("bucket", (F.col("scatter") % buckets).cast("int")).drop("scatter")
-    schema = docs.select("doc_id", "text").schema
-
-    def run(table: pa.Table) -> pa.Table:
+    def shuffled(table: pa.Table) -> pa.Table:
         # The arrival order differs from run to run; a fixed order first makes the shuffle repeatable.
         table = table.sort_by([("doc_id", "ascending"), ("key", "ascending")])
-        b = int(table["shard"][0].as_py()) * buckets + int(table["bucket"][0].as_py())
-        table = table.take(pa.array(fisher_yates(table.num_rows, seed * 1_000_003 + b))).drop_columns(["key"])
-        return table.append_column("place", pa.array(np.arange(table.num_rows)))
+        table = table.take(pa.array(fisher_yates(table.num_rows, seed * 1_000_003 + table["group"][0].as_py())))
+        return table.drop_columns(["key", "group"]).append_column("place", pa.array(np.arange(table.num_rows)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole_groups(batches):
+            g = batch.column("group").to_numpy()
+            cut = np.r_[0, np.flatnonzero(g[1:] != g[:-1]) + 1, len(g)]
+            for i, j in zip(cut.tolist(), cut[1:].tolist(), strict=False):
+                yield from shuffled(pa.Table.from_batches([batch.slice(i, j - i)])).to_batches()
 
-    keyed = rows.withColumn("key", F.xxhash64(text))
-    kinds = {f.name: f.dataType.simpleString() for f in schema}  # of doc_id
-    # As many tasks as buckets, so that one reads about one of them (several beyond MOST_TASKS).
-    dealt = keyed.repartition(min(shards * buckets, MOST_TASKS), "shard", "bucket")
-    shuffled = dealt.groupBy("shard", "bucket").applyInArrow(run, f"doc_id {kinds['doc_id']}, text string, size long, shard int, bucket int, place long")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    # One task for each bucket (for several beyond MOST_TASKS).
+    tasks = min(shards * buckets, MOST_TASKS)
+    keyed = rows.withColumn("key", F.xxhash64(text)).withColumn("group", (F.col("shard") * F.lit(buckets) + F.col("bucket")).cast("long"))
+    dealt = keyed.repartitionById(tasks, (F.col("group") % F.lit(tasks)).cast("int")).sortWithinPartitions("group")
+    written = dealt.mapInArrow(run, f"doc_id {kind}, text string, size long, shard int, bucket int, place long")
     out = folder or new_folder(spark, "shards")
-    shuffled.write.option("compression", "zstd").partitionBy("shard").parquet(out)
-    stored = spark.read.schema(f"doc_id {kinds['doc_id']}, text string, size long, bucket int, place long, shard int").parquet(out)
+    written.write.option("compression", "zstd").partitionBy("shard").parquet(out)
+    stored = spark.read.schema(f"doc_id {kind}, text string, size long, bucket int, place long, shard int").parquet(out)
     counts = stored.groupBy("shard", "bucket").agg(F.count("*").alias("rows"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = materialise(counts.select("shard", "bucket", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("base")), "bases")
