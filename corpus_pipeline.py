@@ -15,12 +15,13 @@ from lodestrata.llm.common import materialise
 
 def carried(docs: DataFrame) -> DataFrame:
     """(doc_id, text, __row): all other columns in one struct, so that none can clash with an operator's results."""
-    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(F.lit(0).alias("__none"), *others).alias("__row"))
 
 
 def returned(out: DataFrame, docs: DataFrame, **new) -> DataFrame:
     """The columns of ``docs`` from ``carried`` rows, but ``new`` ones where given."""
-    return out.select(*[new[c].alias(c) if c in new else F.col("__row")[c].alias(c) for c in docs.columns])
+    return out.select(*[new[c].alias(c) if c in new else F.col(c) if c in ("doc_id", "text") else F.col("__row")[c].alias(c) for c in docs.columns])
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +39,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Takes out words covered by 20-word windows that start earlier too; documents left without a word go. n_chars follows the text."""
     out = substrings.remove_repeats(carried(docs), width=20).where("n_removed = 0 or n_removed < n_words")
     n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("__row")["n_chars"])
-    return returned(out, docs, text=F.col("text"), n_chars=n_chars)
+    return returned(out, docs, n_chars=n_chars)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
