@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Documents of one numpy slice together hold about this many bytes (a longer document is a slice alone).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
