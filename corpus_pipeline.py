@@ -13,6 +13,15 @@ from lodestrata.llm import decontamination, neardup, packing, quality, substring
 from lodestrata.llm.common import materialise
 
 
+#: Bytes of an Arrow batch between Spark and Python: a stage's tasks hold a few of them at once.
+BATCH = "8m"
+
+
+def lean(spark: SparkSession) -> None:
+    """Keeps batches small in this session, whose texts may be very long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+
+
 def carried(docs: DataFrame) -> DataFrame:
     """(doc_id, text, __row): all other columns in one struct, so that none can clash with an operator's results."""
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
@@ -26,17 +35,20 @@ def returned(out: DataFrame, docs: DataFrame, **new) -> DataFrame:
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the line chain, trained on labelled rows, takes for bad."""
+    lean(spark)
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return returned(quality.score(carried(docs), model).where("predicted = 1"), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, that of the smallest doc_id, of each group of near duplicates (five words, 0.8)."""
+    lean(spark)
     return neardup.keep_one(docs, words=5, percent=80)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out words covered by 20-word windows that start earlier too; documents left without a word go. n_chars follows the text."""
+    lean(spark)
     out = substrings.remove_repeats(carried(docs), width=20).where("n_removed = 0 or n_removed < n_words")
     n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("__row")["n_chars"])
     return returned(out, docs, n_chars=n_chars)
@@ -44,11 +56,13 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item (five words, 0.8 of its shingles)."""
+    lean(spark)
     return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), words=5, percent=80)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Windows of 1024 tokens in which every source has its share: their pieces with the token ids (``packing.sequences`` joins them)."""
+    lean(spark)
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), width=1024, with_ids=True)
