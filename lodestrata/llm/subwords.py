@@ -15,6 +15,7 @@ from .bytetext import SPACE, Slice, byte_table, prefix_hash, span_hash
 
 #: Units that a worker remembers at most; beyond that it starts anew.
 REMEMBERED = 3_000_000
+CHUNK = 128 << 10
 
 #: White space outside ASCII (Unicode White_Space), as UTF-8.
 OTHER_SPACE = re.compile(b"\xc2\x85|\xc2\xa0|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|<\\|")
@@ -53,6 +54,13 @@ class Encoder:
         return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
     def _encode(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all units, how many each has), encoded some CHUNK bytes at a time: the tokenizer holds over 100 bytes for each byte of a call."""
+        size = np.cumsum([len(u) for u in units])
+        cut = np.flatnonzero(np.diff(np.r_[-1, size // CHUNK])).tolist()
+        parts = [self._encode_some(units[i:j]) for i, j in zip(cut, [*cut[1:], len(units)], strict=True)]
+        return np.concatenate([x for x, _ in parts]), np.concatenate([n for _, n in parts])
+
+    def _encode_some(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids per unit), from one call for all plain units and one for each odd one."""
         mark = b" | " if self.kind == "word" else b"\n"
         odd = [i for i, u in enumerate(units) if not self._plain(u)]
