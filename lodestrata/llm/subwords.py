@@ -14,7 +14,7 @@ import numpy as np
 from .bytetext import SPACE, Slice, byte_table, prefix_hash, span_hash
 
 #: Units that a worker remembers at most; beyond that it starts anew.
-REMEMBERED = 3_000_000
+REMEMBERED = 1_000_000
 CHUNK = 128 << 10
 
 #: White space outside ASCII (Unicode White_Space), as UTF-8.
