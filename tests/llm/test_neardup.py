@@ -102,6 +102,6 @@ def test_keep_one_leaves_one_row_of_each_group(spark):
     got = keep_one(df, 5, 80)
     assert got.columns == df.columns
     got = got.collect()
-    groups = sorted(next((i for i in range(5) if r.text.startswith(text[i])), -1) for r in got)
+    groups = sorted(next((i for i in range(5) if (r.text or "").startswith(text[i])), -1) for r in got)
     assert groups == [-1, -1, 0, 1, 2, 3, 4]
     assert {r.doc_id for r in got if r.text} == {1, None, 9, 4} and sum(r.doc_id is None for r in got if r.text) == 1
