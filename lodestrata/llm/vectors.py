@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, materialise
-from .lists import blocked, forest, pairs, whole_groups
+from .lists import blocked, forest, whole_groups
 
 DESCRIBED, LISTED, SHARED = 10, 6, 2
 LIST_BLOCK = 1024
@@ -79,6 +79,18 @@ def describe(distinct: DataFrame) -> DataFrame:
     return distinct.mapInArrow(run, "class long, vec array<double>, copies long, dims int, near array<int>")
 
 
+def _sharing(near: np.ndarray, pivot: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For rows ``x`` against rows ``y`` of the list of ``pivot``: whether they share at least SHARED pivots and are listed together under
+    no smaller one. Shared pivots are counted as products of 0-1 matrices over the pivots that occur here."""
+    names, at = np.unique(near, return_inverse=True)
+    at = at.reshape(near.shape)
+    held, listed = (np.zeros((len(near), len(names)), np.float32) for _ in range(2))
+    np.put_along_axis(held, at, 1, 1)
+    np.put_along_axis(listed, at[:, :LISTED], 1, 1)
+    held, listed = held[:, names >= 0], listed[:, (names >= 0) & (names < pivot)]
+    return (held[x] @ held[y].T >= SHARED) & (listed[x] @ listed[y].T == 0)
+
+
 def _links(described: DataFrame, threshold: float) -> DataFrame:
     """(a, b, links): from each list, for class a, the class b that stands for its piece of the forest and the vectors it links to."""
     rows = described.withColumn("pivot", F.explode(F.slice("near", 1, LISTED))).withColumn("list", F.xxhash64("dims", "pivot"))
@@ -92,28 +104,24 @@ def _links(described: DataFrame, threshold: float) -> DataFrame:
             near = np.full((len(ids), DESCRIBED), -1, np.int32)
             near[np.arange(DESCRIBED)[None, :] < k[:, None]] = b.column("near").flatten().to_numpy()
             flat, ends = b.column("vec").flatten().to_numpy(), np.r_[0, np.cumsum(b.column("vec").value_lengths().to_numpy())]
-            dims = np.diff(ends)
-            unit = {int(d): (np.flatnonzero(dims == d), _unit(np.stack([flat[ends[r] : ends[r + 1]] for r in np.flatnonzero(dims == d)]))) for d in np.unique(dims)}
-            place = np.empty(len(ids), np.int64)
-            for rows_, _ in unit.values():
-                place[rows_] = np.arange(len(rows_))
             links = np.zeros(len(ids), np.int64)
             left, right = [], []
-            for i, j in pairs(group, side):
-                same = (near[i][:, :, None] == near[j][:, None, :]) & (near[i] >= 0)[:, :, None]
-                ok = same.any(2).sum(1) >= SHARED
-                both = same[:, :LISTED, :LISTED].any(2)
-                ok &= np.where(both, near[i][:, :LISTED], np.iinfo(np.int32).max).min(1) == pivot[i]
-                i, j = i[ok], j[ok]
-                for d, (_, u) in unit.items():
-                    own = dims[i] == d
-                    x, y = i[own], j[own]
-                    hit = np.einsum("ij,ij->i", u[place[x]], u[place[y]]) >= threshold
-                    x, y = x[hit], y[hit]
-                    np.add.at(links, x, copies[y])
-                    np.add.at(links, y, copies[x])
-                    left.append(x)
-                    right.append(y)
+            cut = np.r_[0, np.flatnonzero(group[1:] != group[:-1]) + 1, len(ids)]
+            for s, e in zip(cut, cut[1:]):
+                own = side[s] < 0
+                x, y = (np.arange(e - s),) * 2 if own else (np.flatnonzero(side[s:e] == v) for v in (0, 1))
+                ok = _sharing(near[s:e], pivot[s], x, y)
+                if own:
+                    ok = np.triu(ok, 1)
+                if not ok.any():
+                    continue
+                unit = _unit(flat[ends[s] : ends[e]].reshape(e - s, -1))
+                i, j = np.nonzero(ok & (unit[x] @ unit[y].T >= threshold))
+                i, j = s + x[i], s + y[j]
+                np.add.at(links, i, copies[j])
+                np.add.at(links, j, copies[i])
+                left.append(i)
+                right.append(j)
             if left:
                 root = forest(len(ids), np.concatenate(left), np.concatenate(right))
                 r = np.flatnonzero(links)
