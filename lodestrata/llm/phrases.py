@@ -4,8 +4,9 @@ Every word of a piece starts a suffix, cut to the longest phrase's words. Suffix
 reverse lexicographic order there, and one stack of open prefixes, carried from batch to batch, counts all prefixes: a row closes the prefixes that
 it does not share, longest first. The counts of a phrase's parts are joined afterwards.
 
-A first word with more than 1/4096 of all summed suffixes is dealt into parts by its suffix; phrases shorter than the longest then have partial counts,
-which are summed. At most 4096 such words exist, so their list is small enough to broadcast at every size.
+A first word with more than 1/4096 of all summed suffixes is dealt into parts by the second word, and a part that is still four times as large by the
+rest; prefixes that lie in several parts have partial counts, which are summed. Fewer than 4096 such words and parts can exist, so both lists are small enough to
+broadcast at every size. A suffix travels as one string, each word ended by a line feed, which no word holds.
 
 Null text is empty, a null language is ``und``; texts of any length are cut whole; repeated rows count again; text without words and empty tables give no
 rows; columns other than the text and the language are ignored. Ties in the score go to the more frequent phrase, then to the smaller one in byte order.
@@ -28,7 +29,9 @@ from .common import materialise
 #: A first word is dealt into parts if it has more than this share of the suffixes.
 SHARES = 4096
 #: A task sums the suffixes of so many words (whole documents) before it hands them on.
-BUFFER_WORDS = 1 << 20
+BUFFER_WORDS = 1 << 19
+#: Rows of a batch that a task hands on.
+BATCH_ROWS = 1 << 16
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[*b".,;:!?", 10, 11, 12, 13]] = True
@@ -80,18 +83,20 @@ def _summed(words: pa.Array, piece: np.ndarray, longest: int) -> tuple[pa.Array,
 
 
 def suffixes(docs: DataFrame, longest: int, lang: str = "lang") -> DataFrame:
-    """(lang, w1 .. wk, n): the suffixes that start at the words of each piece, cut to ``longest`` words (missing: null), summed within tasks."""
-    names = [f"w{i + 1}" for i in range(longest)]
+    """(lang, s, n): the suffixes that start at the words of each piece, cut to ``longest`` words (each ended by a line feed), summed within tasks."""
     rows = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
 
-    def flush(of: str, held: list) -> pa.RecordBatch:
+    def flush(of: str, held: list) -> Iterator[pa.RecordBatch]:
         step, piece = 0, []
         for _, p in held:
             piece.append(p + step)
             step = int(piece[-1][-1]) + 1
         dictionary, cols, count = _summed(pa.concat_arrays([w for w, _ in held]), np.concatenate(piece), longest)
-        taken = [dictionary.take(pa.array(c, mask=c < 0)) for c in cols]
-        return pa.RecordBatch.from_arrays([pa.array([of] * len(count), pa.string()), *taken, pa.array(count)], names=["lang", *names, "n"])
+        ended = pa.concat_arrays([pc.binary_join_element_wise(dictionary, "", "\n"), pa.array([""])])
+        for i in range(0, len(count), BATCH_ROWS):
+            part = [ended.take(pa.array(np.where(c[i : i + BATCH_ROWS] < 0, len(dictionary), c[i : i + BATCH_ROWS]))) for c in cols]
+            n = pa.array(count[i : i + BATCH_ROWS])
+            yield pa.RecordBatch.from_arrays([pa.array([of] * len(n), pa.string()), pc.binary_join_element_wise(*part, ""), n], names=["lang", "s", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
@@ -106,77 +111,97 @@ def suffixes(docs: DataFrame, longest: int, lang: str = "lang") -> DataFrame:
             # All languages share the buffer; the fullest one is handed on first.
             while sum(len(w) for part in held.values() for w, _ in part) >= BUFFER_WORDS:
                 of = max(held, key=lambda k: sum(len(w) for w, _ in held[k]))
-                yield flush(of, held.pop(of))
+                yield from flush(of, held.pop(of))
         for of, part in held.items():
-            yield flush(of, part)
+            yield from flush(of, part)
 
-    return rows.mapInArrow(run, ", ".join(["lang string", *(f"{c} string" for c in names), "n long"]))
+    return rows.mapInArrow(run, "lang string, s string, n long")
 
 
 def prefix_counts(batches: Iterator[pa.RecordBatch], longest: int, least: int) -> Iterator[pa.RecordBatch]:
-    """(lang, phrase, words, f) from batches of (lang, w1 .. wk, salt, parts, n), sorted by lang, w1 and salt and from the last suffix to the first.
+    """(lang, phrase, words, f) from batches of (lang, s, level, n), those of a language and first word together, from the last suffix to the first.
 
     The stack holds the prefixes of the last row that are still open, one a length, with their counts so far. A row closes those that it doesn't
-    share; within a batch the rows that do so are found for a whole length at once. A count below ``least`` is dropped where it is complete.
+    share; within a batch the rows that do so are found for a whole length at once. A count below ``least`` is dropped where it is complete:
+    at level 0 always, at level 1 from two words on, at level 2 for the longest.
     """
-    names = [f"w{i + 1}" for i in range(longest)]
     top: pa.RecordBatch | None = None
     open_ = [0] * longest
 
-    def closed(rows: pa.RecordBatch, k: int, f: np.ndarray) -> pa.RecordBatch | None:
-        whole = rows.column("parts").to_numpy() == 1
-        keep = rows.column(names[k]).is_valid().to_numpy(zero_copy_only=False) & ((f >= least) | (~whole & (k + 1 < longest)))
+    def closed(rows: pa.RecordBatch, start: np.ndarray, k: int, f: np.ndarray, held: np.ndarray, words: list[pa.Array]) -> pa.RecordBatch | None:
+        level = rows.column("level").to_numpy()[start]
+        whole = (level == 0) | ((level == 1) & (k > 0)) | (k + 1 == longest)
+        keep = (held[start] > k) & ((f >= least) | ~whole)
         if not keep.any():
             return None
-        kept = rows.filter(pa.array(keep))
-        phrase = pc.binary_join_element_wise(*[kept.column(c) for c in names[: k + 1]], " ")
-        return pa.RecordBatch.from_arrays([kept.column("lang"), phrase, pa.array(np.full(len(kept), k + 1, np.int32)), pa.array(f[keep])], names=["lang", "phrase", "words", "f"])
-
-    for b in batches:
-        if not b.num_rows:
-            continue
-        # The top of the stack goes before the batch as a row without a count.
-        rows = b if top is None else pa.Table.from_batches([top, b]).combine_chunks().to_batches()[0]
+        at = pa.array(start[keep])
+        phrase = pc.binary_join_element_wise(*[w.take(at) for w in words[: k + 1]], " ")
+        return pa.RecordBatch.from_arrays([rows.column("lang").take(at), phrase, pa.array(np.full(len(at), k + 1, np.int32)), pa.array(f[keep])], names=["lang", "phrase", "words", "f"])
+
+    def passed(rows: pa.RecordBatch, last: bool) -> Iterator[pa.RecordBatch]:
+        parts = pc.split_pattern(rows.column("s"), "\n")
+        # The line feed after the last word leaves an empty string behind it.
+        held = pc.list_value_length(parts).to_numpy() - 1
+        off, flat = parts.offsets.to_numpy()[:-1].astype(np.int64), parts.values
+        words = [flat.take(pa.array(off + np.minimum(k, held))) for k in range(longest)]
         n = rows.column("n").to_numpy().astype(np.int64)
-        if top is not None:
+        if top is not None and not last:
             n = np.r_[0, n[1:]]
-        new = np.zeros(len(rows), bool)
-        new[0] = True
-        codes = lambda c: rows.column(c).dictionary_encode(null_encoding="encode").indices.to_numpy()
-        for c in ("lang", "salt"):
-            v = codes(c)
-            new[1:] |= v[1:] != v[:-1]
-        for k in range(longest):
-            v = codes(names[k])
-            new[1:] |= v[1:] != v[:-1]
-            start = np.flatnonzero(new)
-            f = np.add.reduceat(n, start)
-            f[0] += open_[k]
-            if (out := closed(rows.take(pa.array(start[:-1])), k, f[:-1])) is not None:
-                yield out
-            open_[k] = int(f[-1])
-        top = rows.slice(len(rows) - 1)
-    if top is not None:
+        code = lambda x: x.dictionary_encode().indices.to_numpy()
+        new = np.ones(len(rows), bool)
+        v = code(rows.column("lang"))
+        new[1:] = v[1:] != v[:-1]
         for k in range(longest):
-            if (out := closed(top, k, np.array([open_[k]]))) is not None:
+            v = code(words[k])
+            new[1:] |= (v[1:] != v[:-1]) | (np.minimum(held[1:], k + 1) != np.minimum(held[:-1], k + 1))
+            if last:
+                start, f = np.array([0]), np.array([open_[k]])
+            else:
+                start = np.flatnonzero(new)
+                f = np.add.reduceat(n, start)
+                f[0] += open_[k]
+                open_[k] = int(f[-1])
+                start, f = start[:-1], f[:-1]
+            if (out := closed(rows, start, k, f, held, words)) is not None:
                 yield out
 
-
-def frequent(counted: DataFrame, longest: int, least: int) -> DataFrame:
-    """(lang, phrase, words, f) of the phrases of up to ``longest`` words that occur ``least`` times, from written ``suffixes``."""
-    names = [f"w{i + 1}" for i in range(longest)]
-    by_first = counted.groupBy("lang", "w1").agg(F.count("*").alias("rows"))
-    total = counted.count()
-    # At most SHARES first words can have more than one part, so the broadcast table is bounded.
-    hot = by_first.where(F.col("rows") * SHARES > total).select("lang", "w1", F.ceil(F.col("rows") * SHARES / F.lit(max(1, total))).cast("int").alias("parts"))
-    rows = counted.join(F.broadcast(hot), ["lang", "w1"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64(*names[1:]), F.col("parts")).cast("int")) if longest > 1 else rows.withColumn("salt", F.lit(0)).withColumn("parts", F.lit(1))
-    rows = rows.repartition("lang", "w1", "salt").sortWithinPartitions("lang", "w1", "salt", *[F.desc(c) for c in names[1:]])
+    for b in batches:
+        if b.num_rows:
+            # The top of the stack goes before the batch as a row without a count.
+            rows = b if top is None else pa.Table.from_batches([top, b]).combine_chunks().to_batches()[0]
+            yield from passed(rows, False)
+            top = rows.slice(len(rows) - 1)
+    if top is not None:
+        yield from passed(pa.Table.from_batches([top]).combine_chunks().to_batches()[0], True)
+
+
+def first_words(counted: DataFrame) -> DataFrame:
+    """(lang, w1, rows, n): for each first word its rows of ``suffixes`` and its occurrences."""
+    return counted.groupBy("lang", F.substring_index("s", "\n", 1).alias("w1")).agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
+
+
+def frequent(counted: DataFrame, first: DataFrame, longest: int, least: int) -> DataFrame:
+    """(lang, phrase, words, f) of the phrases of up to ``longest`` words that occur ``least`` times, from written ``suffixes`` and ``first_words``."""
+    total = first.agg(F.sum("rows")).first()[0] or 1
+    # Fewer than SHARES first words can have so many rows, so the broadcast table is bounded.
+    hot = first.where(F.col("rows") * SHARES > total).select("lang", "w1", F.ceil(F.col("rows") * SHARES / F.lit(total)).cast("int").alias("parts"))
+    rows = counted.withColumn("w1", F.substring_index("s", "\n", 1)).join(F.broadcast(hot), ["lang", "w1"], "left")
+    second = F.substring_index(F.substring_index("s", "\n", 2), "\n", -1)
+    rows = rows.withColumn("part", F.coalesce(F.pmod(F.xxhash64(second), F.col("parts")).cast("int"), F.lit(0)))
+    # Of the parts fewer than SHARES / 4 can still be four times too large.
+    large = rows.where("parts is not null").groupBy("lang", "w1", "part").agg(F.count("*").alias("rows")).where(F.col("rows") * SHARES > 4 * total)
+    large = large.select("lang", "w1", "part", F.ceil(F.col("rows") * SHARES / F.lit(total)).cast("int").alias("cuts"))
+    rows = rows.join(F.broadcast(large), ["lang", "w1", "part"], "left")
+    level = F.when(F.col("cuts").isNotNull(), 2).when(F.col("parts").isNotNull(), 1).otherwise(0)
+    cut = F.coalesce(F.pmod(F.xxhash64("s"), F.col("cuts")).cast("int"), F.lit(0))
+    rows = rows.select(F.xxhash64("lang", "w1", "part", cut).alias("group"), "lang", "s", level.alias("level"), "n")
+    # A group's hash comes first, so that most comparisons of the sort are those of one number.
+    rows = rows.repartition("group").sortWithinPartitions("group", "lang", F.desc("s"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return prefix_counts(batches, longest, least)
 
-    found = rows.select("lang", *names, "salt", "parts", "n").mapInArrow(run, "lang string, phrase string, words int, f long")
+    found = rows.select("lang", "s", "level", "n").mapInArrow(run, "lang string, phrase string, words int, f long")
     return found.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
 
@@ -214,9 +239,10 @@ def best_of(scored: DataFrame, top: int, parts: int = 64) -> DataFrame:
 
 def collocations(docs: DataFrame, longest: int = 3, least: int = 10, covered: int = 50, top: int = 2000, lang: str = "lang") -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's ``top`` phrases of two to ``longest`` words that occur ``least`` times, but those
-    of which ``covered`` percent or more lie inside one longer such phrase. Writes two tables on the way."""
+    of which ``covered`` percent or more lie inside one longer such phrase. Writes three tables on the way."""
     counted = materialise(suffixes(docs, longest, lang), "suffixes")
-    found = materialise(frequent(counted, longest, least), "phrases")
+    first = materialise(first_words(counted), "first-words")
+    found = materialise(frequent(counted, first, longest, least), "phrases")
     scored = parts_of(found).join(contained(found), ["lang", "phrase"], "left").where(F.coalesce(100 * F.col("longer") < covered * F.col("a"), F.lit(True)))
-    words = counted.groupBy("lang").agg(F.sum("n").alias("n"))
+    words = first.groupBy("lang").agg(F.sum("n").alias("n"))
     return best_of(scored, top).join(words, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
