@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -163,26 +164,44 @@ def monotone(x: np.ndarray, y: np.ndarray, base: float) -> tuple[np.ndarray, np.
     return np.array([v for p in pools for v in p[:2]]), np.repeat(chance, 2)
 
 
-def example_terms(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """(doc_id, row_key, toxic, term, tf) of the labelled examples, written; each has one row without a term."""
+def examples(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
+    """(doc_id, row_key, toxic, text) of the labelled examples, written."""
     one = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).alias("toxic"))
     one = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = documents(docs).drop("rest").join(F.broadcast(one), "doc_id").dropDuplicates(["doc_id", "row_key"]).select("doc_id", "row_key", "toxic", "text")
+    return materialise(documents(docs).drop("rest").join(F.broadcast(one), "doc_id").dropDuplicates(["doc_id", "row_key"]).select("doc_id", "row_key", "toxic", "text"), "examples")
+
+
+def example_terms(rows: DataFrame) -> DataFrame:
+    """(doc_id, row_key, toxic, term): the distinct terms of each example."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in slices(b.column("text")):
                 h, start, end, doc, kind = term_runs(s)
                 order = np.lexsort((h, doc))
-                new = np.flatnonzero(np.r_[np.ones(min(1, len(h)), bool), (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1])])
-                at, tf = order[new], np.diff(np.r_[new, len(h)])
+                at = order[np.r_[np.ones(min(1, len(h)), bool), (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1])]]
                 low = LOWER[s.data]
                 words = [low[i:j].tobytes().decode("utf-8", "replace") + "*" * min(n, 1) for i, j, n in zip(start[at], end[at], kind[at].tolist(), strict=True)]
-                row = s.first + np.r_[np.arange(s.n), doc[at]]
-                cols = [b.column(c).take(pa.array(row)) for c in ("doc_id", "row_key", "toxic")]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array([None] * s.n + words, pa.string()), pa.array(np.r_[np.zeros(s.n, np.int64), tf])], names=["doc_id", "row_key", "toxic", "term", "tf"])
+                cols = [b.column(c).take(pa.array(s.first + doc[at])) for c in ("doc_id", "row_key", "toxic")]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(words, pa.string())], names=["doc_id", "row_key", "toxic", "term"])
+
+    return rows.mapInArrow(run, "doc_id long, row_key int, toxic boolean, term string")
+
+
+def encoded(rows: DataFrame, names: list[str]) -> DataFrame:
+    """(doc_id, row_key, toxic, term, tf): one row an example, its terms' places in ``names`` and their frequencies as arrays."""
+    hashes, order = _hashes(names)
+    begins = begins_in(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in slices(b.column("text")):
+                doc, place, tf = found_terms(s, hashes, begins)
+                off = pa.array(np.searchsorted(doc, np.arange(s.n + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(off, pa.array(v.astype(np.int32))) for v in (order[place] if len(order) else place, tf)]
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(s.first, s.n) for c in ("doc_id", "row_key", "toxic")), *lists], names=["doc_id", "row_key", "toxic", "term", "tf"])
 
-    return materialise(rows.mapInArrow(run, "doc_id long, row_key int, toxic boolean, term string, tf long"), "examples")
+    return rows.mapInArrow(run, "doc_id long, row_key int, toxic boolean, term array<int>, tf array<int>")
 
 
 def counts(docs: DataFrame, names: list[str]) -> tuple[int, np.ndarray]:
@@ -229,30 +248,25 @@ def found_terms(s: Slice, hashes: np.ndarray, begins: tuple[int, ...]) -> tuple[
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 8192, candidates: int = 2048, vocabulary: int = 256, k: int = 15) -> Model | None:
-    """The index and its calibration from ``labels`` (doc_id, toxic); None without labelled examples. Runs jobs: writes the examples' terms, counts."""
-    terms = example_terms(docs, labels, sample)
-    size = terms.where("term is null").agg(F.count("*").alias("n"), F.count_if("toxic").alias("pos")).first()
+    """The index and its calibration from ``labels`` (doc_id, toxic); None without labelled examples. Runs jobs: writes the examples, counts."""
+    rows = examples(docs, labels, sample)
+    size = rows.agg(F.count("*").alias("n"), F.count_if("toxic").alias("pos")).first()
     if not size["n"]:
         return None
     x = lambda seen, row, col: F.when(seen > 0, 2 * seen * F.log(seen * F.lit(float(size["n"])) / (row * F.lit(float(col))))).otherwise(0.0)
     n, a, pos, total = F.col("n"), F.col("a"), size["pos"], size["n"]
     stat = x(a, n, max(pos, 1)) + x(n - a, n, max(total - pos, 1)) + x(pos - a, total - n, max(pos, 1)) + x(total - pos - n + a, total - n, max(total - pos, 1))
     same = F.sum(F.xxhash64("doc_id", "row_key").cast("decimal(38,0)")).alias("same")
-    by_term = terms.where("term is not null").groupBy("term").agg(F.count("*").alias("n"), F.count_if("toxic").alias("a"), same)
+    by_term = example_terms(rows).groupBy("term").agg(F.count("*").alias("n"), F.count_if("toxic").alias("a"), same)
     # Of terms that the same examples hold (the beginnings of a rare word) the shortest stands for all.
     by_term = by_term.groupBy("n", "a", "same").agg(F.min(F.struct(F.length("term"), "term")).getField("term").alias("term"))
     best = by_term.select("term", stat.alias("g2")).orderBy(F.desc("g2"), "term").limit(candidates)
     names = [r["term"] for r in best.collect()]
-    listed = docs.sparkSession.createDataFrame([(t, i) for i, t in enumerate(names)], "term string, i int")
-    # Examples and candidates are both bounded; their rows come as Arrow columns.
-    every = terms.where("term is null").select("doc_id", "row_key", "toxic").toArrow().sort_by([("doc_id", "ascending"), ("row_key", "ascending")])
-    ids, toxic = every["doc_id"].to_numpy(), every["toxic"].to_numpy()
-    rank = {k: i for i, k in enumerate(zip(ids.tolist(), every["row_key"].to_pylist(), strict=True))}
-    has = terms.join(F.broadcast(listed), "term").select("doc_id", "row_key", "i", F.col("tf").cast("int").alias("tf")).toArrow().sort_by([("doc_id", "ascending"), ("row_key", "ascending"), ("i", "ascending")])
-    key = np.stack([has["doc_id"].to_numpy(), has["row_key"].to_numpy().astype(np.int64)])
-    new = np.r_[np.ones(min(1, key.shape[1]), bool), (key[:, 1:] != key[:, :-1]).any(0)]
-    doc = np.array([rank[k] for k in zip(*key[:, new].tolist(), strict=True)], np.int64)[np.cumsum(new) - 1] if len(has) else np.zeros(0, np.int64)
-    term, tf = has["i"].to_numpy().astype(np.int64), has["tf"].to_numpy().astype(float)
+    # Examples and candidates are both bounded: an array of places for each example.
+    got = encoded(rows, names).toArrow().combine_chunks().sort_by([("doc_id", "ascending"), ("row_key", "ascending")])
+    ids, toxic = got["doc_id"].to_numpy(), got["toxic"].to_numpy()
+    doc = np.repeat(np.arange(len(got)), pc.list_value_length(got["term"]).to_numpy())
+    term, tf = (pc.list_flatten(got[c]).to_numpy().astype(kind) for c, kind in (("term", np.int64), ("tf", float)))
     chosen = choose(doc, term, toxic.astype(float), vocabulary)
     own = [names[i] for i in chosen]
     hashes, order = _hashes(own)
