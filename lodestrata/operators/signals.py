@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import direction, vol_scale
+from .cointegration import critical_values, mackinnon_p
 from .prep import by_day
 
 
@@ -95,14 +96,17 @@ def spread_path(bars: DataFrame, pairs: DataFrame, window: int) -> DataFrame:
 
 
 def pair_states(path: DataFrame, entry: float, exit_: float) -> DataFrame:
-    """(pair, ts, beta, z, state): +1 long the spread, -1 short, 0 flat; enters beyond ``entry``, leaves at ``exit_``; an exit may turn on its day.
+    """(pair, ts, beta, z, state): +1 long the spread, -1 short, 0 flat; enters at ``entry`` or beyond, leaves at ``exit_`` or without a z; an exit may turn on its day.
 
-    A state is that of the last day beyond ``entry`` unless its exit came after that day, so two running looks back give it.
+    A column ``may_enter`` of ``path`` gates new positions only. A state is that of the last day that may enter unless its exit came after that day, so two
+    running looks back give it; a day at ``entry`` within a position of the same side changes nothing.
     """
     w = Window.partitionBy("pair").orderBy("ts")
-    signal = F.when(F.col("z") > entry, -1).when(F.col("z") < -entry, 1)
+    allowed = F.col("may_enter") if "may_enter" in path.columns else F.lit(True)
+    signal = F.when(allowed & (F.col("z") >= entry), -1).when(allowed & (F.col("z") <= -entry), 1)
     last = lambda c: F.last(c, ignorenulls=True).over(w)
-    seen = path.withColumn("__sign", last(signal)).withColumn("__entry", last(F.when(signal.isNotNull(), F.col("ts")))).withColumn("__out", F.when(F.col("__sign") == -1, last(F.when(F.col("z") <= exit_, F.col("ts")))).otherwise(last(F.when(F.col("z") >= -exit_, F.col("ts")))))
+    left = lambda when: last(F.when(F.col("z").isNull() | when, F.col("ts")))
+    seen = path.withColumn("__sign", last(signal)).withColumn("__entry", last(F.when(signal.isNotNull(), F.col("ts")))).withColumn("__out", F.when(F.col("__sign") == -1, left(F.col("z") <= exit_)).otherwise(left(F.col("z") >= -exit_)))
     gone = F.col("__sign").isNull() | F.coalesce(F.col("__out") > F.col("__entry"), F.lit(False))
     return seen.select("pair", "ts", "beta", "z", F.when(gone, 0).otherwise(F.col("__sign")).cast("int").alias("state"))
 
@@ -118,13 +122,13 @@ def pair_legs(states: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def engle_granger(y: np.ndarray, x: np.ndarray) -> dict[str, float | None]:
-    """Residual test of cointegration: statistic (lag by AIC on a common sample), its 5 % critical value, beta and half-life."""
+    """Residual test of cointegration: statistic (lag by AIC on a common sample), its critical values, beta and half-life."""
     n = len(y)
     a = np.c_[np.ones(n), x]
     coef = np.linalg.lstsq(a, y, rcond=None)[0]
     e = y - a @ coef
     d = np.diff(e)
-    most = min(int(np.ceil(12 * (n / 100) ** 0.25)), n // 2 - 2)
+    most = min(int(np.ceil(12 * (n / 100) ** 0.25)), n // 2 - 1)
 
     def fit(k: int, first: int) -> tuple[float, float]:
         rows = np.c_[e[first:-1], *[d[first - i : len(d) - i] for i in range(1, k + 1)]]
@@ -138,16 +142,16 @@ def engle_granger(y: np.ndarray, x: np.ndarray) -> dict[str, float | None]:
 
     lag = min(range(most + 1), key=lambda k: fit(k, most)[1])
     slope = np.polyfit(e[:-1], d, 1)[0]
-    # MacKinnon (2010), two series with a constant, 5 %.
-    critical = -3.33613 - 6.1101 / n - 6.823 / n**2
-    return {"statistic": float(fit(lag, lag)[0]), "critical_5": float(critical), "beta": float(coef[1]), "half_life": float(-np.log(2) / np.log(1 + slope)) if -1 < slope < 0 else None}
+    critical = {f"critical_{k}": float(v) for k, v in critical_values(n).items()}
+    return {"statistic": float(fit(lag, lag)[0]), **critical, "beta": float(coef[1]), "half_life": float(-np.log(2) / np.log(1 + slope)) if -1 < slope < 0 else None}
 
 
 def cointegration(pairs: DataFrame) -> DataFrame:
-    """(pair, statistic, critical_5, beta, half_life) for rows (pair, ts, y, x) of log prices; one task per pair."""
+    """(pair, statistic, p_value, critical_1, critical_5, critical_10, beta, half_life) for rows (pair, ts, y, x) of log prices; one task per pair."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts")
         return pd.DataFrame([{"pair": pdf["pair"].iloc[0], **engle_granger(pdf["y"].to_numpy(), pdf["x"].to_numpy())}])
 
-    return pairs.groupBy("pair").applyInPandas(run, "pair string, statistic double, critical_5 double, beta double, half_life double")
+    out = pairs.groupBy("pair").applyInPandas(run, "pair string, statistic double, critical_1 double, critical_5 double, critical_10 double, beta double, half_life double")
+    return out.select("pair", "statistic", mackinnon_p(F.col("statistic")).alias("p_value"), "critical_1", "critical_5", "critical_10", "beta", "half_life")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..sources.files import stored, write_once
 from . import backtest as bt
-from . import metrics, portfolio, prep, signals, universe, validation
+from . import cointegration, metrics, portfolio, prep, signals, universe, validation
 
 
 def checked(ok: bool, what: str) -> None:
@@ -105,10 +105,12 @@ class Pairs(Study):
     formation_days: int = 60
     entry_z: float = 2.0
     exit_z: float = 0.0
+    max_coint_p_value: float | None = None
 
     def __post_init__(self):
         checked(self.dependent != self.explanatory, "a pair needs two instruments")
         checked(0 <= self.exit_z < self.entry_z, "exit_z must lie between 0 and entry_z")
+        checked(self.max_coint_p_value is None or 0 < self.max_coint_p_value <= 1, "max_coint_p_value must lie between 0 and 1")
 
     @property
     def warm_up(self) -> int:
@@ -119,7 +121,10 @@ class Pairs(Study):
 
     def signals(self, bars: DataFrame) -> DataFrame:
         pair = self.pair(bars)
-        return signals.pair_legs(signals.pair_states(signals.spread_path(bars, pair, self.formation_days), self.entry_z, self.exit_z), pair)
+        path = signals.spread_path(bars, pair, self.formation_days)
+        if self.max_coint_p_value is not None:
+            path = cointegration.gated(path, signals.paired(bars, pair), self.formation_days, self.max_coint_p_value)
+        return signals.pair_legs(signals.pair_states(path, self.entry_z, self.exit_z), pair)
 
     def size(self, tradable: DataFrame) -> DataFrame:
         return bt.pair_weight(tradable)

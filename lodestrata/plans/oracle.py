@@ -113,7 +113,7 @@ STEPS["ranked"] = """SELECT month, instrument_id, momentum, CASE WHEN hi <= n TH
 STEPS["pair"] = "SELECT a.ts, ln(a.close) AS y, ln(b.close) AS x FROM line_bars a JOIN line_bars b ON a.ts = b.ts WHERE a.instrument_id = 's1' AND b.instrument_id = 's2'"
 STEPS["spread"] = """SELECT ts, beta, (y - alpha - beta * x) / nullif(sqrt(greatest((syy - beta * sxy) / 59, 0.0)), 0) AS z, row_number() OVER (ORDER BY ts) AS i FROM (
   SELECT ts, y, x, count(*) OVER w AS n, regr_slope(y, x) OVER w AS beta, regr_intercept(y, x) OVER w AS alpha, regr_syy(y, x) OVER w AS syy, regr_sxy(y, x) OVER w AS sxy FROM pair WINDOW w AS (ORDER BY ts ROWS 59 PRECEDING)) WHERE n = 60"""
-STEPS["states"] = """SELECT 0::BIGINT AS i, 0 AS state UNION ALL SELECT i, CASE WHEN z IS NULL THEN state WHEN exited = 0 AND z > 1.5 THEN -1 WHEN exited = 0 AND z < -1.5 THEN 1 ELSE exited END FROM (
+STEPS["states"] = """SELECT 0::BIGINT AS i, 0 AS state UNION ALL SELECT i, CASE WHEN z IS NULL THEN 0 WHEN exited = 0 AND z >= 1.5 THEN -1 WHEN exited = 0 AND z <= -1.5 THEN 1 ELSE exited END FROM (
   SELECT p.i, p.z, s.state, CASE WHEN s.state = -1 AND p.z <= 0 THEN 0 WHEN s.state = 1 AND p.z >= 0 THEN 0 ELSE s.state END AS exited FROM states s JOIN spread p ON p.i = s.i + 1)"""
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import backtest as bt
+from ..operators import cointegration as coint
 from ..operators import metrics as mt
 from ..operators import portfolio as pf
 from ..operators import prep, signals, universe, validation
@@ -130,11 +131,30 @@ def pair_states(spark, sf_dir):
     return rounded(signals.pair_states(_path(spark, sf_dir), 1.5, 0.0).drop("pair"), 5)
 
 
+def _every_pair(spark, sf_dir):
+    pairs = [(f"s{j}/s{i}", f"s{j}", f"s{i}") for i in range(8) for j in range(i + 1, 8)]
+    return signals.paired(line_bars(spark, sf_dir), spark.createDataFrame(pairs, "pair string, y string, x string"))
+
+
 @query
 def cointegration(spark, sf_dir):
     """The stated pairs: every two of the eight instruments."""
-    pairs = [(f"s{j}/s{i}", f"s{j}", f"s{i}") for i in range(8) for j in range(i + 1, 8)]
-    return signals.cointegration(signals.paired(line_bars(spark, sf_dir), spark.createDataFrame(pairs, "pair string, y string, x string")))
+    return signals.cointegration(_every_pair(spark, sf_dir))
+
+
+@query
+def rolling_cointegration(spark, sf_dir):
+    """The test of every 60-day window of every pair."""
+    out = coint.rolling_statistics(_every_pair(spark, sf_dir), 60)
+    return rounded(out.select("pair", "ts", "statistic", coint.mackinnon_p(F.col("statistic")).alias("p_value")), 5)
+
+
+@query
+def pair_states_gated(spark, sf_dir):
+    """Positions of a pair that open only while its window rejects no cointegration at a fifth."""
+    pair = spark.createDataFrame([("s1/s2", "s1", "s2")], "pair string, y string, x string")
+    path = coint.gated(_path(spark, sf_dir), signals.paired(line_bars(spark, sf_dir), pair), 60, 0.2)
+    return rounded(signals.pair_states(path, 1.5, 0.0).drop("pair"), 5)
 
 
 @query
