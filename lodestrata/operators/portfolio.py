@@ -12,11 +12,17 @@ def sleeve_windows(r: DataFrame, window: int, least: int) -> DataFrame:
     """(month, run_id, ts, r): for every month each eligible sleeve's last ``window`` returns before it.
 
     Eligible: at least ``least`` days since its first return other than 0, and returns that vary in the window.
+    Returns are numbered once per sleeve; a month takes those of the last ``window`` numbers before it, so no month meets the whole past.
     """
-    months = r.select(F.trunc("ts", "MM").alias("month")).distinct()
-    past = r.join(months, F.col("ts") < F.col("month")).withColumn("back", F.row_number().over(Window.partitionBy("month", "run_id").orderBy(F.desc("ts")))).withColumn("begun", F.min(F.when(F.col("r") != 0, F.col("ts"))).over(Window.partitionBy("month", "run_id")))
-    days = F.count_if(F.col("ts") >= F.col("begun")).over(Window.partitionBy("month", "run_id"))
-    recent = past.withColumn("since", days).where((F.col("back") <= window) & (F.col("since") >= least))
+    at = Window.partitionBy("run_id").orderBy("ts")
+    upto = Window.partitionBy("run_id").orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
+    own = r.select("run_id", "ts", "r", F.trunc("ts", "MM").alias("month"), F.row_number().over(at).alias("n"))
+    months = own.select("month").distinct()
+    by_month = own.groupBy("run_id", "month").agg(F.count("*").alias("days"), F.min(F.when(F.col("r") != 0, F.col("n"))).alias("begun"))
+    every = own.select("run_id").distinct().crossJoin(F.broadcast(months)).join(by_month, ["run_id", "month"], "left")
+    known = every.select("run_id", "month", F.sum("days").over(upto).alias("last"), F.min("begun").over(upto).alias("begun"))
+    ready = known.where((F.col("last") - F.col("begun") + 1 >= least)).withColumn("n", F.explode(F.sequence(F.greatest(F.col("last") - window + 1, F.lit(1)), F.col("last"))))
+    recent = ready.select("run_id", "month", "n").join(own.select("run_id", "n", "ts", "r"), ["run_id", "n"])
     return recent.withColumn("var", F.var_samp("r").over(Window.partitionBy("month", "run_id"))).where("var > 0").select("month", "run_id", "ts", "r")
 
 

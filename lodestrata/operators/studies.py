@@ -59,6 +59,10 @@ class Study:
     def holds(self) -> bool:
         return False
 
+    def anchor(self, start: date) -> date:
+        """The first day on which something of the study runs, if its own run starts at ``start``."""
+        return start
+
     def warm_up_days(self, every_day: bool) -> int:
         """The warm-up in calendar days."""
         return self.warm_up if every_day else -(-self.warm_up * 3 // 2) + 10
@@ -150,6 +154,10 @@ class CrossSection(Study):
     def warm_up(self) -> int:
         return (self.formation_months + 2) * 31
 
+    def anchor(self, start: date) -> date:
+        """The first day on which something of the study runs, if its own run starts at ``start``."""
+        return start
+
     def warm_up_days(self, every_day: bool) -> int:
         return self.warm_up
 
@@ -223,36 +231,53 @@ class Selected(Study):
 
 @dataclass(frozen=True)
 class Portfolio(Study):
-    """Component studies by name, weighted every month by a rule over their own returns before it."""
+    """Component studies by name with their own costs, weighted every month by a rule over their own net returns before it.
+
+    The components run from ``history_start`` on (None: from the portfolio's start), whatever the portfolio's own start, rule and costs.
+    """
 
-    components: tuple[tuple[str, Study], ...] = ()
+    components: tuple[tuple[str, Study, Costs], ...] = ()
     allocation: str = "equal_weight"
     window_days: int = 90
     min_window_days: int = 60
+    history_start: date | None = None
 
     def __post_init__(self):
-        checked(len({n for n, _ in self.components}) == len(self.components) > 1, "a portfolio needs different components")
-        checked(not any(isinstance(s, Portfolio) for _, s in self.components), "portfolios do not nest")
+        checked(len({n for n, *_ in self.components}) == len(self.components) > 1, "a portfolio needs different components")
+        checked(not any(isinstance(s, Portfolio) for _, s, _ in self.components), "portfolios do not nest")
         checked(self.allocation in RULES, f"unknown rule {self.allocation}")
         checked(2 <= self.min_window_days <= self.window_days, "min_window_days must lie between 2 and window_days")
 
     @property
     def warm_up(self) -> int:
-        return max(s.warm_up for _, s in self.components)
+        return max(s.warm_up for _, s, _ in self.components)
 
-    def sleeve_targets(self, bars, market, admit, costs, calendar) -> DataFrame:
-        return reduce(DataFrame.unionByName, [s.targets(bars, market, admit, costs, calendar).withColumn("run_id", F.lit(n)) for n, s in self.components])
+    def anchor(self, start: date) -> date:
+        return start if self.history_start is None else min(start, self.history_start)
 
-    def sleeve_returns(self, targets, bars, costs, calendar) -> DataFrame:
-        """(run_id, ts, r): each sleeve's net returns by itself, traded or held as its own study says."""
-        by_hold = [[n for n, s in self.components if s.holds == hold] for hold in (False, True)]
-        runs = [bt.run_equity(targets.where(F.col("run_id").isin(names)), bars, calendar, costs.rates(bars), hold) for hold, names in enumerate(by_hold) if names]
+    def sleeve_targets(self, bars, market, admit, calendar) -> DataFrame:
+        return reduce(DataFrame.unionByName, [s.targets(bars, market, admit, c, calendar).withColumn("run_id", F.lit(n)) for n, s, c in self.components])
+
+    def sleeve_returns(self, targets, bars, calendar) -> DataFrame:
+        """(run_id, ts, r): each sleeve's net returns by itself, at its own costs, traded or held as its own study says."""
+        alike: dict[tuple[bool, Costs], list[str]] = {}
+        for n, s, c in self.components:
+            alike.setdefault((s.holds, c), []).append(n)
+        runs = [bt.run_equity(targets.where(F.col("run_id").isin(names)), bars, calendar, c.rates(bars), hold) for (hold, c), names in alike.items()]
         return metrics.returns(reduce(DataFrame.unionByName, runs)).where("r is not null").select("run_id", "ts", "r")
 
-    def targets(self, bars, market, admit, costs, calendar) -> DataFrame:
-        own = stored(self.sleeve_targets(bars, market, admit, costs, calendar), "sleeve-targets")
-        windows = portfolio.sleeve_windows(stored(self.sleeve_returns(own, bars, costs, calendar), "sleeve-returns"), self.window_days, self.min_window_days)
-        return portfolio.netted(own, RULES[self.allocation](windows)).select("ts", "instrument_id", "weight")
+    def history(self, bars: DataFrame, admit: Callable[[DataFrame], DataFrame], calendar: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(sleeve targets, sleeve returns), written once: every portfolio of the same components and anchor can take them."""
+        if self.history_start is not None:
+            calendar = stored(bt.periods(bars, self.history_start), "sleeve-calendar")
+        own = stored(self.sleeve_targets(bars, bt.market(bars, calendar), admit, calendar), "sleeve-targets")
+        return own, stored(self.sleeve_returns(own, bars, calendar), "sleeve-returns")
+
+    def targets(self, bars, market, admit, costs, calendar, history: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+        own, returns = history or self.history(bars, admit, calendar)
+        windows = portfolio.sleeve_windows(returns, self.window_days, self.min_window_days)
+        net = portfolio.netted(own, RULES[self.allocation](windows)).select("ts", "instrument_id", "weight")
+        return net.join(F.broadcast(calendar.select("ts")), "ts", "left_semi").select("ts", "instrument_id", "weight")
 
     def size(self, tradable: DataFrame) -> DataFrame:
         return bt.carried_weight(tradable)
@@ -290,7 +315,7 @@ class Definition:
         checked(self.training[1] < self.holdout[0] or self.holdout[1] < self.training[0], f"{self.hypothesis}: training and holdout overlap")
 
     def fetch_start(self, start: date, every_day: bool) -> date:
-        return start - timedelta(days=self.study.warm_up_days(every_day))
+        return self.study.anchor(start) - timedelta(days=self.study.warm_up_days(every_day))
 
 
 def common_start(bars: DataFrame, warm_up_days: int, not_before: date) -> DataFrame:

@@ -210,31 +210,44 @@ def decisions(signals: DataFrame, market_: DataFrame, trades: DataFrame | None =
     return s.select("run_id", F.col("ts").alias("decision"), "instrument_id", F.coalesce("weight", F.lit(0.0)).alias("weight"))
 
 
-def growth_in_holding(decided: DataFrame, filled: DataFrame, calendar: DataFrame) -> DataFrame:
+def growth_in_holding(decided: DataFrame, filled: DataFrame, calendar: DataFrame, trades: DataFrame | None = None) -> DataFrame:
     """(run_id, decision, ts, instrument_id, weight, growth): on each day of a holding, from the decision (exclusive) to the next one (inclusive), the price over
-    that at the decision. filled: (instrument_id, ts, close) without gaps; calendar: (ts, next_ts)."""
+    that at the decision. filled: (instrument_id, ts, close) without gaps; calendar: (ts, next_ts).
+
+    trades: (run_id, ts) of all decisions; those without a cross-section in ``decided`` end the holding before, too. None: the decisions of ``decided``.
+    """
+    made = decided.select("run_id", "decision") if trades is None else trades.select("run_id", F.col("ts").alias("decision"))
     w = Window.partitionBy("run_id").orderBy("decision")
-    spans = decided.select("run_id", "decision").distinct().withColumn("until", F.lead("decision").over(w))
+    spans = made.distinct().withColumn("until", F.lead("decision").over(w))
     days = spans.join(F.broadcast(calendar), (F.col("ts") >= F.col("decision")) & (F.col("until").isNull() | (F.col("ts") < F.col("until")))).select("run_id", "decision", F.col("next_ts").alias("ts"))
     start = filled.select("instrument_id", F.col("ts").alias("decision"), F.col("close").alias("p0"))
     held = decided.join(start, ["instrument_id", "decision"]).join(days, ["run_id", "decision"])
     return held.join(filled.select("instrument_id", "ts", "close"), ["instrument_id", "ts"]).select("run_id", "decision", "ts", "instrument_id", "weight", (F.col("close") / F.col("p0")).alias("growth"))
 
 
-def random_portfolio_draws(growth: DataFrame, runs: DataFrame, ppy: int, draws: int = 10_000, seed: int = 0, chunk: int = 1000) -> DataFrame:
+def random_portfolio_draws(growth: DataFrame, runs: DataFrame, ppy: int, draws: int = 10_000, seed: int = 0, chunk: int = 1000, slice_days: int = 64) -> DataFrame:
     """(run_id, draw, sharpe): each decision's weights on random instruments of its cross-section, held to the next decision; draw -1 is the run itself.
 
-    growth: as growth_in_holding gives it; runs: (run_id, n), the number of periods. A task holds one decision at a time and adds up what its draws return;
-    the draws of a decision follow from seed and day alone.
+    growth: as growth_in_holding gives it; runs: (run_id, n), the number of periods. A task holds ``slice_days`` days of one decision's holding at a time, and
+    the day before them, as a day's return needs no more; the slices' sums add up. The draws of a decision follow from seed and day alone, so that all its
+    slices draw alike.
     """
-    day = F.struct("ts", "instrument_id", "growth", "weight")
-    held = growth.groupBy("run_id", "decision").agg(F.sort_array(F.collect_list(day)).alias("cells"), F.max(F.abs("weight")).alias("most")).where("most > 0").select("run_id", F.unix_date("decision").alias("decision"), F.col("cells.growth").alias("growth"), F.col("cells.weight").alias("weight"), F.size(F.array_distinct("cells.ts")).alias("days"))
+    of = Window.partitionBy("run_id", "decision").orderBy("ts")
+    most = F.max(F.abs("weight")).alias("most")
+    days = growth.groupBy("run_id", "decision", "ts").agg(most).withColumn("n", F.row_number().over(of) - 1).where("most > 0").select("run_id", "decision", "ts", "n")
+    # The last day of a slice stands before the next one's first, too.
+    days = days.withColumn("slice", F.explode(F.sequence(F.floor(F.col("n") / slice_days), F.floor((F.col("n") + 1) / slice_days))))
+    cells = F.sort_array(F.collect_list(F.struct("ts", "instrument_id", "growth", "weight"))).alias("cells")
+    held = growth.join(days, ["run_id", "decision", "ts"]).groupBy("run_id", "decision", "slice").agg(cells)
+    held = held.select("run_id", F.unix_date("decision").alias("decision"), "slice", F.col("cells.growth").alias("growth"), F.col("cells.weight").alias("weight"), F.size(F.array_distinct("cells.ts")).alias("days"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, list[np.ndarray]] = {}
         for b in batches:
             for x in b.itertuples(index=False):
                 gain = np.asarray(x.growth).reshape(x.days, -1) - 1
+                if x.slice and x.days == 1:  # only the day before: the holding ends with the slice before
+                    continue
                 w = np.asarray(x.weight)[: gain.shape[1]]
                 total, squares = sums.setdefault(x.run_id, [np.zeros(draws + 1), np.zeros(draws + 1)])
                 rnd = np.random.default_rng([seed, x.decision + 2**20])
@@ -242,7 +255,9 @@ def random_portfolio_draws(growth: DataFrame, runs: DataFrame, ppy: int, draws:
                     count = 1 if first < 0 else min(chunk, draws - first)
                     order = w[:, None] if first < 0 else rnd.permuted(np.tile(w, (count, 1)), axis=1).T
                     value = 1 + gain @ order
-                    r = value / np.vstack([np.ones((1, count)), value[:-1]]) - 1
+                    if not x.slice:
+                        value = np.vstack([np.ones((1, count)), value])
+                    r = value[1:] / value[:-1] - 1
                     total[first + 1 : first + 1 + count] += r.sum(0)
                     squares[first + 1 : first + 1 + count] += (r * r).sum(0)
         for name, (total, squares) in sums.items():

@@ -484,7 +484,7 @@ def _holdings(spark, sf_dir):
     signal = signals.momentum(bars, 60)
     weights = bt.equal_weight(bt.tradable(signal, market)).select("instrument_id", "ts", "weight")
     every = signal.select("instrument_id", "ts").join(weights, ["instrument_id", "ts"], "left").withColumn("run_id", F.lit("m060"))
-    return calendar, validation.growth_in_holding(validation.decisions(every, market), prep.forward_filled(bars, prep.sessions(bars)), calendar)
+    return calendar, validation.growth_in_holding(validation.decisions(every, market), prep.forward_filled(bars, prep.sessions(bars)), calendar, calendar.select(F.lit("m060").alias("run_id"), "ts"))
 
 
 @query

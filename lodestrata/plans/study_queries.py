@@ -40,12 +40,17 @@ KINDS = {
     "sel": ("time_series_momentum_selected", "  lookback_grid: [20, 60, 120, 250]\n  min_history_days: 200"),
     "port": ("strategy_portfolio", "  components: [rev, mom, xs]\n  allocation: equal_weight\n  window_days: 90\n  min_window_days: 60"),
     "gate": ("pairs_spread_reversion", "  dependent: s1\n  explanatory: s2\n  formation_days: 60\n  entry_z: 1.5\n  max_coint_p_value: 0.2"),
+    "anchored": ("strategy_portfolio", "  components: [rev, mom, xs]\n  allocation: equal_weight\n  window_days: 90\n  min_window_days: 60\n  history_start: 1995-03-01"),
 }
 
 
-def definition(name: str) -> studies.Definition:
+#: The costs at which the portfolio's components run by themselves.
+COMPONENT_BPS = {"rev": 5, "mom": 10, "xs": 20}
+
+
+def definition(name: str, bps: int = 10) -> studies.Definition:
     kind, more = KINDS[name]
-    return configs.definition_from_yaml(FORM.format(name=name, kind=kind, more=more), definition)
+    return configs.definition_from_yaml(FORM.format(name=name, kind=kind, more=more).replace("bps: 10", f"bps: {bps}"), lambda n: definition(n, COMPONENT_BPS[n]))
 
 
 # ---- SQL of the studies: targets of each, then the shared recursion over days ----
@@ -66,20 +71,28 @@ def _trailing(name: str, bars: str, k: int, sign: str) -> str:
     return f"SELECT s.ts, s.instrument_id, CASE WHEN {v} > 0 THEN 'long' WHEN {v} < 0 THEN 'short' ELSE 'flat' END AS direction FROM (SELECT *, close / lag(close, {k}) OVER (PARTITION BY instrument_id ORDER BY ts) - 1 AS v FROM {bars}) s WHERE v IS NOT NULL"
 
 
-def _equal(run: str, signals_: str) -> str:
-    return f"SELECT '{run}' AS run_id, s.ts, s.instrument_id, {_SIGN} / count(*) OVER (PARTITION BY s.ts) AS weight FROM ({signals_}) s JOIN study_market m ON m.instrument_id = s.instrument_id AND m.ts = s.ts WHERE direction <> 'flat'"
+def _equal(run: str, signals_: str, market: str = "study_market") -> str:
+    return f"SELECT '{run}' AS run_id, s.ts, s.instrument_id, {_SIGN} / count(*) OVER (PARTITION BY s.ts) AS weight FROM ({signals_}) s JOIN {market} m ON m.instrument_id = s.instrument_id AND m.ts = s.ts WHERE direction <> 'flat'"
 
 
 STEPS["study_market"] = "SELECT a.ts, c.next_ts, a.instrument_id, (b.close - a.close) / a.close AS r FROM line_bars a JOIN study_calendar c ON a.ts = c.ts JOIN line_bars b ON b.instrument_id = a.instrument_id AND b.ts = c.next_ts"
-for _name in ("rev", "mom", "xs", "vol", "pair", "sel"):
+for _name in ("rev", "mom", "xs", "vol", "pair", "sel", "port", "anchored"):
     STEPS[f"bars_{_name}"] = _bars_from(_name)
 STEPS["targets_rev"] = _equal("rev", _trailing("rev", "bars_rev", 7, "-"))
 STEPS["targets_mom"] = _equal("mom", _trailing("mom", "bars_mom", 60, ""))
-STEPS["xs_ends"] = "SELECT instrument_id, date_trunc('month', ts)::DATE AS month, arg_max(close, ts) AS close FROM bars_xs GROUP BY 1, 2"
-STEPS["xs_ranked"] = """SELECT month, instrument_id, CASE WHEN hi <= n THEN 'long' WHEN lo <= n THEN 'short' ELSE 'flat' END AS direction FROM (
+def _xs_steps(step: str, bars: str) -> None:
+    STEPS[f"{step}_ends"] = f"SELECT instrument_id, date_trunc('month', ts)::DATE AS month, arg_max(close, ts) AS close FROM {bars} GROUP BY 1, 2"
+    STEPS[f"{step}_ranked"] = f"""SELECT month, instrument_id, CASE WHEN hi <= n THEN 'long' WHEN lo <= n THEN 'short' ELSE 'flat' END AS direction FROM (
   SELECT *, floor(count(*) OVER (PARTITION BY month) * 0.25) AS n, row_number() OVER (PARTITION BY month ORDER BY momentum DESC, instrument_id) AS hi, row_number() OVER (PARTITION BY month ORDER BY momentum, instrument_id) AS lo FROM (
-    SELECT (a.month + INTERVAL 1 MONTH)::DATE AS month, a.instrument_id, b.close / c.close - 1 AS momentum FROM xs_ends a JOIN xs_ends b ON b.instrument_id = a.instrument_id AND b.month = a.month - INTERVAL 1 MONTH JOIN xs_ends c ON c.instrument_id = a.instrument_id AND c.month = a.month - INTERVAL 12 MONTH WHERE a.close >= 100))"""
-STEPS["targets_xs"] = _equal("xs", "SELECT b.ts, b.instrument_id, g.direction FROM bars_xs b JOIN xs_ranked g ON g.instrument_id = b.instrument_id AND g.month = date_trunc('month', b.ts)")
+    SELECT (a.month + INTERVAL 1 MONTH)::DATE AS month, a.instrument_id, b.close / c.close - 1 AS momentum FROM {step}_ends a JOIN {step}_ends b ON b.instrument_id = a.instrument_id AND b.month = a.month - INTERVAL 1 MONTH JOIN {step}_ends c ON c.instrument_id = a.instrument_id AND c.month = a.month - INTERVAL 12 MONTH WHERE a.close >= 100))"""
+
+
+def _xs_signals(step: str, bars: str) -> str:
+    return f"SELECT b.ts, b.instrument_id, g.direction FROM {bars} b JOIN {step}_ranked g ON g.instrument_id = b.instrument_id AND g.month = date_trunc('month', b.ts)"
+
+
+_xs_steps("xs", "bars_xs")
+STEPS["targets_xs"] = _equal("xs", _xs_signals("xs", "bars_xs"))
 STEPS["sigma_vol"] = "SELECT instrument_id, ts, CASE WHEN count(r) OVER w = 30 THEN stddev_samp(r) OVER w END AS sigma FROM (SELECT *, close / lag(close) OVER (PARTITION BY instrument_id ORDER BY ts) - 1 AS r FROM bars_vol) WINDOW w AS (PARTITION BY instrument_id ORDER BY ts ROWS 29 PRECEDING)"
 STEPS["targets_vol"] = f"SELECT 'vol' AS run_id, s.ts, s.instrument_id, {_SIGN} * least(1.0, 0.4 / (g.sigma * sqrt(365.0))) / count(*) OVER (PARTITION BY s.ts) AS weight FROM ({_trailing('vol', 'bars_vol', 60, '')}) s JOIN sigma_vol g ON g.instrument_id = s.instrument_id AND g.ts = s.ts AND g.sigma > 0 JOIN study_market m ON m.instrument_id = s.instrument_id AND m.ts = s.ts WHERE direction <> 'flat'"
 STEPS["pair_logs"] = "SELECT a.ts, ln(a.close) AS y, ln(b.close) AS x FROM bars_pair a JOIN bars_pair b ON a.ts = b.ts WHERE a.instrument_id = 's1' AND b.instrument_id = 's2'"
@@ -93,15 +106,15 @@ STEPS["targets_pair"] = """SELECT 'pair' AS run_id, ts, instrument_id, weight FR
 STEPS["targets_grid"] = "SELECT * FROM (" + " UNION ALL ".join(_equal(n, _trailing("sel", "bars_sel", k, "")) for n, k in GRID.items()) + ")"
 
 
-def _run_steps(name: str, hold: bool) -> None:
-    """The recursion over days of a study's run."""
+def _run_steps(name: str, hold: bool, of: str = "study", rate: float = 0.001) -> None:
+    """The recursion over days of a study's run, over the calendar and market of ``of``."""
     STEPS[f"days_{name}"] = f"""SELECT t.run_id, c.k, c.ts, c.next_ts, list(coalesce(CASE WHEN m.r IS NOT NULL THEN w.weight END, 0.0)::DOUBLE ORDER BY i.instrument_id) AS w, list(coalesce(m.r, 0.0)::DOUBLE ORDER BY i.instrument_id) AS r
-  FROM (SELECT DISTINCT run_id FROM targets_{name}) t CROSS JOIN study_calendar c CROSS JOIN (SELECT DISTINCT instrument_id FROM line_bars) i
-  LEFT JOIN study_market m ON m.instrument_id = i.instrument_id AND m.ts = c.ts LEFT JOIN targets_{name} w ON w.run_id = t.run_id AND w.instrument_id = i.instrument_id AND w.ts = c.ts GROUP BY t.run_id, c.k, c.ts, c.next_ts"""
+  FROM (SELECT DISTINCT run_id FROM targets_{name}) t CROSS JOIN {of}_calendar c CROSS JOIN (SELECT DISTINCT instrument_id FROM line_bars) i
+  LEFT JOIN {of}_market m ON m.instrument_id = i.instrument_id AND m.ts = c.ts LEFT JOIN targets_{name} w ON w.run_id = t.run_id AND w.instrument_id = i.instrument_id AND w.ts = c.ts GROUP BY t.run_id, c.k, c.ts, c.next_ts"""
     w = "CASE WHEN s.target = d.w THEN s.held ELSE d.w END" if hold else "d.w"
     STEPS[f"sim_{name}"] = f"""SELECT run_id, 0::BIGINT AS k, ts, 1.0::DOUBLE AS equity, NULL::DOUBLE AS p, list_transform(w, lambda x: 0.0::DOUBLE) AS w, 0.0::DOUBLE AS traded, list_transform(w, lambda x: 0.0::DOUBLE) AS held, NULL::DOUBLE[] AS target FROM days_{name} WHERE k = 1
   UNION ALL SELECT run_id, k, next_ts, equity * (1 + p), p, w2, traded, list_transform(list_zip(w2, r), lambda x: x[1] * (1 + x[2]) / (1 + p)), w FROM (
-    SELECT *, list_sum(list_transform(list_zip(w2, r), lambda x: x[1] * x[2])) - 0.001 * traded AS p FROM (
+    SELECT *, list_sum(list_transform(list_zip(w2, r), lambda x: x[1] * x[2])) - {rate} * traded AS p FROM (
       SELECT *, list_sum(list_transform(list_zip(w2, held), lambda x: abs(x[1] - x[2]))) AS traded FROM (
         SELECT s.run_id, d.k, d.next_ts, s.equity, s.held, d.r, d.w, {w} AS w2 FROM sim_{name} s JOIN days_{name} d ON d.run_id = s.run_id AND d.k = s.k + 1)))"""
     STEPS[f"returns_{name}"] = f"SELECT run_id, ts, equity, traded, list_sum(list_transform(w, lambda x: abs(x))) AS invested, equity / lag(equity) OVER ({RUN}) - 1 AS r FROM sim_{name}"
@@ -111,15 +124,31 @@ for _name, _hold in (("rev", False), ("mom", False), ("xs", True), ("vol", False
     _run_steps(_name, _hold)
 STEPS["targets_sel"] = """SELECT 'sel' AS run_id, t.ts, t.instrument_id, t.weight FROM targets_grid t JOIN (SELECT year, arg_min(run_id, (-sharpe, run_id)) AS choice FROM (
     SELECT y.year, g.run_id, avg(r) / stddev_samp(r) AS sharpe FROM (SELECT DISTINCT run_id, (year(ts) + 1)::INT AS year FROM returns_grid WHERE r IS NOT NULL) y JOIN returns_grid g ON g.run_id = y.run_id AND year(g.ts) < y.year AND g.r IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 200 AND stddev_samp(r) > 0) GROUP BY 1) c ON c.choice = t.run_id AND c.year = year(t.ts)"""
-STEPS["sleeve_returns"] = " UNION ALL ".join(f"SELECT '{n}' AS run_id, ts, r FROM returns_{n} WHERE r IS NOT NULL" for n in ("rev", "mom", "xs"))
-STEPS["port_sleeves"] = """SELECT * FROM (SELECT month, run_id, ts, r, var_samp(r) OVER (PARTITION BY month, run_id) AS v FROM (
+def _portfolio_steps(name: str, first: date) -> None:
+    """A portfolio's components share its bars, and run by themselves from ``first`` on at their own costs."""
+    of, part = f"sleeve_{name}", f"{name}_part"
+    STEPS[f"{of}_calendar"] = f"SELECT * FROM (SELECT ts, lead(ts) OVER (ORDER BY ts) AS next_ts, row_number() OVER (ORDER BY ts) AS k FROM sessions WHERE ts BETWEEN DATE '{first}' AND DATE '{END}') WHERE next_ts IS NOT NULL"
+    STEPS[f"{of}_market"] = STEPS["study_market"].replace("study_calendar", f"{of}_calendar")
+    _xs_steps(f"{part}_xs", f"bars_{name}")
+    signals_ = {"rev": _trailing("rev", f"bars_{name}", 7, "-"), "mom": _trailing("mom", f"bars_{name}", 60, ""), "xs": _xs_signals(f"{part}_xs", f"bars_{name}")}
+    for n, bps in COMPONENT_BPS.items():
+        STEPS[f"targets_{part}_{n}"] = _equal(n, signals_[n], f"{of}_market")
+        _run_steps(f"{part}_{n}", n == "xs", of, bps / 1e4)
+    union = lambda what: " UNION ALL ".join(what.format(n=n, part=part) for n in COMPONENT_BPS)
+    STEPS[f"{name}_returns"] = union("SELECT '{n}' AS run_id, ts, r FROM returns_{part}_{n} WHERE r IS NOT NULL")
+    STEPS[f"{name}_sleeves"] = f"""SELECT * FROM (SELECT month, run_id, ts, r, var_samp(r) OVER (PARTITION BY month, run_id) AS v FROM (
     SELECT *, count(*) FILTER (ts >= begun) OVER (PARTITION BY month, run_id) AS since FROM (
       SELECT m.month, g.*, row_number() OVER (PARTITION BY m.month, g.run_id ORDER BY g.ts DESC) AS back, min(CASE WHEN r <> 0 THEN g.ts END) OVER (PARTITION BY m.month, g.run_id) AS begun
-      FROM sleeve_returns g JOIN (SELECT DISTINCT date_trunc('month', ts)::DATE AS month FROM sleeve_returns) m ON g.ts < m.month)) WHERE back <= 90 AND since >= 60) WHERE v > 0"""
-STEPS["targets_port"] = """SELECT 'port' AS run_id, t.ts, t.instrument_id, sum(t.weight * s.share) AS weight FROM (SELECT * FROM targets_rev UNION ALL SELECT * FROM targets_mom UNION ALL SELECT * FROM targets_xs) t
-  JOIN (SELECT month, run_id, 1.0 / count(*) OVER (PARTITION BY month) AS share FROM (SELECT DISTINCT month, run_id FROM port_sleeves)) s ON s.run_id = t.run_id AND s.month = date_trunc('month', t.ts) GROUP BY 1, 2, 3 HAVING sum(t.weight * s.share) <> 0"""
+      FROM {name}_returns g JOIN (SELECT DISTINCT date_trunc('month', ts)::DATE AS month FROM {name}_returns) m ON g.ts < m.month)) WHERE back <= 90 AND since >= 60) WHERE v > 0"""
+    STEPS[f"targets_{name}"] = f"""SELECT '{name}' AS run_id, t.ts, t.instrument_id, sum(t.weight * s.share) AS weight FROM ({union("SELECT * FROM targets_{part}_{n}")}) t
+  JOIN (SELECT month, run_id, 1.0 / count(*) OVER (PARTITION BY month) AS share FROM (SELECT DISTINCT month, run_id FROM {name}_sleeves)) s ON s.run_id = t.run_id AND s.month = date_trunc('month', t.ts)
+  WHERE t.ts IN (SELECT ts FROM study_calendar) GROUP BY 1, 2, 3 HAVING sum(t.weight * s.share) <> 0"""
+    _run_steps(name, False)
+
+
+_portfolio_steps("port", START)
+_portfolio_steps("anchored", D("1995-03-01"))
 _run_steps("sel", False)
-_run_steps("port", False)
 
 
 def _study(name: str) -> None:
@@ -149,7 +178,7 @@ SQL["common_start"] = "SELECT greatest(max(first) + 250, DATE '1995-03-01')::DAT
 
 # ---- the registry ----
 
-REGISTERED = {n: date(2024, 1, 1 + i) for i, n in enumerate(KINDS) if n != "gate"}
+REGISTERED = {n: date(2024, 1, 1 + i) for i, n in enumerate(KINDS) if n not in ("gate", "anchored")}
 GATES = [("mom", True), ("rev", False), ("xs", None), ("vol", True)]
 OPENED = [("mom", "passed", 0.4), ("rev", "passed", 0.2), ("xs", "inconclusive", 0.0)]
 

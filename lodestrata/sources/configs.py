@@ -32,7 +32,7 @@ def definition_from_yaml(text: str, load: Callable[[str], Definition] | None = N
         parts = {n: load(n) for n in own["components"]}
         if odd := sorted(n for n, d in parts.items() if d.universe != where):
             raise ValueError(f"components of another universe: {odd}")
-        own["components"] = tuple((n, d.study) for n, d in parts.items())
+        own["components"] = tuple((n, d.study, d.costs) for n, d in parts.items())
         requires = tuple(n for n, d in parts.items() if d.holdout[0] <= raw["end"] and raw["start"] <= d.holdout[1])
     own = {k: tuple(v) if isinstance(v, list) else v for k, v in own.items()}
     goal = raw.get("success_criterion", {})
