@@ -5,25 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import asof, covering
+
+
 def by_day() -> Window:
     return Window.partitionBy("instrument_id").orderBy("ts")
 
 
-
 def sessions(bars: DataFrame) -> DataFrame:
     return bars.select("ts").distinct()
 
 
 def next_session(days: DataFrame, calendar: DataFrame) -> DataFrame:
     """``days`` (day) with ``session``: the first one on or after it; the day itself after the last."""
-    after = days.select("day").distinct().join(calendar, F.col("ts") >= F.col("day"), "left").groupBy("day").agg(F.min("ts").alias("session"))
+    after = asof(days.select("day").distinct(), calendar.select(F.col("ts").alias("session")), "day", "session", ["session"], forward=True)
     return days.join(after, "day").withColumn("session", F.coalesce("session", "day"))
 
 
 def forward_filled(bars: DataFrame, calendar: DataFrame) -> DataFrame:
     """(instrument_id, ts, close) on every session from an instrument's first bar on; without a bar the last close stays."""
     first = bars.groupBy("instrument_id").agg(F.min("ts").alias("first"))
-    grid = first.join(F.broadcast(calendar.select("ts")), F.col("ts") >= F.col("first")).select("instrument_id", "ts")
+    open_ = first.withColumn("until", F.lit(None).cast("date"))
+    grid = covering(calendar.select("ts"), open_, "ts", "first", "until").select("instrument_id", "ts")
     known = grid.join(bars.select("instrument_id", "ts", "close"), ["instrument_id", "ts"], "left")
     return known.select("instrument_id", "ts", F.last("close", ignorenulls=True).over(by_day()).alias("close"))
 
@@ -33,13 +36,9 @@ def action_factors(bars: DataFrame, actions: DataFrame) -> DataFrame:
 
     An action counts from the first bar on or after its ex-date and needs a bar before it; a dividend's factor uses that bar's raw close.
     """
-    b = bars.select("instrument_id", "ts", "close")
-    met = actions.join(b, "instrument_id").groupBy("instrument_id", "kind", "ex_date", "ratio", "amount").agg(
-        F.min_by("close", F.when(F.col("ts") >= F.col("ex_date"), F.col("ts"))).alias("c0"),
-        F.min(F.when(F.col("ts") >= F.col("ex_date"), F.col("ts"))).alias("first_after"),
-        F.min("ts").alias("first_bar"),
-    )
-    met = met.where((F.col("first_after").isNotNull()) & (F.col("first_bar") < F.col("first_after")))
+    b = bars.select("instrument_id", F.col("ts").alias("first_after"), F.col("close").alias("c0"), F.lag("ts").over(by_day()).alias("before"))
+    met = asof(actions.select("instrument_id", "kind", "ex_date", "ratio", "amount").distinct(), b, "ex_date", "first_after", ["first_after", "c0", "before"], ("instrument_id",), forward=True)
+    met = met.where("before is not null")
     price = F.when(F.col("kind") == "split", 1 / F.col("ratio")).otherwise(F.col("c0") / (F.col("c0") + F.col("amount")))
     return met.select("instrument_id", "ex_date", "first_after", price.alias("price_factor"), F.when(F.col("kind") == "split", F.col("ratio")).otherwise(F.lit(1.0)).alias("volume_factor"))
 
@@ -151,7 +150,8 @@ def inconsistent_ohlc(bars: DataFrame, slack: float = 1e-9) -> DataFrame:
 def missing_sessions(bars: DataFrame, calendar: DataFrame) -> DataFrame:
     """Sessions strictly between an instrument's first and last bar on which it has none."""
     spans = bars.groupBy("instrument_id").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
-    due = spans.join(calendar, (F.col("ts") > F.col("first")) & (F.col("ts") < F.col("last"))).select("instrument_id", "ts")
+    inner = spans.select("instrument_id", F.date_add("first", 1).alias("first"), F.date_sub("last", 1).alias("last"))
+    due = covering(calendar.select("ts"), inner, "ts", "first", "last").select("instrument_id", "ts")
     gone = due.join(bars.select("instrument_id", "ts"), ["instrument_id", "ts"], "left_anti")
     return _finding(gone, "missing_sessions", "warning", F.col("ts"), F.lit(1.0))
 

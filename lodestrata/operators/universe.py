@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import covering
+
 
 def covers(day: Column, start: Column, end: Column) -> Column:
     return (start <= day) & (end.isNull() | (day <= end))
@@ -16,7 +18,7 @@ def overlaps(start: Column, end: Column, a, b) -> Column:
 
 def members_asof(days: DataFrame, memberships: DataFrame) -> DataFrame:
     """(ts, instrument_id) of the members on each day of ``days`` (ts)."""
-    return days.join(memberships, covers(F.col("ts"), F.col("start"), F.col("end"))).select("ts", "instrument_id")
+    return covering(days.select("ts"), memberships.select("instrument_id", "start", "end"), "ts", "start", "end").select("ts", "instrument_id")
 
 
 def members_only(bars: DataFrame, memberships: DataFrame) -> DataFrame:

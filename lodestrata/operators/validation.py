@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import normal_cdf, normal_quantile, once
+from .joins import covering
 
 #: Fixed value: the Euler-Mascheroni constant.
 EULER = 0.5772156649015329
@@ -219,7 +220,8 @@ def growth_in_holding(decided: DataFrame, filled: DataFrame, calendar: DataFrame
     made = decided.select("run_id", "decision") if trades is None else trades.select("run_id", F.col("ts").alias("decision"))
     w = Window.partitionBy("run_id").orderBy("decision")
     spans = made.distinct().withColumn("until", F.lead("decision").over(w))
-    days = spans.join(F.broadcast(calendar), (F.col("ts") >= F.col("decision")) & (F.col("until").isNull() | (F.col("ts") < F.col("until")))).select("run_id", "decision", F.col("next_ts").alias("ts"))
+    spans = spans.select("run_id", "decision", F.date_sub("until", 1).alias("until"))
+    days = covering(calendar.select("ts", "next_ts"), spans, "ts", "decision", "until").select("run_id", "decision", F.col("next_ts").alias("ts"))
     start = filled.select("instrument_id", F.col("ts").alias("decision"), F.col("close").alias("p0"))
     held = decided.join(start, ["instrument_id", "decision"]).join(days, ["run_id", "decision"])
     return held.join(filled.select("instrument_id", "ts", "close"), ["instrument_id", "ts"]).select("run_id", "decision", "ts", "instrument_id", "weight", (F.col("close") / F.col("p0")).alias("growth"))
