@@ -160,11 +160,47 @@ def draw_sharpes(sums: DataFrame, runs: DataFrame, ppy: int) -> DataFrame:
     return g.select("run_id", "draw", F.when(var > 0, mean / F.sqrt(F.when(var > 0, var)) * F.sqrt(F.lit(float(ppy)))).otherwise(F.lit(float("nan"))).alias("sharpe"))
 
 
-def permutation_draws(held: DataFrame, market_: DataFrame, ppy: int, draws: int = 10_000, seed: int = 0, block: int = 512) -> DataFrame:
+_U = np.uint64
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """The splitmix64 finaliser, element by element."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
+
+
+def shuffled_places(n: int, rows: np.ndarray, draws: np.ndarray, seed: int, rounds: int = 8) -> np.ndarray:
+    """(draws, rows): where each draw's shuffle of ``n`` days puts ``rows``; draw -1 leaves them. Each draw is a bijection of [0, n).
+
+    A Feistel network keyed by seed and draw permutes the next larger power of four; places beyond ``n`` go through it again until they fall inside.
+    So any rows' places follow from themselves, without the order of the other days.
+    """
+    half = max(1, -(-max(n - 1, 1).bit_length() // 2))
+    mask, shift = _U((1 << half) - 1), _U(half)
+    with np.errstate(over="ignore"):
+        key = _mixed(draws.astype(np.int64).astype(_U)[:, None] * _U(0x9E3779B97F4A7C15) + _U(seed))
+        keys = [_mixed(key + _U(r + 1) * _U(0xD1342543DE82EF95)) for r in range(rounds)]
+    out = np.repeat(rows.astype(_U)[None, :], len(draws), 0)
+    d, t = np.nonzero(np.repeat(draws[:, None] >= 0, len(rows), 1))
+    while len(d):
+        left, right = out[d, t] >> shift, out[d, t] & mask
+        for k in keys:
+            left, right = right, left ^ (_mixed(right ^ k[d, 0]) & mask)
+        v = left << shift | right
+        out[d, t] = v
+        again = v >= _U(n)
+        d, t = d[again], t[again]
+    return out.astype(np.int64)
+
+
+def permutation_draws(held: DataFrame, market_: DataFrame, ppy: int, draws: int = 10_000, seed: int = 0, block: int = 512, chunk: int = 2500) -> DataFrame:
     """(run_id, draw, sharpe): gross Sharpes of each run with its weights fixed and the market's days shuffled, all instruments alike; draw -1 is the run itself.
 
-    held: (run_id, ts, instrument_id, weight); market_: (ts, instrument_id, r). Days are dealt into blocks of ``block``; a task holds one block of weights and
-    one of returns, multiplies them, and adds up the cells that each draw's order picks there. A draw's order follows from seed and number alone.
+    held: (run_id, ts, instrument_id, weight); market_: (ts, instrument_id, r). Days are dealt into blocks of ``block``; first each two blocks' weights and returns are
+    multiplied to cells, a product for every two days; then a task takes one block's row of cells and ``chunk`` draws, and adds up the cells that the draws pick there. A draw's places
+    of a block follow from seed, draw and days alone (``shuffled_places``), so each is worked out once.
     """
     day = market_.select("ts").distinct().withColumn("t", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("ts")) - 1)
     n = day.agg(F.count("*").alias("n"))
@@ -175,27 +211,35 @@ def permutation_draws(held: DataFrame, market_: DataFrame, ppy: int, draws: int
     r = market_.join(days, "ts").select("n", "t", "instrument_id", F.col("r").alias("x"), F.lit(1).alias("side"), blocks.alias("i"), F.floor(F.col("t") / block).alias("j"))
     both = w.unionByName(F.broadcast(runs).crossJoin(r))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
         n_, i, j = int(pdf["n"].iloc[0]), int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        names = np.unique(pdf["instrument_id"].to_numpy(str))
-        rows, cols = range(i * block, min(n_, (i + 1) * block)), range(j * block, min(n_, (j + 1) * block))
+        code, _ = pd.factorize(pdf["instrument_id"])
+        t, x, side = pdf["t"].to_numpy(), pdf["x"].to_numpy(), pdf["side"].to_numpy()
         dense = []
-        for side, at in ((0, rows), (1, cols)):
-            own = pdf[pdf["side"] == side]
-            m = np.zeros((len(at), len(names)))
-            np.add.at(m, (own["t"].to_numpy() - at.start, np.searchsorted(names, own["instrument_id"].to_numpy(str))), own["x"].to_numpy())
+        for k, at in ((0, i), (1, j)):
+            own, m = side == k, np.zeros((min(n_, (at + 1) * block) - at * block, code.max() + 1))
+            np.add.at(m, (t[own] - at * block, code[own]), x[own])
             dense.append(m)
-        cells = dense[0] @ dense[1].T
-        total, squares = np.zeros(draws + 1), np.zeros(draws + 1)
-        for d in range(-1, draws):
-            order = np.arange(n_) if d < 0 else np.random.default_rng([seed, d]).permutation(n_)
-            own = order[rows.start : rows.stop] - cols.start
-            k = np.flatnonzero((own >= 0) & (own < len(cols)))
-            x = cells[k, own[k]]
-            total[d + 1], squares[d + 1] = x.sum(), x @ x
-        return _draws(pdf["run_id"].iloc[0], total, squares)
-
-    sums = both.groupBy("run_id", "i", "j").applyInPandas(run, DRAWS)
+        return pd.DataFrame({"run_id": pdf["run_id"].iloc[0], "n": n_, "i": i, "j": j, "cells": [(dense[0] @ dense[1].T).tobytes()]})
+
+    cells = both.groupBy("run_id", "i", "j").applyInPandas(multiply, "run_id string, n int, i int, j int, cells binary")
+    cells = cells.withColumn("first", F.explode(F.sequence(F.lit(-1), F.lit(draws - 1), F.lit(chunk))))
+
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        n_, i, first = int(pdf["n"].iloc[0]), int(pdf["i"].iloc[0]), int(pdf["first"].iloc[0])
+        rows = np.arange(i * block, min(n_, (i + 1) * block))
+        # Blocks of returns without a bar have no cells: their products are 0.
+        row = np.zeros((len(rows), n_))
+        for j, raw in zip(pdf["j"], pdf["cells"], strict=True):
+            row[:, j * block : min(n_, (j + 1) * block)] = np.frombuffer(raw).reshape(len(rows), -1)
+        own = np.arange(first, min(first + chunk, draws))
+        total, squares = np.zeros(len(own)), np.zeros(len(own))
+        for a in range(0, len(own), 256):
+            x = row[np.arange(len(rows))[None, :], shuffled_places(n_, rows, own[a : a + 256], seed)]
+            total[a : a + 256], squares[a : a + 256] = x.sum(1), (x * x).sum(1)
+        return pd.DataFrame({"run_id": pdf["run_id"].iloc[0], "draw": own, "total": total, "squares": squares})
+
+    sums = cells.groupBy("run_id", "i", "first").applyInPandas(pick, DRAWS)
     return draw_sharpes(sums, runs.crossJoin(n), ppy)
 
 
@@ -235,12 +279,10 @@ def random_portfolio_draws(growth: DataFrame, runs: DataFrame, ppy: int, draws:
     slices draw alike.
     """
     of = Window.partitionBy("run_id", "decision").orderBy("ts")
-    most = F.max(F.abs("weight")).alias("most")
-    days = growth.groupBy("run_id", "decision", "ts").agg(most).withColumn("n", F.row_number().over(of) - 1).where("most > 0").select("run_id", "decision", "ts", "n")
-    # The last day of a slice stands before the next one's first, too.
-    days = days.withColumn("slice", F.explode(F.sequence(F.floor(F.col("n") / slice_days), F.floor((F.col("n") + 1) / slice_days))))
+    # The last day of a slice stands before the next one's first, too. The window deals rows out by holding, so the groups need no further shuffle.
+    cut = growth.withColumn("n", F.dense_rank().over(of) - 1).withColumn("slice", F.explode(F.sequence(F.floor(F.col("n") / slice_days), F.floor((F.col("n") + 1) / slice_days))))
     cells = F.sort_array(F.collect_list(F.struct("ts", "instrument_id", "growth", "weight"))).alias("cells")
-    held = growth.join(days, ["run_id", "decision", "ts"]).groupBy("run_id", "decision", "slice").agg(cells)
+    held = cut.groupBy("run_id", "decision", "slice").agg(cells, F.max(F.abs("weight")).alias("most")).where("most > 0")
     held = held.select("run_id", F.unix_date("decision").alias("decision"), "slice", F.col("cells.growth").alias("growth"), F.col("cells.weight").alias("weight"), F.size(F.array_distinct("cells.ts")).alias("days"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -355,10 +355,10 @@ SQL["grid_years"] = f"SELECT year, run_id, days, {_r('sharpe', 5)}, coalesce(run
 
 @query
 def trials_overfitting(spark, sf_dir):
-    return rounded(reports.trials_comparison(_grid(spark, sf_dir), PPY, 8)[1])
+    return rounded(reports.trials_comparison(_grid(spark, sf_dir), PPY, 16)[1])
 
 
-STEPS["trial_sums"] = "SELECT run_id, floor(back / size)::INT AS block, sum(r) AS s, sum(r * r) AS q, count(*) AS c FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ts DESC) - 1 AS back, floor(count(*) OVER (PARTITION BY run_id) / 8) AS size FROM aligned_4) WHERE back < size * 8 GROUP BY 1, 2"
+STEPS["trial_sums"] = "SELECT run_id, floor(back / size)::INT AS block, sum(r) AS s, sum(r * r) AS q, count(*) AS c FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ts DESC) - 1 AS back, floor(count(*) OVER (PARTITION BY run_id) / 16) AS size FROM aligned_4) WHERE back < size * 16 GROUP BY 1, 2"
 
 
 def _half(b: int) -> str:
@@ -367,7 +367,7 @@ def _half(b: int) -> str:
     return f"CASE WHEN {v} > 0 THEN {s} / {c} / sqrt({v}) ELSE 0 END"
 
 
-STEPS["trial_scores"] = f"SELECT split, run_id, {_half(1)} AS si, {_half(0)} AS so FROM (SELECT range AS split FROM range(256) WHERE bit_count(range) = 4) CROSS JOIN trial_sums GROUP BY 1, 2"
+STEPS["trial_scores"] = f"SELECT split, run_id, {_half(1)} AS si, {_half(0)} AS so FROM (SELECT range AS split FROM range(65536) WHERE bit_count(range) = 8) CROSS JOIN trial_sums GROUP BY 1, 2"
 STEPS["trial_ranks"] = "SELECT split, (count(*) FILTER (so < chosen) + (count(*) FILTER (so = chosen) + 1) / 2.0) / (count(*) + 1) AS omega FROM (SELECT *, first_value(so) OVER (PARTITION BY split ORDER BY si DESC, run_id) AS chosen FROM trial_scores) GROUP BY 1"
 SQL["trials_overfitting"] = f"SELECT {_r('pbo')}, n_splits, {_r('logit_median')} FROM (SELECT avg((ln(omega / (1 - omega)) <= 0)::INT) AS pbo, count(*) AS n_splits, quantile_cont(ln(omega / (1 - omega)), 0.5) AS logit_median FROM trial_ranks)"
 

@@ -139,13 +139,32 @@ def test_random_portfolios_hold_to_the_next_decision(spark):
     assert len(draws) == 8 and all(x.sharpe == pytest.approx(np.mean(r) / np.std(r, ddof=1) * 365**0.5) for x in draws)
 
 
+def test_shuffled_places_are_even():
+    """Places, pairs of places and the number of fixed days over many draws, as uniform shuffles have them."""
+    for n in (1, 2, 5, 13):
+        p = validation.shuffled_places(n, np.arange(n), np.arange(20_000), 1)
+        assert (np.sort(p, 1) == np.arange(n)).all()
+        for t in range(min(n, 3)):
+            seen = np.bincount(p[:, t], minlength=n)
+            assert ((seen - 20_000 / n) ** 2 / (20_000 / n)).sum() < n - 1 + 5 * (2 * n) ** 0.5 + 1e-9
+        if n > 1:
+            pairs = np.bincount(p[:, 0] * n + p[:, 1], minlength=n * n)[~np.eye(n, dtype=bool).ravel()]
+            each = 20_000 / len(pairs)
+            assert ((pairs - each) ** 2 / each).sum() < len(pairs) + 5 * (2 * len(pairs)) ** 0.5
+            assert abs((p == np.arange(n)).sum(1).mean() - 1) < 0.04
+    part = validation.shuffled_places(1000, np.arange(300, 400), np.array([-1, 7]), 5)
+    whole = validation.shuffled_places(1000, np.arange(1000), np.array([-1, 7]), 5)
+    assert (part == whole[:, 300:400]).all()
+
+
 def test_permutations_by_blocks_equal_whole_matrices(spark):
     rnd = np.random.default_rng(4)
     w, r = rnd.normal(size=(23, 3)), rnd.normal(size=(23, 3))
     cells = lambda m, c: spark.createDataFrame([("r", D("2020-01-01") + timedelta(t), f"i{k}", float(m[t, k])) for t in range(23) for k in range(3)], f"run_id string, ts date, instrument_id string, {c} double")
-    got = {x.draw: x.sharpe for x in validation.permutation_draws(cells(w, "weight"), cells(r, "r").drop("run_id"), 365, draws=20, seed=3, block=7).collect()}
+    got = {x.draw: x.sharpe for x in validation.permutation_draws(cells(w, "weight"), cells(r, "r").drop("run_id"), 365, draws=20, seed=3, block=7, chunk=6).collect()}
     for d in range(-1, 20):
-        order = np.arange(23) if d < 0 else np.random.default_rng([3, d]).permutation(23)
+        order = validation.shuffled_places(23, np.arange(23), np.array([d]), 3)[0]
+        assert sorted(order) == list(range(23)) and (d >= 0 or (order == np.arange(23)).all())
         x = (w * r[order]).sum(1)
         assert got[d] == pytest.approx(x.mean() / x.std(ddof=1) * 365**0.5)
 
