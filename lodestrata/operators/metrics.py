@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import holding_bucket
 from .prep import by_day
+from .quantiles import rolling_quantiles
 
 def run_day() -> Window:
     return Window.partitionBy("run_id").orderBy("ts")
@@ -95,9 +96,9 @@ def regime_labels(bars: DataFrame, instrument_id: str, window: int, history: int
     """(ts, label): low, medium or high: the day's volatility against the terciles of the last ``history`` ones; undefined without them."""
     b = bars.where(F.col("instrument_id") == instrument_id).withColumn("ret", F.col("close") / F.lag("close").over(by_day()) - 1)
     v = b.withColumn("vol", F.when(F.count("ret").over(by_day().rowsBetween(-(window - 1), 0)) == window, F.stddev_samp("ret").over(by_day().rowsBetween(-(window - 1), 0))))
-    h = by_day().rowsBetween(-(history - 1), 0)
-    t = v.withColumn("q", F.percentile("vol", F.array(F.lit(1 / 3), F.lit(2 / 3))).over(h)).withColumn("n", F.count("vol").over(h))
-    label = F.when((F.col("n") < history) | F.coalesce(F.col("vol") <= 0, F.lit(True)), "undefined").when(F.col("vol") <= F.col("q")[0], "low").when(F.col("vol") <= F.col("q")[1], "medium").otherwise("high")
+    # A window that lacks a volatility has no quantiles.
+    t = v.join(rolling_quantiles(v, "instrument_id", "ts", "vol", history, (1 / 3, 2 / 3)), ["instrument_id", "ts"])
+    label = F.when(F.col("q").isNull() | F.coalesce(F.col("vol") <= 0, F.lit(True)), "undefined").when(F.col("vol") <= F.col("q")[0], "low").when(F.col("vol") <= F.col("q")[1], "medium").otherwise("high")
     return t.select("ts", label.alias("label"))
 
 
