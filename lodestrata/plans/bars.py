@@ -35,8 +35,6 @@ ACTIONS = [("s3", "split", D("1997-06-02"), 4.0, None), ("s0", "dividend", D("19
 DELISTINGS = [("s7", D("2002-01-05"), -0.3), ("s6", D("2002-02-01"), None)]
 CASH = [(D("1995-06-01"), 100.0), (D("1997-01-01"), 105.0), (D("1999-01-01"), 111.5), (D("2001-01-01"), 118.0)]
 SHOCKS = [(n, f"s{i}", s) for n, s in (("crash", -0.2), ("rally", 0.2)) for i in range(8)]
-CHANGES = [("x", D("1996-01-10"), True), ("x", D("1997-03-01"), False), ("x", D("1999-05-05"), True), ("y", D("1996-07-01"), False), ("z", D("2000-01-01"), True), ("z", D("2000-06-01"), False)]
-TRIALS = [("a", "u1", D("2015-01-01"), D("2020-12-31"), D("2024-01-01")), ("b", "u1", D("2019-01-01"), D("2023-12-31"), D("2024-02-01")), ("c", "u1", D("2021-01-01"), D("2023-12-31"), D("2024-03-01")), ("d", "u2", D("2015-01-01"), D("2023-12-31"), D("2024-04-01"))]
 
 
 def literal(spark: SparkSession, name: str) -> DataFrame:
@@ -46,8 +44,6 @@ def literal(spark: SparkSession, name: str) -> DataFrame:
         "delistings": (DELISTINGS, "instrument_id string, date date, delisting_return double"),
         "cash": (CASH, "ts date, close double"),
         "shocks": (SHOCKS, "scenario string, instrument_id string, shock double"),
-        "changes": (CHANGES, "instrument_id string, day date, added boolean"),
-        "trials": (TRIALS, "hypothesis string, universe string, training_start date, training_end date, registered_at date"),
     }[name]
     return spark.createDataFrame(rows, schema)
 

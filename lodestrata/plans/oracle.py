@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from .bars import ACTIONS, CASH, CHANGES, DELISTINGS, MEMBERSHIPS, SHOCKS, TRIALS, literal_sql
+from .bars import ACTIONS, CASH, DELISTINGS, MEMBERSHIPS, SHOCKS, literal_sql
 
 STEPS: dict[str, str] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -66,10 +66,15 @@ for _name, _rows, _cols in (
     ("delistings", DELISTINGS, 'instrument_id, "date", delisting_return'),
     ("cash_marks", CASH, "ts, close"),
     ("shocks", SHOCKS, "scenario, instrument_id, shock"),
-    ("changes", CHANGES, "instrument_id, day, added"),
-    ("trials", TRIALS, "hypothesis, universe, training_start, training_end, registered_at"),
 ):
     STEPS[_name] = f"SELECT * FROM {literal_sql(_rows, _cols)}"
+STEPS["order_changes"] = "SELECT instrument_id, day, added FROM (SELECT *, lag(added) OVER (PARTITION BY instrument_id ORDER BY day) AS before FROM (SELECT 'c' || o_custkey AS instrument_id, o_orderdate::DATE AS day, arg_max(o_orderstatus, o_orderkey) <> 'F' AS added FROM orders GROUP BY 1, 2)) WHERE before IS NULL OR before <> added"
+_FROM_CHANGES = """SELECT a.instrument_id, a.day AS "start", (SELECT min(day) - 1 FROM order_changes r WHERE r.instrument_id = a.instrument_id AND NOT r.added AND r.day > a.day) AS "end" FROM order_changes a WHERE added
+      UNION ALL SELECT instrument_id, DATE '1995-01-01', day - 1 FROM order_changes c WHERE NOT added AND NOT EXISTS (SELECT 1 FROM order_changes e WHERE e.instrument_id = c.instrument_id AND e.day < c.day)"""
+STEPS["order_memberships"] = f"""SELECT * FROM ({_FROM_CHANGES}) WHERE "end" IS NULL OR "start" <= "end\""""
+STEPS["order_pieces"] = """SELECT instrument_id, greatest("start", make_date(y, 1, 1)) AS "start", CASE WHEN "end" IS NULL AND y = 2001 THEN NULL ELSE least(coalesce("end", make_date(y, 12, 31)), make_date(y, 12, 31)) END AS "end"
+  FROM (SELECT *, unnest(range(year("start"), year(coalesce("end", DATE '2001-12-31')) + 1)) AS y FROM order_memberships)"""
+STEPS["order_trials"] = "SELECT 'c' || o_custkey AS hypothesis, 'u' || floor(o_custkey / 40)::BIGINT AS universe, min(o_orderdate)::DATE AS training_start, min(o_orderdate)::DATE + (30 + o_custkey % 60)::INT AS training_end, max(o_orderdate)::DATE AS registered_at FROM orders GROUP BY o_custkey"
 STEPS["sessions"] = "SELECT DISTINCT ts FROM line_bars"
 STEPS["calendar"] = "SELECT * FROM (SELECT ts, lead(ts) OVER (ORDER BY ts) AS next_ts, row_number() OVER (ORDER BY ts) AS k FROM sessions) WHERE next_ts IS NOT NULL"
 STEPS["market"] = "SELECT a.ts, c.next_ts, a.instrument_id, (b.close - a.close) / a.close AS r FROM line_bars a JOIN calendar c ON a.ts = c.ts JOIN line_bars b ON b.instrument_id = a.instrument_id AND b.ts = c.next_ts"
@@ -205,12 +210,11 @@ _Q: dict[str, str] = {
     "pair_states": f"SELECT p.ts, {_r('beta z', 5)}, s.state FROM spread p JOIN states s ON s.i = p.i",
     "members_on_days": 'SELECT s.ts, m.instrument_id FROM sessions s JOIN memberships m ON m."start" <= s.ts AND (m."end" IS NULL OR s.ts <= m."end")',
     "members_only_bars": 'SELECT b.instrument_id, b.ts, b.close FROM line_bars b WHERE EXISTS (SELECT 1 FROM memberships m WHERE m.instrument_id = b.instrument_id AND m."start" <= b.ts AND (m."end" IS NULL OR b.ts <= m."end"))',
-    "instruments_between": """SELECT instrument_id FROM memberships WHERE "start" <= DATE '1998-12-31' AND ("end" IS NULL OR "end" >= DATE '1998-07-01') UNION SELECT 's4'""",
-    "member_spans": """SELECT instrument_id, greatest("start", DATE '1996-06-01') AS "start", least(coalesce("end", DATE '1999-06-01'), DATE '1999-06-01') AS "end" FROM memberships WHERE "start" <= DATE '1999-06-01' AND ("end" IS NULL OR "end" >= DATE '1996-06-01')""",
-    "former_members": 'SELECT instrument_id FROM memberships GROUP BY 1 HAVING count(*) = count("end")',
-    "touching_runs": """SELECT instrument_id, min("start") AS "start", CASE WHEN count(*) = count("end") THEN max("end") END AS "end" FROM (SELECT *, sum(fresh) OVER (PARTITION BY instrument_id ORDER BY "start") AS island FROM (SELECT *, CASE WHEN lag("end") OVER (PARTITION BY instrument_id ORDER BY "start") + 1 >= "start" THEN 0 ELSE 1 END AS fresh FROM memberships)) GROUP BY instrument_id, island""",
-    "memberships_from_changes": """SELECT a.instrument_id, a.day AS "start", (SELECT min(day) - 1 FROM changes r WHERE r.instrument_id = a.instrument_id AND NOT r.added AND r.day > a.day) AS "end" FROM changes a WHERE added
-      UNION ALL SELECT instrument_id, DATE '1995-01-01', day - 1 FROM changes c WHERE NOT added AND NOT EXISTS (SELECT 1 FROM changes e WHERE e.instrument_id = c.instrument_id AND e.day < c.day)""",
+    "instruments_between": """SELECT instrument_id FROM order_memberships WHERE "start" <= DATE '1998-12-31' AND ("end" IS NULL OR "end" >= DATE '1998-07-01') UNION SELECT 's4'""",
+    "member_spans": """SELECT instrument_id, greatest("start", DATE '1996-06-01') AS "start", least(coalesce("end", DATE '1999-06-01'), DATE '1999-06-01') AS "end" FROM order_memberships WHERE "start" <= DATE '1999-06-01' AND ("end" IS NULL OR "end" >= DATE '1996-06-01')""",
+    "former_members": 'SELECT instrument_id FROM order_memberships GROUP BY 1 HAVING count(*) = count("end")',
+    "touching_runs": """SELECT instrument_id, min("start") AS "start", CASE WHEN count(*) = count("end") THEN max("end") END AS "end" FROM (SELECT *, sum(fresh) OVER (PARTITION BY instrument_id ORDER BY "start") AS island FROM (SELECT *, CASE WHEN lag("end") OVER (PARTITION BY instrument_id ORDER BY "start") + 1 >= "start" THEN 0 ELSE 1 END AS fresh FROM order_pieces)) GROUP BY instrument_id, island""",
+    "memberships_from_changes": _FROM_CHANGES,
     "price_coverage": f"""SELECT m.instrument_id, count(*) AS member_days, count(b.ts) AS priced_days, {_nine('count(b.ts) / count(*)')} AS share FROM sessions s JOIN memberships m ON m."start" <= s.ts AND (m."end" IS NULL OR s.ts <= m."end") LEFT JOIN line_bars b ON b.instrument_id = m.instrument_id AND b.ts = s.ts GROUP BY 1""",
     "adjusted_bars": f"""SELECT instrument_id, ts, {_r('open=open*p close=close*p volume=volume*v unadjusted_close=close', 5)} FROM (SELECT b.*, coalesce((SELECT product(pf) FROM factors f WHERE f.instrument_id = b.instrument_id AND f.first_after > b.ts), 1) AS p, coalesce((SELECT product(vf) FROM factors f WHERE f.instrument_id = b.instrument_id AND f.first_after > b.ts), 1) AS v FROM line_bars b)""",
     "delisted_bars": f"""SELECT instrument_id, day AS ts, {_r('close volume', 4)} FROM (SELECT d.instrument_id, d."date" AS day, arg_max(b.close, b.ts) * (1 + coalesce(any_value(d.delisting_return), -0.3)) AS close, 0.0 AS volume FROM delistings d JOIN line_bars b ON b.instrument_id = d.instrument_id GROUP BY 1, 2)""",
@@ -259,7 +263,7 @@ _Q: dict[str, str] = {
     "diversification": f"SELECT month, {_r('ratio', 4)} FROM (SELECT a.month, a.s / b.s AS ratio FROM (SELECT month, sum(sd * weight) AS s FROM (SELECT month, run_id, stddev_samp(r) AS sd FROM sleeves GROUP BY 1, 2) JOIN inverse USING (month, run_id) GROUP BY 1) a JOIN (SELECT month, stddev_samp(p) AS s FROM (SELECT month, ts, sum(r * weight) AS p FROM sleeves JOIN inverse USING (month, run_id) GROUP BY 1, 2) GROUP BY 1) b ON a.month = b.month)",
     "netted_portfolio": f"SELECT ts, instrument_id, {_r('weight')} FROM (SELECT t.ts, t.instrument_id, sum(t.weight * s.share) AS weight FROM targets_4 t JOIN (SELECT month, run_id, 1.0 / count(*) OVER (PARTITION BY month) AS share FROM (SELECT DISTINCT month, run_id FROM sleeves)) s ON s.run_id = t.run_id AND s.month = date_trunc('month', t.ts) GROUP BY 1, 2) WHERE weight <> 0",
     "normalised_tickers": "SELECT c_custkey, regexp_replace(replace(upper(trim(c_mktsegment || ' .' || c_name)), '.', '-'), '[^A-Z0-9-]', '', 'g') AS ticker FROM customer",
-    "trials_on_same_data": "SELECT t.hypothesis, o.hypothesis AS other FROM trials t JOIN trials o ON o.universe = t.universe AND o.hypothesis <> t.hypothesis AND o.training_start <= t.training_end AND t.training_start <= o.training_end AND o.registered_at <= t.registered_at",
+    "trials_on_same_data": "SELECT t.hypothesis, o.hypothesis AS other FROM order_trials t JOIN order_trials o ON o.universe = t.universe AND o.hypothesis <> t.hypothesis AND o.training_start <= t.training_end AND t.training_start <= o.training_end AND o.registered_at <= t.registered_at",
 }
 
 

@@ -168,29 +168,48 @@ def members_only_bars(spark, sf_dir):
     return universe.members_only(line_bars(spark, sf_dir), literal(spark, "memberships")).select("instrument_id", "ts", "close")
 
 
+FIRST, LAST = D("1995-01-01"), D("2001-12-31")
+
+
+def order_changes(spark, sf_dir):
+    """(instrument_id, day, added): customers join with an order that is open or pending and leave with a filled one; a day's last order counts."""
+    o = table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("instrument_id"), F.to_date("o_orderdate").alias("day"), "o_orderkey", "o_orderstatus")
+    by_day = o.groupBy("instrument_id", "day").agg((F.max_by("o_orderstatus", "o_orderkey") != "F").alias("added"))
+    before = F.lag("added").over(Window.partitionBy("instrument_id").orderBy("day"))
+    return by_day.withColumn("before", before).where("before is null or before != added").drop("before")
+
+
+def order_memberships(spark, sf_dir):
+    return universe.memberships_from_changes(order_changes(spark, sf_dir), FIRST).where("end is null or start <= end")
+
+
 @query
 def instruments_between(spark, sf_dir):
-    return universe.instruments_between(literal(spark, "memberships"), D("1998-07-01"), D("1998-12-31"), "s4")
+    return universe.instruments_between(order_memberships(spark, sf_dir), D("1998-07-01"), D("1998-12-31"), "s4")
 
 
 @query
 def member_spans(spark, sf_dir):
-    return universe.member_spans(literal(spark, "memberships"), D("1996-06-01"), D("1999-06-01"))
+    return universe.member_spans(order_memberships(spark, sf_dir), D("1996-06-01"), D("1999-06-01"))
 
 
 @query
 def former_members(spark, sf_dir):
-    return universe.former_members(literal(spark, "memberships"))
+    return universe.former_members(order_memberships(spark, sf_dir))
 
 
 @query
 def touching_runs(spark, sf_dir):
-    return universe.touching_runs(literal(spark, "memberships"))
+    """Memberships cut at the ends of years come together again."""
+    m = order_memberships(spark, sf_dir).withColumn("y", F.explode(F.sequence(F.year("start"), F.year(F.coalesce("end", F.lit(LAST))))))
+    day = lambda month, d: F.make_date("y", F.lit(month), F.lit(d))
+    end = F.when(F.col("end").isNull() & (F.col("y") == LAST.year), F.lit(None).cast("date")).otherwise(F.least(F.coalesce("end", day(12, 31)), day(12, 31)))
+    return universe.touching_runs(m.select("instrument_id", F.greatest("start", day(1, 1)).alias("start"), end.alias("end")))
 
 
 @query
 def memberships_from_changes(spark, sf_dir):
-    return universe.memberships_from_changes(literal(spark, "changes"), D("1995-01-01"))
+    return universe.memberships_from_changes(order_changes(spark, sf_dir), FIRST)
 
 
 @query
@@ -538,7 +557,12 @@ def normalised_tickers(spark, sf_dir):
 
 @query
 def trials_on_same_data(spark, sf_dir):
-    return validation.trials_on_same_data(literal(spark, "trials"))
+    """A trial per customer, forty to a universe; its training starts with the first order."""
+    key = F.col("o_custkey")
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.to_date(F.min("o_orderdate")).alias("training_start"), F.to_date(F.max("o_orderdate")).alias("registered_at"))
+    universe_ = F.concat(F.lit("u"), F.floor(key / 40).cast("string"))
+    t = o.select(F.concat(F.lit("c"), key.cast("string")).alias("hypothesis"), universe_.alias("universe"), "training_start", F.date_add("training_start", (30 + key % 60).cast("int")).alias("training_end"), "registered_at")
+    return validation.trials_on_same_data(t)
 
 
 from .oracle import ORACLE_SQL  # noqa: E402, F401

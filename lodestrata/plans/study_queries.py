@@ -12,7 +12,7 @@ from ..operators import portfolio as pf
 from ..operators import prep, reports, signals, studies, validation
 from ..sources import configs
 from ..sources.files import stored
-from .bars import D, line_bars, literal
+from .bars import D, line_bars, table
 from .oracle import GRID, RUN, STEPS, _growth, _nine, _r, _sharpe, _sql
 from .queries import PPY, QUERIES, _aligned, _grid, _holdings, _run, _simulated, _snaps, _trades, _windows, query, rounded
 
@@ -219,26 +219,36 @@ def registry_headline(spark, sf_dir):
 
 SQL["registry_headline"] = f"SELECT r.hypothesis, r.status, r.has_run, {_r('sharpe cagr max_drawdown', 4)}, CASE WHEN m.run_id IS NOT NULL THEN DATE '{START}' END AS run_start, CASE WHEN m.run_id IS NOT NULL THEN DATE '{END}' END AS run_end FROM ({SQL['registry']}) r LEFT JOIN metrics_1 m ON r.hypothesis = 'mom'"
 
-STEPS_TAKEN = [("a", "proposed", "testing", None, None), ("b", "testing", "confirmed", True, True), ("c", "testing", "confirmed", True, None), ("d", "proposed", "confirmed", True, True), ("e", "confirmed", "testing", None, None), ("f", "testing", "rejected", None, None)]
+STATUSES = ["proposed", "testing", "confirmed", "rejected", "inconclusive"]
 
 
 @query
 def status_transitions(spark, sf_dir):
-    steps = spark.createDataFrame(STEPS_TAKEN, "hypothesis string, status string, new_status string, walk_forward_passed boolean, holdout_passed boolean")
+    """A step per order: statuses and gates follow from its keys."""
+    status = lambda key: F.element_at(F.array(*[F.lit(s) for s in STATUSES]), (F.col(key) % 5 + 1).cast("int"))
+    gate = lambda x: F.when(x % 3 != 0, x % 3 == 1)
+    steps = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("hypothesis"), status("o_orderkey").alias("status"), status("o_custkey").alias("new_status"), gate(F.col("o_custkey")).alias("walk_forward_passed"), gate(F.col("o_orderkey") % 7).alias("holdout_passed"))
     return reports.transitions(steps).select("hypothesis", "allowed")
 
 
-SQL["status_transitions"] = f"SELECT h AS hypothesis, (s = 'proposed' AND n = 'testing') OR (s = 'testing' AND (n IN ('rejected', 'inconclusive') OR (n = 'confirmed' AND coalesce(w AND o, FALSE)))) AS allowed FROM {_literals(STEPS_TAKEN, 'h, s, n, w, o')}"
+STEPS["order_steps"] = f"SELECT o_orderkey::VARCHAR AS h, ({STATUSES})[o_orderkey % 5 + 1] AS s, ({STATUSES})[o_custkey % 5 + 1] AS n, CASE WHEN o_custkey % 3 <> 0 THEN o_custkey % 3 = 1 END AS w, CASE WHEN o_orderkey % 7 % 3 <> 0 THEN o_orderkey % 7 % 3 = 1 END AS o FROM orders"
+SQL["status_transitions"] = "SELECT h AS hypothesis, (s = 'proposed' AND n = 'testing') OR (s = 'testing' AND (n IN ('rejected', 'inconclusive') OR (n = 'confirmed' AND coalesce(w AND o, FALSE)))) AS allowed FROM order_steps"
 
 
 @query
 def holdout_prerequisites(spark, sf_dir):
-    parts = spark.createDataFrame([("port", c) for c in ("rev", "mom", "xs")], "hypothesis string, component string")
-    opened = spark.createDataFrame(OPENED[:1], "hypothesis string, verdict string, holdout_sharpe double")
-    return reports.missing_prerequisites(parts, _definitions(spark), opened)
-
-
-SQL["holdout_prerequisites"] = "SELECT 'port' AS hypothesis, hypothesis AS component FROM definitions WHERE hypothesis IN ('rev', 'xs')"
+    """A holdout per customer from the first order on; every fifth one rests on the next two, and customers with money have opened theirs."""
+    name = lambda x: F.concat(F.lit("c"), x.cast("string"))
+    key = F.col("o_custkey")
+    spans = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.to_date(F.min("o_orderdate")).alias("start"))
+    definitions = spans.select(name(key).alias("hypothesis"), "start", F.date_add("start", (key % 400).cast("int")).alias("end"))
+    parts = spans.where("o_custkey % 5 = 0").select(name(key).alias("hypothesis"), F.explode(F.array(name(key + 1), name(key + 2))).alias("component"))
+    opened = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(name(F.col("c_custkey")).alias("hypothesis"))
+    return reports.missing_prerequisites(parts, definitions, opened)
+
+
+STEPS["order_holdouts"] = "SELECT o_custkey AS k, min(o_orderdate)::DATE AS a, min(o_orderdate)::DATE + (o_custkey % 400)::INT AS b FROM orders GROUP BY o_custkey"
+SQL["holdout_prerequisites"] = "SELECT 'c' || x.k AS hypothesis, 'c' || y.k AS component FROM order_holdouts x JOIN order_holdouts y ON y.k IN (x.k + 1, x.k + 2) AND x.a <= y.b AND y.a <= x.b WHERE x.k % 5 = 0 AND NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = y.k AND c_acctbal > 0)"
 
 
 # ---- reports ----

@@ -44,7 +44,16 @@ def read_bars(spark: SparkSession, path: str, instrument_id: str | None = None,
     """Bars of a range (both ends included), oldest first; a missing table is empty. The filters reach the Parquet scan."""
     if not _exists(spark, path):
         return spark.createDataFrame([], BARS)
-    out = spark.read.schema(BARS).parquet(path)
+    if not _by_month(spark, path):
+        out = spark.read.schema(BARS).parquet(path)
+    else:
+        # A range of days is a range of months, which prunes the folders.
+        out = spark.read.schema(f"{BARS}, month string").parquet(path)
+        if start is not None:
+            out = out.where(F.col("month") >= F.date_format(F.lit(start).cast("date"), "yyyy-MM"))
+        if end is not None:
+            out = out.where(F.col("month") <= F.date_format(F.lit(end).cast("date"), "yyyy-MM"))
+        out = out.drop("month")
     if instrument_id is not None:
         out = out.where(F.col("instrument_id") == instrument_id)
     if start is not None:
@@ -61,12 +70,36 @@ def latest(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r", "__v")
 
 
+def _by_month(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return any(f.getPath().getName().startswith("month=") for f in p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p))
+
+
 def upsert_bars(bars: DataFrame, path: str) -> None:
-    """Merges bars into the table at ``path`` through a staging folder, as a table can't be overwritten while it is read."""
+    """Merges bars into the table at ``path``, in which every month has its folder: only the months that ``bars`` touch are read and written anew.
+
+    The merged months are written aside first, as a folder can't be overwritten while it is read, and then take their folders' places; a repeated
+    call gives the same table. A table without months is rewritten once.
+    """
     spark = bars.sparkSession
-    staging = f"{path}.staging-{uuid.uuid4().hex}"
-    latest(read_bars(spark, path), bars).repartitionByRange("instrument_id", "ts").sortWithinPartitions("instrument_id", "ts").write.parquet(staging)
-    swap(spark, staging, path)
+    month = F.date_format("ts", "yyyy-MM")
+    if _exists(spark, path) and not _by_month(spark, path):
+        staging = f"{path}.staging-{uuid.uuid4().hex}"
+        _write_months(read_bars(spark, path).withColumn("month", month), staging)
+        swap(spark, staging, path)
+    new = bars.withColumn("month", month)
+    if _exists(spark, path):
+        touched = F.broadcast(new.select("month").distinct())
+        old = spark.read.schema(f"{BARS}, month string").parquet(path).join(touched, "month", "left_semi")
+        new = stored(latest(old, new), "months")
+    else:
+        new = latest(new.limit(0), new)
+    _write_months(new, path)
+
+
+def _write_months(bars: DataFrame, path: str) -> None:
+    order = ["month", "instrument_id", "ts"]
+    bars.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
 
 
 def swap(spark: SparkSession, staging: str, path: str) -> None:

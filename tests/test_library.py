@@ -92,6 +92,34 @@ def test_upsert_keeps_the_newer(spark, tmp_path):
     assert files.read_bars(spark, path + "-none").count() == 0
 
 
+def test_upsert_leaves_other_months_alone(spark, tmp_path):
+    from datetime import date, timedelta
+
+    def bars(first, n, close):
+        days = [date(2020, 1, 1) + timedelta(first + i) for i in range(n)]
+        return spark.createDataFrame([(k, d, close, close, close, close, 1.0, None, "t", None, False) for k in "xy" for d in days], files.BARS)
+
+    path = tmp_path / "bars"
+    files.upsert_bars(bars(0, 200, 1.0), str(path))
+    before = {p: p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
+    assert len({p.parent.name for p in before}) == 7
+    files.upsert_bars(bars(55, 10, 2.0), str(path))  # the end of February and the start of March
+    after = {p: p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
+    kept = {p for p in before if p.parent.name not in ("month=2020-02", "month=2020-03")}
+    assert kept and all(after[p] == before[p] for p in kept)
+    assert not any(p in after for p in before.keys() - kept) and {p.parent.name for p in after.keys() - kept} == {"month=2020-02", "month=2020-03"}
+    got = files.read_bars(spark, str(path)).groupBy("close").count().collect()
+    assert {r["close"]: r["count"] for r in got} == {1.0: 380, 2.0: 20}
+    spring = files.read_bars(spark, str(path), "x", date(2020, 3, 2), date(2020, 4, 3))
+    assert spring.count() == 33 and {f.split("month=")[1][:7] for f in spring.inputFiles()} >= {"2020-03", "2020-04"}
+    plan = spring._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(month" in plan
+    old = str(tmp_path / "old")
+    bars(0, 40, 1.0).write.parquet(old)
+    files.upsert_bars(bars(39, 2, 3.0), old)
+    assert files.read_bars(spark, old).count() == 82 and (tmp_path / "old" / "month=2020-01").exists()
+
+
 def test_draws_and_paths_are_the_references(spark, sf_dir):
     assert 9_900 < QUERIES["permutation_test"](spark, sf_dir).first().n <= 10_000
     assert QUERIES["purged_paths"](spark, sf_dir).count() == 9
