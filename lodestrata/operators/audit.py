@@ -28,6 +28,7 @@ def ticker_audit(members: DataFrame, listings: DataFrame, names: DataFrame) -> D
     likeness = met.select("symbol", "name", F.explode("names").alias("other")).where("name is not null").groupBy("symbol").agg(F.max(name_similarity(F.col("other"), F.col("name"))).alias("similarity"))
     met = met.join(likeness, "symbol", "left")
     s = F.col("similarity")
+    # The texts of the flags, in their order.
     flags = F.array_compact(F.array(
         F.when(s.isNull(), "no name in the index's table").when(s == 0, "name differs").when(s < 1, "name partly differs"),
         F.when(F.col("start") > F.col("first_day"), "prices start after membership"),

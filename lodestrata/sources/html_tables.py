@@ -10,26 +10,36 @@ from pyspark.sql import DataFrame
 
 
 #: Footnote marks and what is no text.
-SKIPPED = ("sup", "style", "script")
+SKIPPED = {"sup", "style", "script"}
+#: Elements without an end of their own.
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
 class _Cells(HTMLParser):
-    """Collects (table, row, [(text, rowspan, colspan, header)])."""
+    """Collects (table, row, [(text, rowspan, colspan, header)]).
+
+    ``inside`` has the elements around the place at hand, outermost first. An end closes all up to its own start, and a new row or cell what is open within its table.
+    """
 
     def __init__(self) -> None:
         super().__init__()
         self.tables: list[list[list[tuple[str, int, int, bool]]]] = []
         self.ids: list[str | None] = []
         self.open: list[int] = []
-        self.skipped = 0
+        self.inside: list[str] = []
         self.cell: list[str] | None = None
         self.spans = (1, 1, False)
 
     def handle_starttag(self, tag: str, attrs) -> None:
         a = dict(attrs)
-        if tag in SKIPPED:
-            self.skipped += 1
+        if tag in ("tr", "td", "th") and "table" in self.inside:
+            self._leave("table", itself=False)
+        if tag not in VOID:
+            self.inside.append(tag)
+        if tag == "br":
+            self.handle_data(" ")
         elif tag == "table":
+            self._end()
             self.tables.append([])
             self.ids.append(a.get("id"))
             self.open.append(len(self.tables) - 1)
@@ -42,17 +52,21 @@ class _Cells(HTMLParser):
             self.spans, self.cell = (number("rowspan"), number("colspan"), tag == "th"), []
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in SKIPPED:
-            self.skipped = max(0, self.skipped - 1)
+        self._leave(tag)
         if tag in ("td", "th", "tr", "table"):
             self._end()
         if tag == "table" and self.open:
             self.open.pop()
 
     def handle_data(self, data: str) -> None:
-        if self.cell is not None and not self.skipped:
+        if self.cell is not None and SKIPPED.isdisjoint(self.inside):
             self.cell.append(data)
 
+    def _leave(self, tag: str, itself: bool = True) -> None:
+        if tag in self.inside:
+            last = len(self.inside) - 1 - self.inside[::-1].index(tag)
+            del self.inside[last + (not itself) :]
+
     def _end(self) -> None:
         if self.cell is not None and self.open:
             rows = self.tables[self.open[-1]]

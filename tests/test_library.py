@@ -79,6 +79,9 @@ def test_purged_selection(spark):
 
 def test_html_spans():
     assert html_tables.grids("<table><tr><th rowspan=2>a<td>b<tr><td>c</table>") == [[["a", "b"], ["a", "c"]]]
+    # Marks are skipped up to their end, or where that is missing up to the next cell; elements without an end hide nothing, and a line break is a space.
+    assert html_tables.grids("<table><tr><td>a<sup>1<sup>2</sup></sup>x<td>b<sup>3<td>c<br>d<tr><td>e<script>f</script></sup>g</table><p>h") == [[["ax", "b", "c d"], ["eg", "", ""]]]
+    assert html_tables.grids("<table><tr><td>o<table><tr><td>i<sup>1</table>p</table>") == [[["o"]], [["i"]]]
 
 
 def test_upsert_keeps_the_newer(spark, tmp_path):
