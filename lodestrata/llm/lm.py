@@ -2,9 +2,10 @@
 
 Tokens are words (A-Z as a-z) and one end per text. Counts of all training tokens are exact sums. The ``classes`` most frequent tokens are
 the model's classes, with one more for all other words and one for what stands before a text. The representation predicted from the two
-tokens before, R[w1] @ C1 + R[w2] @ C2, meets a token's output vector and bias in a dot product. Training: each task runs
-minibatch AdaGrad over its own training documents against noise from the unigram distribution, from a common start, and the
-weights are averaged by the tokens seen (partial sums in Spark). Scoring normalises exactly: as the context has two
+tokens before, R[w1] @ C1 + R[w2] @ C2, meets a token's output vector and bias in a dot product. Training: documents' classes (two bytes
+a token) are dealt by hash to trainers of about POSITIONS tokens each, in an order by hash. Each runs minibatch AdaGrad against noise from the
+unigram distribution, from a common start, and the weights are averaged by the tokens seen (partial sums in Spark). So the weights
+depend on the rows alone, not on how they are partitioned, up to the order of sums. Scoring normalises exactly: as the context has two
 tokens, batched matrix products give the log normaliser of every pair of classes once, on the driver, and texts look theirs up. A word outside
 the classes gets its class's probability times its add-one share of that class's counts (unseen words are one event).
 
@@ -24,7 +25,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +32,9 @@ from .bytetext import Slice, slices
 from .common import documents, materialise
 
 CLASSES, HEAD = 1024, 200_000
-DIM, NOISE, BATCH = 32, 96, 4096
+DIM, NOISE, BATCH = 32, 96, 512
+#: Positions that one trainer takes, and those that are shuffled among themselves (the most of one text that travel together).
+POSITIONS, PIECE = 2_000_000, 1 << 17
 #: One in HELD training documents, by hash, trains no weights (counts take it): the factor of the learned part is chosen on it.
 HELD, FACTORS = 16, (0.0, 0.5, 1.0)
 #: Word hashes are 64 bits; the end has one of its own.
@@ -161,6 +163,7 @@ def train(rows: DataFrame, table: Table, freq: np.ndarray) -> tuple[np.ndarray,
     start = len(freq)
     noise_p = (freq + 0.5) / (freq + 0.5).sum()
     shared = spark.sparkContext.broadcast((table, noise_p))
+    kind = np.uint16 if start < 1 << 16 else np.uint32
 
     def triples(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
         t = shared.value[0]
@@ -170,16 +173,46 @@ def train(rows: DataFrame, table: Table, freq: np.ndarray) -> tuple[np.ndarray,
             one, two = _contexts(cls, at, start)
             yield one, two, cls
 
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = shared.value[0]
+        for b in batches:
+            for s in slices(b.column("text"), 4 << 20):
+                h, at = _tokens(s)
+                cls = t.classes_of(h)
+                out, owner, no = [], [], []
+                for j, (first, last) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+                    told = np.r_[start, start, cls[first:last]].astype(kind)
+                    for i in range(0, last - first, PIECE):
+                        out.append(told[i : i + PIECE + 2].tobytes())
+                        owner.append(s.first + j)
+                        no.append(i)
+                cols = [b.column(k).take(pa.array(owner, pa.int64())) for k in ("doc_id", "row_key")]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(no, pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "row_key", "no", "x"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        """The positions of successive pieces (two tokens before, one before, itself), PIECE of them or more at a time."""
+        held, n = [], 0
+        for b in batches:
+            for x in b.column("x"):
+                c = np.frombuffer(x.as_py(), kind).astype(np.int64)
+                held.append((c[:-2], c[1:-1], c[2:]))
+                n += len(c) - 2
+                if n >= PIECE:
+                    yield [np.concatenate(v) for v in zip(*held, strict=True)]
+                    held, n = [], 0
+        if held:
+            yield [np.concatenate(v) for v in zip(*held, strict=True)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value[1]
         m = initial(freq)
         begin, hist = _flat(m), {k: np.full_like(v, 1e-6) for k, v in m.items()}
-        rnd, seen = np.random.default_rng(TaskContext.get().partitionId()), 0
-        for b in batches:
-            for one, two, cls in triples(b):
-                pick = rnd.permutation(len(cls))
-                nce_epoch(m, hist, one[pick], two[pick], cls[pick], p, rnd)
-                seen += len(pick)
+        seen = 0
+        for two, one, cls in joined(batches):
+            rnd = np.random.default_rng(seen)
+            pick = rnd.permutation(len(cls))
+            nce_epoch(m, hist, one[pick], two[pick], cls[pick], p, rnd)
+            seen += len(pick)
         if seen:
             moved = (_flat(m) - begin).astype(np.float64) * seen
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(moved) + 1)), pa.array(np.r_[moved, seen])], names=["i", "x"])
@@ -187,8 +220,12 @@ def train(rows: DataFrame, table: Table, freq: np.ndarray) -> tuple[np.ndarray,
     start_weights = initial(freq)
     held = F.pmod(F.xxhash64("doc_id", "row_key"), F.lit(HELD)) == 0
     sums = np.zeros(len(_flat(start_weights)) + 1)
+    # Trainers go by the corpus' tokens alone, and pieces go to them by hash (copies of a text apart), so the input's partitions don't matter.
+    trainers = max(1, round(float(freq.sum()) / POSITIONS))
+    pieces = rows.where(~held).select("doc_id", "row_key", "text").mapInArrow(code, "doc_id long, row_key int, no long, x binary").select(F.xxhash64("doc_id", "row_key", "no").alias("k"), "x")
+    dealt = pieces.repartition(trainers, "k").sortWithinPartitions("k")
     # As many numbers as there are weights, whatever the corpus.
-    moved = rows.where(~held).select("text").mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
+    moved = dealt.select("x").mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
     sums[moved.column("i").to_numpy()] = moved.column("x").to_numpy()
     if not sums[-1]:
         return normalisers(start_weights, 0.0)

@@ -50,6 +50,17 @@ def test_held_out_text_is_likelier_than_under_the_base(spark):
     assert got[0] > got[1]
 
 
+def test_partitions_do_not_change_the_model(spark, sf_dir, monkeypatch):
+    """One, four and 32 partitions learn the same, also with several trainers and a text of several pieces."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").where("doc_id < 300")
+    docs = docs.union(spark.createDataFrame([(9000, "very long text " * 60_000), (9001, None), (9002, "")], docs.schema))
+    monkeypatch.setattr(lm, "POSITIONS", 60_000)
+    got = [{r.doc_id: r.score for r in score(docs.repartition(n), held_out(), classes=300).collect()} for n in (1, 4, 32)]
+    assert len(got[0]) == docs.count()
+    for other in got[1:]:
+        assert all(math.isclose(x, other[d], rel_tol=1e-4, abs_tol=1e-4) for d, x in got[0].items())
+
+
 def test_probabilities_sum_to_one():
     m = initial(np.arange(1, 41.0))
     m["q"] += 1
