@@ -566,6 +566,6 @@ def trials_on_same_data(spark, sf_dir):
 
 
 from .oracle import ORACLE_SQL  # noqa: E402, F401
-from . import index_queries, study_queries  # noqa: E402
+from . import feed_queries, index_queries, study_queries  # noqa: E402
 
-ORACLE_SQL.update(index_queries.SQL | study_queries.SQL)
+ORACLE_SQL.update(feed_queries.SQL | index_queries.SQL | study_queries.SQL)

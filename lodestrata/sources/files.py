@@ -30,12 +30,18 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a written table in the shared folder, read again: it is computed once and survives lost executors. It goes when the session ends."""
-    spark = df.sparkSession
+def fresh(spark: SparkSession, name: str) -> str:
+    """A new folder's name in the shared one; the folder goes when the session ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a written table in the shared folder, read again: it is computed once and survives lost executors. It goes when the session ends."""
+    spark = df.sparkSession
+    path = fresh(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
