@@ -33,6 +33,8 @@ from .lists import blocked, forest, grid, pairs, whole_groups
 KEPT, INDEXED = 24, 16
 #: Rows of a block of an inverted list, and of a group whose full sets are compared.
 LIST_BLOCK, SET_BLOCK = 512, 256
+#: Least similarity, in percent, for which the indexed values find nine links of ten or more; less is refused.
+LEAST_PERCENT = 77
 RESULTS = ("n_shingles", "component_id", "kept")
 _NONE = np.iinfo(np.int64).max
 
@@ -199,6 +201,8 @@ def verified(rows: DataFrame, sets: DataFrame, candidates: DataFrame, words: int
 
 def _groups(rows: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(the sketches of all rows, and for each set_id with words: component, a set_id as well, and one, the first of its rows; null ids last)."""
+    if percent < LEAST_PERCENT:
+        raise ValueError(f"INDEXED values of a sketch find links from {LEAST_PERCENT} % up, not from {percent} %")
     sets = materialise(sketches(rows, words), "sketches")
     classes = sets.where("n > 0").groupBy("set_id", "n").agg(F.first("sketch").alias("sketch"))
     candidates = candidate_edges(materialise(classes, "classes"), percent / 100)

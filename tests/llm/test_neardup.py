@@ -105,3 +105,11 @@ def test_keep_one_leaves_one_row_of_each_group(spark):
     groups = sorted(next((i for i in range(5) if (r.text or "").startswith(text[i])), -1) for r in got)
     assert groups == [-1, -1, 0, 1, 2, 3, 4]
     assert {r.doc_id for r in got if r.text} == {1, None, 9, 4} and sum(r.doc_id is None for r in got if r.text) == 1
+
+
+def test_a_similarity_beyond_the_index_is_refused(spark):
+    df = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    for f in (near_duplicates, keep_one):
+        with pytest.raises(ValueError, match="77"):
+            f(df, 3, 76)
+        assert f(df, 3, 77).count() == 1
