@@ -53,6 +53,12 @@ def parse_date(text: Column) -> Column:
     return F.to_date(F.coalesce(*tries, F.try_to_timestamp(F.substring(t, 1, 10), F.lit("yyyy-MM-dd"))))
 
 
+def epoch_us(ts: Column) -> Column:
+    """Microseconds since 1970 of a time without zone, read as UTC whatever the session's zone is."""
+    clock = (F.hour(ts) * 3600 + F.minute(ts) * 60).cast("long") * 1_000_000
+    return F.unix_date(F.to_date(ts)).cast("long") * 86_400_000_000 + clock + (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("long")
+
+
 def half_life(slope: Column) -> Column:
     """Of a mean-reverting residual whose changes regress on its level with ``slope``; null unless -1 < slope < 0."""
     return F.when((slope > -1) & (slope < 0), -F.ln(F.lit(2.0)) / F.ln(1 + F.when((slope > -1) & (slope < 0), slope)))

@@ -249,6 +249,8 @@ _Q: dict[str, str] = {
     "pnl_groups": f"""SELECT dimension, key, trades, {_r('win_rate total_net_pnl mean_net_pnl median_net_pnl worst_net_pnl best_net_pnl costs')} FROM (SELECT dimension, key, count(*) AS trades, avg((net_pnl > 0)::INT) AS win_rate, sum(net_pnl) AS total_net_pnl, avg(net_pnl) AS mean_net_pnl, quantile_cont(net_pnl, 0.5) AS median_net_pnl, min(net_pnl) AS worst_net_pnl, max(net_pnl) AS best_net_pnl, sum(costs) AS costs FROM (
       SELECT 'regime' AS dimension, regime_at_entry AS key, net_pnl, costs FROM ledger UNION ALL SELECT 'instrument', instrument_id, net_pnl, costs FROM ledger UNION ALL SELECT 'month', strftime(exit_ts, '%Y-%m'), net_pnl, costs FROM ledger
       UNION ALL SELECT 'holding', CASE WHEN holding_days <= 7 THEN '1-7d' WHEN holding_days <= 30 THEN '8-30d' WHEN holding_days <= 90 THEN '31-90d' WHEN holding_days <= 365 THEN '91-365d' ELSE '366d+' END, net_pnl, costs FROM ledger) GROUP BY 1, 2)""",
+    "trades_count": "SELECT count(*) FILTER (WHERE side = 'long') AS total, count(*) AS trades FROM ledger",
+    "event_instants": "SELECT event_id, epoch_us(ts) AS us FROM events",
     "trades_page": f"SELECT run_id, instrument_id, side, entry_ts, {_r('entry_price')}, exit_ts, {_r('exit_price size gross_pnl costs net_pnl')}, holding_days, regime_at_entry, open_at_end FROM (SELECT * FROM ledger WHERE side = 'long' ORDER BY net_pnl DESC, entry_ts, instrument_id LIMIT 25 OFFSET 25)",
     "total_costs": f"SELECT run_id, {_r('total_costs', 5)} FROM (SELECT run_id, sum(cost * prev_equity) AS total_costs FROM returns_1 GROUP BY 1)",
     "cost_sensitivity": f"SELECT 'free' AS lower_cost, '10bps' AS higher_cost, {_nine('d', 5)} AS sharpe_difference, flip AS cagr_sign_flip, CASE WHEN d IS NULL OR flip IS NULL THEN 'undefined' WHEN abs(d) < 0.1 AND NOT flip THEN 'robust' ELSE 'cost-dependent' END AS verdict FROM (SELECT a.sharpe - b.sharpe AS d, (a.cagr > 0) <> (b.cagr > 0) AS flip FROM metrics_free a CROSS JOIN metrics_1 b)",

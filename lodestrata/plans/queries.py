@@ -406,6 +406,18 @@ def pnl_groups(spark, sf_dir):
     return rounded(mt.pnl_groups(_trades(spark, sf_dir)))
 
 
+@query
+def trades_count(spark, sf_dir):
+    """How many trades the filter of ``trades_page`` leaves, of all that there are."""
+    return _trades(spark, sf_dir).agg(F.count_if(F.col("side") == "long").alias("total"), F.count("*").alias("trades"))
+
+
+@query
+def event_instants(spark, sf_dir):
+    """Each event's time in microseconds."""
+    return table(spark, sf_dir, "events").select("event_id", scalars.epoch_us(F.col("ts")).alias("us"))
+
+
 @query
 def trades_page(spark, sf_dir):
     """One page of long trades, best first (a page is what is asked for)."""

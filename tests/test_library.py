@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from lodestrata.functions.scalars import normal_cdf
+from lodestrata.functions.scalars import epoch_us, normal_cdf
 from lodestrata.operators import portfolio, signals, validation
 from lodestrata.plans.queries import QUERIES
 from lodestrata.sources import files, html_tables
@@ -126,3 +126,14 @@ def test_upsert_leaves_other_months_alone(spark, tmp_path):
 def test_draws_and_paths_are_the_references(spark, sf_dir):
     assert 9_900 < QUERIES["permutation_test"](spark, sf_dir).first().n <= 10_000
     assert QUERIES["purged_paths"](spark, sf_dir).count() == 9
+
+
+def test_instants_do_not_depend_on_the_session_zone(spark):
+    df = spark.sql("SELECT * FROM VALUES (TIMESTAMP_NTZ'2021-03-28 02:30:00.000001'), (TIMESTAMP_NTZ'1969-12-31 23:59:59.5'), (NULL) AS t(ts)")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "Europe/Berlin"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            assert [r.us for r in df.select(epoch_us(F.col("ts")).alias("us")).collect()] == [1616898600000001, -500000, None]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
