@@ -1,12 +1,13 @@
 """Collocations by suffix sorting.
 
-Every word of a piece starts a suffix, cut to the longest phrase's words. Suffixes are summed within each task, dealt by language and first word, sorted in
-reverse lexicographic order there, and one stack of open prefixes, carried from batch to batch, counts all prefixes: a row closes the prefixes that
-it does not share, longest first. The counts of a phrase's parts are joined afterwards.
+Every word of a piece starts a suffix, cut to the longest phrase's words. Suffixes are summed within each task and travel by first word: one row holds up to
+``ROW`` suffixes of a language and first word, as the words behind it, each ended by a line feed (which no word holds), and their counts as packed integers.
+All rows of a first word meet in one task, which numbers the words, sorts a few whole groups' suffixes as integers and counts all prefixes in one pass a length.
+The counts of a phrase's parts are joined afterwards.
 
-A first word with more than 1/4096 of all summed suffixes is dealt into parts by the second word, and a part that is still four times as large by the
-rest; prefixes that lie in several parts have partial counts, which are summed. Fewer than 4096 such words and parts can exist, so both lists are small enough to
-broadcast at every size. A suffix travels as one string, each word ended by a line feed, which no word holds.
+A group holds at most 1/``SHARES`` of all summed suffixes and ``GROUP`` of them: a first word with more is dealt into parts by the second word, and a part that is still
+four times as large by the rest; prefixes that lie in several parts have partial counts, which are summed. At most ``SHARES`` such words and parts, or one in ``GROUP`` suffixes, can
+exist, so both lists are small enough to broadcast.
 
 Null text is empty, a null language is ``und``; texts of any length are cut whole; repeated rows count again; text without words and empty tables give no
 rows; columns other than the text and the language are ignored. Ties in the score go to the more frequent phrase, then to the smaller one in byte order.
@@ -23,15 +24,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .bytetext import LOWER, Slice, slices
+from .bytetext import LOWER, Slice, byte_table, prefix_hash, slices, span_hash
 from .common import materialise
+from .lists import whole_groups
 
-#: A first word is dealt into parts if it has more than this share of the suffixes.
-SHARES = 4096
+#: A first word is dealt into parts if it has more than this share of the suffixes, or more than GROUP of them.
+SHARES, GROUP = 4096, 1 << 18
 #: A task sums the suffixes of so many words (whole documents) before it hands them on.
-BUFFER_WORDS = 1 << 19
-#: Rows of a batch that a task hands on.
-BATCH_ROWS = 1 << 16
+BUFFER_WORDS = 1 << 20
+#: Suffixes of one row, and of a batch that a task hands on or sorts at once (a larger group is sorted by itself).
+ROW, BATCH = 1 << 12, 1 << 16
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[*b".,;:!?", 10, 11, 12, 13]] = True
@@ -82,8 +84,34 @@ def _summed(words: pa.Array, piece: np.ndarray, longest: int) -> tuple[pa.Array,
     return coded.dictionary, [c[first] - 1 for c in cols], count
 
 
+NESTED = "lang string, w1 string, rest string, n binary, size int, total long"
+
+
+def _nested(data: pa.Array, count: np.ndarray, start: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Array, pa.Array]:
+    """(rest, n, size, total) of the rows that begin at ``start``, from one string and one count a suffix."""
+    at = np.r_[start, len(data)]
+    off = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1]
+    rest = pa.Array.from_buffers(pa.string(), len(start), [None, pa.py_buffer(off[at]), data.buffers()[2]])
+    n = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer((at * 4).astype(np.int32)), pa.py_buffer(count.astype(np.int32))])
+    return rest, n, pa.array(np.diff(at).astype(np.int32)), pa.array(np.add.reduceat(count, start).astype(np.int64))
+
+
+def _suffixes_of(rows: pa.RecordBatch, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, ends of the words behind the first one (suffixes x words), row, count) of each suffix in nested ``rows``."""
+    rest, n = rows.column("rest").cast(pa.string()), rows.column("n").cast(pa.binary())
+    off = np.frombuffer(rest.buffers()[1], np.int32)[rest.offset : rest.offset + len(rest) + 1]
+    data = np.frombuffer(rest.buffers()[2], np.uint8)[off[0] : off[-1]]
+    at = np.frombuffer(n.buffers()[1], np.int32)[n.offset : n.offset + len(n) + 1]
+    count = np.frombuffer(n.buffers()[2], np.uint8)[at[0] : at[-1]].copy().view(np.int32).astype(np.int64)
+    return data, (np.flatnonzero(data == 10) + 1).reshape(-1, longest - 1), np.repeat(np.arange(len(n)), np.diff(at) // 4), count
+
+
 def suffixes(docs: DataFrame, longest: int, lang: str = "lang") -> DataFrame:
-    """(lang, s, n): the suffixes that start at the words of each piece, cut to ``longest`` words (each ended by a line feed), summed within tasks."""
+    """(lang, w1, rest, n, size, total): the suffixes that start at the words of each piece, cut to ``longest`` words and summed within tasks, by first word.
+
+    rest: for each suffix its ``longest`` - 1 further words, each ended by a line feed (those beyond its end are empty); n: their counts, four bytes each
+    (little-endian); size: how many; total: the sum of the counts.
+    """
     rows = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
 
     def flush(of: str, held: list) -> Iterator[pa.RecordBatch]:
@@ -92,11 +120,12 @@ def suffixes(docs: DataFrame, longest: int, lang: str = "lang") -> DataFrame:
             piece.append(p + step)
             step = int(piece[-1][-1]) + 1
         dictionary, cols, count = _summed(pa.concat_arrays([w for w, _ in held]), np.concatenate(piece), longest)
-        ended = pa.concat_arrays([pc.binary_join_element_wise(dictionary, "", "\n"), pa.array([""])])
-        for i in range(0, len(count), BATCH_ROWS):
-            part = [ended.take(pa.array(np.where(c[i : i + BATCH_ROWS] < 0, len(dictionary), c[i : i + BATCH_ROWS]))) for c in cols]
-            n = pa.array(count[i : i + BATCH_ROWS])
-            yield pa.RecordBatch.from_arrays([pa.array([of] * len(n), pa.string()), pc.binary_join_element_wise(*part, ""), n], names=["lang", "s", "n"])
+        ended = pa.concat_arrays([pc.binary_join_element_wise(dictionary, "", "\n"), pa.array(["\n"])])
+        for i in range(0, len(count), BATCH):
+            first, *more = [c[i : i + BATCH] for c in cols]
+            data = pc.binary_join_element_wise(*[ended.take(pa.array(np.where(c < 0, len(dictionary), c))) for c in more], "")
+            start = np.flatnonzero(np.r_[True, first[1:] != first[:-1]] | (np.arange(len(first)) % ROW == 0))
+            yield pa.RecordBatch.from_arrays([pa.repeat(of, len(start)), dictionary.take(pa.array(first[start])), *_nested(data, count[i : i + BATCH], start)], names=["lang", "w1", "rest", "n", "size", "total"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
@@ -115,93 +144,113 @@ def suffixes(docs: DataFrame, longest: int, lang: str = "lang") -> DataFrame:
         for of, part in held.items():
             yield from flush(of, part)
 
-    return rows.mapInArrow(run, "lang string, s string, n long")
+    return rows.mapInArrow(run, NESTED)
 
 
-def prefix_counts(batches: Iterator[pa.RecordBatch], longest: int, least: int) -> Iterator[pa.RecordBatch]:
-    """(lang, phrase, words, f) from batches of (lang, s, level, n), those of a language and first word together, from the last suffix to the first.
+def dealt(rows: DataFrame, longest: int, whole: bool) -> DataFrame:
+    """Nested ``rows`` with a number of ``parts``, each cut into rows whose suffixes have the same ``part``: by a hash of the second word, or of the ``whole`` rest."""
+    kept = [c for c in rows.columns if c not in ("rest", "n", "size", "total", "parts")]
 
-    The stack holds the prefixes of the last row that are still open, one a length, with their counts so far. A row closes those that it doesn't
-    share; within a batch the rows that do so are found for a whole length at once. A count below ``least`` is dropped where it is complete:
-    at level 0 always, at level 1 from two words on, at level 2 for the longest.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = batch.column("size").to_numpy()
+            for b in _chunks(batch, np.arange(len(size)), size):
+                data, ends, row, count = _suffixes_of(b, longest)
+                start, end = np.r_[0, ends[:-1, -1]], ends[:, -1]
+                h = span_hash(prefix_hash(byte_table(11 if whole else 12, False)[data]), start, end if whole else ends[:, 0])
+                parts = b.column("parts").to_numpy()
+                key = row * int(parts.max()) + (h % parts[row].astype(np.uint64)).astype(np.int64)
+                order = np.argsort(key, kind="stable")
+                key, row = key[order], row[order]
+                first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+                text = pa.Array.from_buffers(pa.string(), len(end), [None, pa.py_buffer(np.r_[0, end].astype(np.int32)), pa.py_buffer(data)])
+                at = pa.array(row[first])
+                part = pa.array((key[first] - row[first] * int(parts.max())).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*[b.column(c).take(at) for c in kept], *_nested(text.take(pa.array(order)), count[order], first), part], names=[*kept, "rest", "n", "size", "total", "dealt"])
+
+    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept)
+    return rows.mapInArrow(run, f"{schema}, rest string, n binary, size int, total long, dealt int")
+
+
+def _chunks(batch: pa.RecordBatch, group: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """``batch`` in pieces of whole groups with about BATCH suffixes."""
+    edge = np.r_[np.flatnonzero(np.r_[True, group[1:] != group[:-1]]), len(group)]
+    upto = np.r_[0, np.cumsum(size, dtype=np.int64)][edge]
+    i = 0
+    while i < len(edge) - 1:
+        j = max(i + 1, int(np.searchsorted(upto, upto[i] + BATCH, side="right")) - 1)
+        yield batch.slice(int(edge[i]), int(edge[j] - edge[i]))
+        i = j
+
+
+def prefix_counts(rows: pa.RecordBatch, longest: int, least: int) -> Iterator[pa.RecordBatch]:
+    """(lang, phrase, words, f) of all prefixes of the suffixes in nested ``rows`` of whole groups.
+
+    A count below ``least`` is dropped where it is complete: at level 0 always, at level 1 from two words on, at level 2 for the longest.
     """
-    top: pa.RecordBatch | None = None
-    open_ = [0] * longest
-
-    def closed(rows: pa.RecordBatch, start: np.ndarray, k: int, f: np.ndarray, held: np.ndarray, words: list[pa.Array]) -> pa.RecordBatch | None:
-        level = rows.column("level").to_numpy()[start]
-        whole = (level == 0) | ((level == 1) & (k > 0)) | (k + 1 == longest)
-        keep = (held[start] > k) & ((f >= least) | ~whole)
-        if not keep.any():
-            return None
-        at = pa.array(start[keep])
-        phrase = pc.binary_join_element_wise(*[w.take(at) for w in words[: k + 1]], " ")
-        return pa.RecordBatch.from_arrays([rows.column("lang").take(at), phrase, pa.array(np.full(len(at), k + 1, np.int32)), pa.array(f[keep])], names=["lang", "phrase", "words", "f"])
-
-    def passed(rows: pa.RecordBatch, last: bool) -> Iterator[pa.RecordBatch]:
-        parts = pc.split_pattern(rows.column("s"), "\n")
-        # The line feed after the last word leaves an empty string behind it.
-        held = pc.list_value_length(parts).to_numpy() - 1
-        off, flat = parts.offsets.to_numpy()[:-1].astype(np.int64), parts.values
-        words = [flat.take(pa.array(off + np.minimum(k, held))) for k in range(longest)]
-        n = rows.column("n").to_numpy().astype(np.int64)
-        if top is not None and not last:
-            n = np.r_[0, n[1:]]
-        code = lambda x: x.dictionary_encode().indices.to_numpy()
-        new = np.ones(len(rows), bool)
-        v = code(rows.column("lang"))
-        new[1:] = v[1:] != v[:-1]
-        for k in range(longest):
-            v = code(words[k])
-            new[1:] |= (v[1:] != v[:-1]) | (np.minimum(held[1:], k + 1) != np.minimum(held[:-1], k + 1))
-            if last:
-                start, f = np.array([0]), np.array([open_[k]])
-            else:
-                start = np.flatnonzero(new)
-                f = np.add.reduceat(n, start)
-                f[0] += open_[k]
-                open_[k] = int(f[-1])
-                start, f = start[:-1], f[:-1]
-            if (out := closed(rows, start, k, f, held, words)) is not None:
-                yield out
-
-    for b in batches:
-        if b.num_rows:
-            # The top of the stack goes before the batch as a row without a count.
-            rows = b if top is None else pa.Table.from_batches([top, b]).combine_chunks().to_batches()[0]
-            yield from passed(rows, False)
-            top = rows.slice(len(rows) - 1)
-    if top is not None:
-        yield from passed(pa.Table.from_batches([top]).combine_chunks().to_batches()[0], True)
+    data, ends, row, n = _suffixes_of(rows, longest)
+    # A word is taken with its line feed, so that the bytes need no copy; the one that is nothing else stands behind a suffix's end.
+    coded = pa.Array.from_buffers(pa.string(), ends.size, [None, pa.py_buffer(np.r_[0, ends.ravel()].astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
+    dictionary, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64).reshape(ends.shape)
+    missing = pc.index(dictionary, "\n").as_py()
+    words, base = pc.utf8_rtrim(dictionary, "\n"), len(dictionary)
+    langs, firsts = (rows.column(c).dictionary_encode() for c in ("lang", "w1"))
+    prefix = [(langs.indices.to_numpy().astype(np.int64) * len(firsts.dictionary) + firsts.indices.to_numpy())[row]]
+    for k in range(longest - 1):
+        key = prefix[-1]
+        if int(key.max()) * base >= 1 << 62:
+            key = np.unique(key, return_inverse=True)[1].astype(np.int64)
+        prefix.append(key * base + code[:, k])
+    # Sorted by the whole suffix, the suffixes that share a prefix stand together at every length.
+    order = np.argsort(prefix[-1])
+    level, n = rows.column("level").to_numpy(), n[order]
+    for k in range(longest):
+        p = prefix[k][order]
+        start = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
+        f, at = np.add.reduceat(n, start), order[start]
+        whole = (level[row[at]] == 0) | ((level[row[at]] == 1) & (k > 0)) | (k + 1 == longest)
+        keep = (f >= least) | ~whole
+        if k:
+            keep &= code[at, k - 1] != missing if missing >= 0 else True
+        if keep.any():
+            at = at[keep]
+            r = pa.array(row[at])
+            phrase = pc.binary_join_element_wise(rows.column("w1").take(r), *[words.take(pa.array(code[at, i])) for i in range(k)], " ")
+            yield pa.RecordBatch.from_arrays([rows.column("lang").take(r), phrase, pa.array(np.full(len(at), k + 1, np.int32)), pa.array(f[keep])], names=["lang", "phrase", "words", "f"])
 
 
 def first_words(counted: DataFrame) -> DataFrame:
-    """(lang, w1, rows, n): for each first word its rows of ``suffixes`` and its occurrences."""
-    return counted.groupBy("lang", F.substring_index("s", "\n", 1).alias("w1")).agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
+    """(lang, w1, rows, n): for each first word its suffixes in ``suffixes`` and its occurrences."""
+    return counted.groupBy("lang", "w1").agg(F.sum("size").alias("rows"), F.sum("total").alias("n"))
 
 
 def frequent(counted: DataFrame, first: DataFrame, longest: int, least: int) -> DataFrame:
     """(lang, phrase, words, f) of the phrases of up to ``longest`` words that occur ``least`` times, from written ``suffixes`` and ``first_words``."""
     total = first.agg(F.sum("rows")).first()[0] or 1
-    # Fewer than SHARES first words can have so many rows, so the broadcast table is bounded.
-    hot = first.where(F.col("rows") * SHARES > total).select("lang", "w1", F.ceil(F.col("rows") * SHARES / F.lit(total)).cast("int").alias("parts"))
-    rows = counted.withColumn("w1", F.substring_index("s", "\n", 1)).join(F.broadcast(hot), ["lang", "w1"], "left")
-    second = F.substring_index(F.substring_index("s", "\n", 2), "\n", -1)
-    rows = rows.withColumn("part", F.coalesce(F.pmod(F.xxhash64(second), F.col("parts")).cast("int"), F.lit(0)))
-    # Of the parts fewer than SHARES / 4 can still be four times too large.
-    large = rows.where("parts is not null").groupBy("lang", "w1", "part").agg(F.count("*").alias("rows")).where(F.col("rows") * SHARES > 4 * total)
-    large = large.select("lang", "w1", "part", F.ceil(F.col("rows") * SHARES / F.lit(total)).cast("int").alias("cuts"))
-    rows = rows.join(F.broadcast(large), ["lang", "w1", "part"], "left")
-    level = F.when(F.col("cuts").isNotNull(), 2).when(F.col("parts").isNotNull(), 1).otherwise(0)
-    cut = F.coalesce(F.pmod(F.xxhash64("s"), F.col("cuts")).cast("int"), F.lit(0))
-    rows = rows.select(F.xxhash64("lang", "w1", "part", cut).alias("group"), "lang", "s", level.alias("level"), "n")
-    # A group's hash comes first, so that most comparisons of the sort are those of one number.
-    rows = rows.repartition("group").sortWithinPartitions("group", "lang", F.desc("s"))
+    most = max(1, min(total // SHARES, GROUP))
+    parts = F.ceil(F.col("rows") / F.lit(most)).cast("int").alias("parts")
+    # Fewer than total / most first words can have so many suffixes, so the broadcast table is bounded.
+    hot = first.where(F.col("rows") > most).select("lang", "w1", parts)
+    few = counted.join(F.broadcast(hot), ["lang", "w1"], "left_anti").withColumn("group", F.xxhash64("lang", "w1")).withColumn("level", F.lit(0))
+    by_second = dealt(counted.join(F.broadcast(hot), ["lang", "w1"]), longest, False).withColumnRenamed("dealt", "part")
+    by_second = materialise(by_second, "parts")
+    # Of the parts fewer than a quarter as many can still be four times too large.
+    large = by_second.groupBy("lang", "w1", "part").agg(F.sum("size").alias("rows")).where(F.col("rows") > 4 * most).select("lang", "w1", "part", parts)
+    large = materialise(large, "large-parts")
+    one = by_second.join(F.broadcast(large), ["lang", "w1", "part"], "left_anti").withColumn("group", F.xxhash64("lang", "w1", "part")).withColumn("level", F.lit(1))
+    by_rest = dealt(by_second.join(F.broadcast(large), ["lang", "w1", "part"]), longest, True)
+    two = by_rest.withColumn("group", F.xxhash64("lang", "w1", "part", "dealt")).withColumn("level", F.lit(2))
+    columns = ["group", "lang", "w1", "rest", "n", "size", "level"]
+    rows = few.select(columns).unionByName(one.select(columns)).unionByName(two.select(columns))
+    # Sorted by one number only; the suffixes themselves are sorted by the task that counts them.
+    rows = rows.repartition("group").sortWithinPartitions("group")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return prefix_counts(batches, longest, least)
+        for batch in whole_groups(batches):
+            for b in _chunks(batch, batch.column("group").to_numpy(), batch.column("size").to_numpy()):
+                yield from prefix_counts(b, longest, least)
 
-    found = rows.select("lang", "s", "level", "n").mapInArrow(run, "lang string, phrase string, words int, f long")
+    found = rows.mapInArrow(run, "lang string, phrase string, words int, f long")
     return found.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
 

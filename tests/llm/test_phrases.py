@@ -7,6 +7,7 @@ from collections import Counter
 import duckdb
 import pytest
 
+from lodestrata.llm import phrases
 from lodestrata.llm.phrases import collocations, exact_score
 from lodestrata.llm.queries import ORACLE_SQL, op11_phrases
 
@@ -68,3 +69,33 @@ def test_query_equals_sql(spark, sf_dir):
     out = op11_phrases(spark, sf_dir)
     want = con.execute(f"SELECT {', '.join(out.columns)} FROM ({ORACLE_SQL['op11_phrases']})").fetchall()
     assert sorted(map(tuple, out.collect())) == sorted(want) != []
+
+
+def test_suffixes_travel_by_first_word(spark):
+    rnd = random.Random(9)
+    texts = [" ".join(f"the w{rnd.randrange(3000)}" if rnd.random() < 0.7 else f"of w{rnd.randrange(40)}" for _ in range(4000)) + ", the" for _ in range(3)]
+    df = spark.createDataFrame([("en", t) for t in texts], "lang string, text string").coalesce(1)
+    out = phrases.suffixes(df, 3).collect()
+    found, want = Counter(), Counter()
+    for r in out:
+        words, counts = r.rest.split("\n"), memoryview(r.n).cast("i").tolist()
+        assert len(words) == 2 * r["size"] + 1 and len(counts) == r["size"] <= phrases.ROW and sum(counts) == r.total
+        for i, c in enumerate(counts):
+            found[r.w1, words[2 * i], words[2 * i + 1]] += c
+    for t in texts:
+        for piece in t.split(","):
+            w = piece.split()
+            want.update(tuple((w[i : i + 3] + ["", ""])[:3]) for i in range(len(w)))
+    assert found == want
+    # A row for each suffix used to cross the shuffle and its sort.
+    assert len(out) <= len({w for w, _, _ in want}) + len(want) // phrases.ROW + len(want) // phrases.BATCH + 2 < len(want) / 3
+
+
+@pytest.mark.parametrize(("shares", "group"), [(1, 1 << 18), (4096, 300), (20, 1 << 18)])
+def test_parts_of_common_first_words(spark, monkeypatch, shares, group):
+    monkeypatch.setattr(phrases, "SHARES", shares)
+    monkeypatch.setattr(phrases, "GROUP", group)
+    rnd = random.Random(shares)
+    rows = [(rnd.choice(["en", "de"]), " ".join(rnd.choice(["the", "the of", f"a{rnd.randrange(30)}", f"b{rnd.randrange(900)}"]) for _ in range(500))) for _ in range(40)]
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(4)
+    assert sorted(map(tuple, collocations(df, longest=3, least=5, top=60).collect())) == expected(rows, 3, 5, 50, 60)
